@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Pieces a worker keeps before it starts anew.
-PIECES = 400_000
+#: Pieces a worker keeps; frequent ones come early, and later new ones are encoded each time.
+PIECES = 700_000
 _UNUSUAL = re.compile(r"[^\S \n]|  |\n\n|\n | \n|\A\s|\s\Z")
 _CONTROL = re.compile(r"[\x1c-\x1f\x85]|<\|")
 
@@ -70,12 +70,11 @@ class ByteLevelCounter:
         counts = list(map(cache.get, pieces))
         if None in counts:
             missing = list({p for p, n in zip(pieces, counts, strict=True) if n is None})
-            if len(cache) + len(missing) > PIECES:
-                cache.clear()
-                missing = list(set(pieces))
             coded = self.tokenizer.encode_batch_fast([lead + p for p in missing], add_special_tokens=False)
-            cache.update(zip(missing, map(len, coded), strict=True))
-            counts = map(cache.__getitem__, pieces)
+            new = dict(zip(missing, map(len, coded), strict=True))
+            counts = [new[p] if n is None else n for p, n in zip(pieces, counts, strict=True)]
+            if len(cache) < PIECES:
+                cache.update(new)
         return sum(counts)
 
     def count(self, text: str) -> int:
@@ -109,12 +108,11 @@ class WordCoder:
         found = list(map(self.pieces.get, pieces))
         if None in found:
             missing = list({p for p, b in zip(pieces, found, strict=True) if b is None})
-            if len(self.pieces) + len(missing) > PIECES:
-                self.pieces.clear()
-                missing = list(set(pieces))
-            for p, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.pieces[p] = self._packed(coded.ids)
-            found = map(self.pieces.__getitem__, pieces)
+            coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+            new = {p: self._packed(c.ids) for p, c in zip(missing, coded, strict=True)}
+            found = [new[p] if b is None else b for p, b in zip(pieces, found, strict=True)]
+            if len(self.pieces) < PIECES:
+                self.pieces.update(new)
         return b"".join(found)
 
 
