@@ -19,9 +19,12 @@ README_CAP, ACCEPT = 4, 0.5
 RULES_LIMIT, WORDS = 100_000, 5
 
 
-def shingles(text: Column, words: int = WORDS) -> Column:
-    """Distinct runs of 1 to ``words`` words, blank-joined."""
-    w = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def shingles(w: Column, words: int = WORDS) -> Column:
+    """Distinct runs of 1 to ``words`` words, blank-joined; ``w`` must be a column of words, not an expression."""
 
     def runs(k: int) -> Column:
         return F.transform(w, lambda _, i: F.when(i + k <= F.size(w), F.array_join(F.slice(w, i + 1, F.lit(k)), " ")))
@@ -36,7 +39,7 @@ def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
     by_topic = entities.select("id", F.explode(topic_set(F.col("topics"))).alias("topic")).join(hint(topic_rules), "topic")
     by_topic = by_topic.select("id", "category", "ordinal", F.lit("topic").alias("field"), "term")
     phrases = rules.where("kind = 'phrase'").select(
-        "category", "ordinal", "term", F.array_join(F.filter(F.split(F.lower("term"), "[^a-z0-9]+"), lambda t: t != ""), " ").alias("shingle"), phrase_pattern_column(F.col("term")).alias("pattern")
+        "category", "ordinal", "term", F.array_join(words_of(F.col("term")), " ").alias("shingle"), phrase_pattern_column(F.col("term")).alias("pattern")
     )
     fields = F.array(
         *[
@@ -45,7 +48,8 @@ def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
         ]
     )
     texts = entities.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
-    found = texts.withColumn("shingle", F.explode(shingles(F.col("text")))).join(hint(phrases), "shingle").where(F.expr("text rlike pattern"))
+    texts = texts.withColumn("words", words_of(F.col("text")))
+    found = texts.withColumn("shingle", F.explode(shingles(F.col("words")))).join(hint(phrases), "shingle").where(F.expr("text rlike pattern"))
     return by_topic.unionByName(found.select("id", "category", "ordinal", "field", "term"))
 
 

@@ -55,9 +55,9 @@ def list_chips(spark, sf_dir):
 _TOKENS = "toks AS (SELECT id, token, MAX(w) AS w FROM (SELECT id, UNNEST(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+')) AS token, 1.0::DOUBLE AS w FROM scored UNION ALL SELECT id, UNNEST(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+')), 0.4::DOUBLE FROM scored WHERE description IS NOT NULL) t GROUP BY id, token), "
 
 
-@query(SCORED_SQL.rstrip() + ", " + _TOKENS + "rk AS (SELECT id, SUM(w) AS r FROM toks WHERE token = 'steel' GROUP BY id) SELECT s.id, ROUND((COALESCE(r, 0) + CASE WHEN full_name ILIKE 'steel%' THEN 1.0 WHEN name ILIKE 'steel%' THEN 0.8 WHEN full_name ILIKE '%steel%' THEN 0.4 ELSE 0 END) * 1000) AS relevance FROM scored s LEFT JOIN rk USING (id) WHERE status = 'active' AND NOT is_archived AND (r IS NOT NULL OR full_name ILIKE '%steel%' OR description ILIKE '%steel%') ORDER BY 2 DESC, 1 DESC LIMIT 50")
+@query(SCORED_SQL.rstrip() + ", " + _TOKENS + "rk AS (SELECT id, SUM(w) AS r FROM toks WHERE token = 'widget' GROUP BY id) SELECT s.id, ROUND((COALESCE(r, 0) + CASE WHEN full_name ILIKE 'widget%' THEN 1.0 WHEN name ILIKE 'widget%' THEN 0.8 WHEN full_name ILIKE '%widget%' THEN 0.4 ELSE 0 END) * 1000) AS relevance FROM scored s LEFT JOIN rk USING (id) WHERE status = 'active' AND NOT is_archived AND (r IS NOT NULL OR full_name ILIKE '%widget%' OR description ILIKE '%widget%') ORDER BY 2 DESC, 1 DESC LIMIT 50")
 def search_relevance(spark, sf_dir):
-    return _list(spark, sf_dir, q="Steel", sort="relevance", per_page=50).select("id", F.round(F.col("relevance") * 1000).alias("relevance"))
+    return _list(spark, sf_dir, q="Widget", sort="relevance", per_page=50).select("id", F.round(F.col("relevance") * 1000).alias("relevance"))
 
 
 @query("SELECT p_partkey AS id FROM part WHERE p_name ILIKE '%a\\_1%' ESCAPE '\\' OR p_name ILIKE '%e 1%' ESCAPE '\\'")
