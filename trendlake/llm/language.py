@@ -90,6 +90,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     uniform = 1 / BUCKETS
     table = np.log((1 - FLOOR) * table / np.maximum(total, 1) + np.where(total > 0, FLOOR, 1) * uniform)
     table[:, CLASSES.index(UNKNOWN)] = np.log(UNKNOWN_ODDS * uniform)
+    table[:, :-1][:, total[:-1] == 0] = np.log(0.5 * UNKNOWN_ODDS * uniform)  # without a model, less likely than und
     return table.astype(np.float32)
 
 
