@@ -171,7 +171,7 @@ def identify(rows: DataFrame, model: np.ndarray, temper: float = TEMPER) -> Data
     hosts = materialize(_class_sums(scored, ["suffix", "domain", "host"]), "hosts")
     as_share = hosts.withColumnRenamed("sums", "share")
     whole = _class_sums(as_share, []).select(_smoothed(F.col("sums"), uniform).alias("p")).first()
-    corpus = list(whole["p"]) if whole and whole["p"] else [1.0 / len(CLASSES)] * len(CLASSES)
+    corpus = list(whole["p"]) if whole and whole["p"] and None not in whole["p"] else [1.0 / len(CLASSES)] * len(CLASSES)
     top = F.array(*[F.lit(float(p)) for p in corpus])
     suffixes = _class_sums(as_share, ["suffix"]).select("suffix", _smoothed(F.col("sums"), top).alias("over"))
     domains = _class_sums(as_share, ["suffix", "domain"]).join(F.broadcast(suffixes), "suffix")
