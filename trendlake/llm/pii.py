@@ -204,9 +204,10 @@ def replacements(found: DataFrame, secret: str, draw=surrogate) -> DataFrame:
     """
     raws = found.select("raw", kind_of(F.col("raw")).alias("kind")).where("kind is not null")
     raws = materialize(raws.withColumn("norm", normal_form(F.col("raw"), F.col("kind"))), "spellings")
-    # drawing costs more than its few bytes show, so the partitions are counted out
+    # drawing costs more than its few bytes show, so the partitions are counted out; by a hash of
+    # its own, as the same columns again would be taken for the partitioning of distinct
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = raws.select("kind", "norm").distinct().repartition(tasks, "kind", "norm").withColumn("attempt", F.lit(0))
+    state = raws.select("kind", "norm").distinct().repartition(tasks, F.xxhash64("kind", "norm")).withColumn("attempt", F.lit(0))
     real = raws.select(F.substring_index("kind", "_", 1).alias("family"), F.col("norm").alias("new")).distinct()
     for _ in range(ROUNDS):
         drawn = state.withColumn("new", draw(secret, F.col("kind"), F.col("norm"), F.col("attempt")))
