@@ -141,6 +141,19 @@ def test_token_counts_and_cache(spark, docs, none, tmp_path):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_word_coder_gives_the_ids_of_the_library():
+    coder = vocab.WordCoder(vocab.default_path("word_bpe_49k.json"))
+    assert coder.words is not None
+    draw = random.Random(3)
+    alphabet = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xA0, 0x180)), *"\t\n\r''''sStTrReEdD", "'S ", "it's", "WE'LL", "Σ", "İ", "é", "字"]
+    alphabet += ["’s", "\x85", "\x1c", "<|endoftext|>", "<|", "\U0001f600", "²"]
+    latin = [c for c in alphabet if vocab._LATIN.fullmatch(c)]
+    for k in range(4000):
+        text = "".join(draw.choices(latin if k % 2 else alphabet, k=draw.randrange(40)))
+        want = vocab.packed(coder.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert [coder.encode(text), coder.encode(text)] == [want, want], text
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 

@@ -86,7 +86,7 @@ def _pack(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.loaded(vocab.WordCoder, path)
-        end = coder._packed([END])
+        end = vocab.packed([END])
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []  # doc, start, length, crc, doc tokens
         load = 0
