@@ -16,6 +16,8 @@ from array import array
 
 #: Pieces a worker keeps; frequent ones come early, and later new ones are encoded each time.
 PIECES = 700_000
+#: Words a worker keeps; a word that is not kept costs little, and workers hold them through all later stages.
+WORDS = 150_000
 _UNUSUAL = re.compile(r"[^\S \n]|  |\n\n|\n | \n|\A\s|\s\Z")
 _CONTROL = re.compile(r"[\x1c-\x1f\x85]|<\|")
 
@@ -127,7 +129,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         tokens = self.model.tokenize(word if word.isascii() else word.translate(self.bytes_of))
         ids = packed([t.id for t in tokens])
-        if len(self) < PIECES:
+        if len(self) < WORDS:
             self[word] = ids
         return ids
 
