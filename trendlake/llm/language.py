@@ -102,7 +102,7 @@ def _score_batches(handle, temper: float):
             html = batch.column(2).to_pylist()
             texts = [_HTML.sub(b" ", t) if t and m else t for t, m in zip(raws, html, strict=True)]
             out = np.zeros((len(texts), len(CLASSES)))
-            for lo, hi in slices(texts, 4_000_000):
+            for lo, hi in slices(texts, 1_000_000):
                 h, n = _grams(texts[lo:hi])
                 some = np.flatnonzero(n)
                 if not len(some):
