@@ -86,6 +86,19 @@ def test_pivots_against_brute_force(spark):
     assert pivots.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivots_in_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "LEAST_PIVOTS", 600)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2400, 64)).astype(np.float32)
+    x[:800] = x[0] + 0.229 * rng.normal(size=(800, 64)).astype(np.float32)
+    for part in (x, x[:800]):  # the second has one direction alone
+        u = part.astype(float) / np.linalg.norm(part.astype(float), axis=1)[:, None]
+        near = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(part)], "vec_id long, embedding array<float>, label int")
+        found = sum(r.n_links for r in pivots.near_duplicates(df).collect())
+        assert near.sum() > 100_000 and 0.999 * near.sum() <= found <= near.sum()
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(3)
     s = rng.integers(0, 4, 500).astype(np.int32)

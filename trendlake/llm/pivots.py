@@ -24,6 +24,9 @@ NEAREST, SHARED = 8, 2
 #: Pivots: at least LEAST_PIVOTS, and PIVOT_RATE times the root of the number of vectors, so that
 #: lists grow with the root of the input. They are the sample that the index is fitted on.
 LEAST_PIVOTS, PIVOT_RATE, MOST_PIVOTS = 128, 1.2, 16_384
+#: Two pivots have at most this cosine, else a group of near copies would hold many of them and its
+#: members would name nearly random ones.
+APART = 0.8
 LIST_ROWS = 512
 
 
@@ -47,6 +50,17 @@ def _list(table: pa.Table, name: str) -> pa.ListArray:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def thinned(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
+    """Unit vectors of ``pivots``, in order, without those too near to one kept before."""
+    kept = np.zeros_like(pivots)
+    n = 0
+    for x in pivots:
+        if not n or (kept[:n] @ x).max() <= apart:
+            kept[n] = x
+            n += 1
+    return kept[:n]
+
+
 def _describe(pivots: np.ndarray, nearest: int):
     nearest = min(nearest, len(pivots))
     width = pivots.shape[1]
@@ -146,9 +160,11 @@ def near_duplicates(
         for at, r in enumerate(sample):
             x = np.asarray(r[0], np.float64)
             pivots[at, : len(x)] = x / np.abs(x).max()
-        pivots /= np.sqrt((pivots**2).sum(axis=1, keepdims=True))
+        pivots = thinned(pivots / np.sqrt((pivots**2).sum(axis=1, keepdims=True)))
     else:
         pivots = np.zeros((1, 1))
+    if len(pivots) <= nearest:  # every vector would name all of them: one list holds all pairs
+        pivots, shared = pivots[:1], 1
 
     schema = "node long, label long, dims int, copies long, embedding array<float>, nearest array<int>"
     described = nodes.select("node", "label", "dims", "copies", "embedding").mapInArrow(_describe(pivots, nearest), schema)
