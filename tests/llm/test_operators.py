@@ -279,6 +279,17 @@ def test_pii(spark, none):
     assert pii.replace(none).count() == 0
 
 
+def test_pii_forms_of_a_name_stay_together(spark):
+    surnames = [a + b + c for a in ("Ber", "Kol", "Tam", "Wun", "Zel") for b in ("di", "ro", "ma", "ku") for c in ("ck", "nd", "rt", "ss", "lm")]
+    t = "Mr John {0} and Mrs {0} met Mr {0}. Later {0} left, John {0} stayed; John-Boy too."
+    docs = spark.createDataFrame([(i, t.format(n), "en", "s", 1) for i, n in enumerate(surnames)], SCHEMA)
+    rows = sorted(pii.replace(docs).collect(), key=lambda r: r.doc_id)
+    found = [re.fullmatch(r"Mr (\w+) (\w+) and Mrs \2 met Mr \2\. Later \2 left, \1 \2 stayed; \1-Boy too\.", r.text) for r in rows]
+    assert all(found) and all(r.n_entities == 6 for r in rows)
+    assert len({m[2] for m in found}) == len(surnames) and len({m[1] for m in found}) == 1
+    assert not {w for m in found for w in m.groups()} & {*surnames, "John"}
+
+
 def test_pii_clashes_are_drawn_again(spark):
     found = spark.createDataFrame([(f"u{i}@mail.example.com",) for i in range(30)], "raw string")
     crowded = lambda s, kind, norm, attempt: F.concat(F.lit("n"), (F.abs(F.xxhash64(norm, attempt)) % 60).cast("string"), F.lit("@x.example.com"))

@@ -5,6 +5,7 @@ and titled names) are found by one pattern, normalised and gathered over the who
 gets a replacement that a key, its kind and its normal form decide: the same everywhere, of the
 same format, script and gender. Replacements that two entities share, or that are an entity of
 the corpus themselves, are drawn again until none is left. They are then written into the texts.
+Names are replaced word by word, also where a document repeats words of one without the title.
 """
 
 from __future__ import annotations
@@ -46,6 +47,10 @@ _NAME = rf"(?<![\p{{L}}]){_TITLE}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2
 PATTERN = "|".join([_EMAIL, _IP, _SSN, _PHONE, _CARD, _NAME])
 
 
+#: A word that may be an untitled mention of a name.
+_MENTION = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}++(?![\p{L}\p{N}])"
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -112,40 +117,32 @@ def _redrawn(text: Column, stream: Column, keep: Column | int = 0) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
 
 
-def _name(secret: str, name: Column, gender: Column, attempt: Column) -> Column:
-    """Each word by itself, so that a surname stays one; only the last one varies with ``attempt``."""
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    words = F.split(name, "[ -]")
+def _word(secret: str, word: Column, role: Column, attempt: Column) -> Column:
+    """A given name of gender ``m`` or ``f``, or a surname ``s``, longer by a syllable with each attempt."""
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    stream = _stream(secret, 1, F.lit("name"), role, word, attempt.cast("string"))
+    syllables_drawn = F.least(attempt, F.lit(8)) + F.when(role == "s", 3).otherwise(2)
 
     def pick(table: list[str], b: Column) -> Column:
         return F.element_at(F.array(*[F.lit(x) for x in table]), b % len(table) + 1)
 
-    def drawn_from(table: list[str], stream: Column):
+    def drawn_from(table: list[str]):
         return lambda i: pick(table, _byte(stream, i))
 
-    def one(word: Column, k: Column) -> Column:
-        last = k + 1 == F.size(words)
-        role = F.when(last, F.lit("s")).otherwise(gender)
-        again = F.when(last, attempt.cast("string")).otherwise(F.lit("0"))
-        stream = _stream(secret, 1, F.lit("name"), role, word, again)
-        out = None
-        for s, syllables in SYLLABLES.items():
-            body = F.concat(pick(syllables, _byte(stream, F.lit(1))), pick(syllables, _byte(stream, F.lit(2))))
-            longer = F.transform(F.sequence(F.lit(3), F.lit(3) + F.least(attempt, F.lit(8))), drawn_from(syllables, stream))
-            body = F.when(last, F.concat(body, F.array_join(longer, ""))).otherwise(body)
-            end = None
-            for g in ("m", "f", "s"):
-                choice = pick(ENDINGS[s, g], _byte(stream, F.lit(20)))
-                end = F.when(role == g, choice) if end is None else end.when(role == g, choice)
-            whole = F.initcap(F.concat(body, end))
-            out = F.when(script == s, whole) if out is None else out.when(script == s, whole)
-        return out
-
-    return F.array_join(F.transform(words, one), " ")
+    out = None
+    for s, syllables in SYLLABLES.items():
+        body = F.array_join(F.transform(F.sequence(F.lit(1), syllables_drawn), drawn_from(syllables)), "")
+        end = None
+        for g in ("m", "f", "s"):
+            choice = pick(ENDINGS[s, g], _byte(stream, F.lit(20)))
+            end = F.when(role == g, choice) if end is None else end.when(role == g, choice)
+        whole = F.initcap(F.concat(body, end))
+        out = F.when(script == s, whole) if out is None else out.when(script == s, whole)
+    return out
 
 
 def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """The normal form of an entity's replacement at the given attempt."""
+    """The normal form of an entity's replacement at the given attempt; names come as their words."""
     stream = _stream(secret, 3, kind, norm, attempt.cast("string"))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     tld = F.substring_index(domain, ".", -1)
@@ -171,7 +168,7 @@ def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
         .when(kind == "card", card)
         .when(kind == "phone", redrawn)
         .when(kind == "ssn", ssn)
-        .otherwise(_name(secret, norm, F.substring(kind, -1, 1), attempt))
+        .otherwise(_word(secret, norm, F.substring(kind, -1, 1), attempt))
     )
 
 
@@ -196,19 +193,62 @@ def written_like(raw: Column, kind: Column, new: Column) -> Column:
     )
 
 
-def replacements(found: DataFrame, secret: str, draw=surrogate) -> DataFrame:
-    """raw, kind, new for the distinct spellings in ``found(raw)``: no two entities share a replacement.
+def name_words(norm: Column, kind: Column) -> Column:
+    """Structs (kind, norm, before) of a name's words: word_s for those of the last part, else word_m or word_f."""
+    gender = F.concat(F.lit("word_"), F.substring(kind, -1, 1))
+    parts = F.split(norm, " ")
 
-    The first draw of nearly all entities stands. Of entities that draw the same, the smallest
-    normal form keeps it; the others, and those that drew an entity of the corpus, draw again.
-    """
+    def of_part(part: Column, k: Column) -> Column:
+        own = F.when(k + 1 == F.size(parts), F.lit("word_s")).otherwise(gender)
+        first = F.when(k == 0, F.lit("")).otherwise(F.lit(" "))
+        return F.transform(
+            F.split(part, "-"),
+            lambda word, j: F.struct(own.alias("kind"), word.alias("norm"), F.when(j == 0, first).otherwise(F.lit("-")).alias("before")),
+        )
+
+    return F.flatten(F.transform(parts, of_part))
+
+
+def spellings(found: DataFrame) -> DataFrame:
+    """raw, kind, norm for the distinct spellings in ``found(raw)``."""
     raws = found.select("raw", kind_of(F.col("raw")).alias("kind")).where("kind is not null")
-    raws = materialize(raws.withColumn("norm", normal_form(F.col("raw"), F.col("kind"))), "spellings")
+    return materialize(raws.withColumn("norm", normal_form(F.col("raw"), F.col("kind"))), "spellings")
+
+
+def replacements(found: DataFrame, secret: str, draw=surrogate) -> DataFrame:
+    """raw, kind, new for the distinct spellings in ``found(raw)``: no two entities share a replacement."""
+    raws = spellings(found)
+    return respelled(raws, assigned(raws, secret, draw))
+
+
+def respelled(raws: DataFrame, known: DataFrame) -> DataFrame:
+    """raw, kind, new for ``raws`` by the replacements of their entities; a name's are those of its words."""
+    named = F.col("kind").startswith("name")
+    words = raws.where(named).select("raw", F.posexplode(name_words(F.col("norm"), F.col("kind"))).alias("at", "w"))
+    words = words.select("raw", "at", F.col("w.kind").alias("kind"), F.col("w.norm").alias("norm"), "w.before").join(known, ["kind", "norm"])
+    built = words.groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("at", F.concat("before", "new").alias("new")))).alias("new"))
+    names = raws.where(named).join(built.select("raw", F.array_join("new.new", "").alias("new")), "raw")
+    rest = raws.where(~named).join(known, ["kind", "norm"]).select("raw", "kind", "norm", "new")
+    both = rest.unionByName(names.select("raw", "kind", "norm", "new"))
+    return both.select("raw", "kind", written_like(F.col("raw"), F.col("kind"), F.col("new")).alias("new"))
+
+
+def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
+    """kind, norm, new for the entities in ``raws(kind, norm)``: no two share a replacement.
+
+    Given names and surnames are entities of their own, so that a new draw moves every name with
+    that word. The first draw of nearly all entities stands. Of entities that draw the same, the
+    one of fewest attempts and smallest normal form keeps it; the others, and those that drew an
+    entity of the corpus, draw again.
+    """
+    named = F.col("kind").startswith("name")
+    words = raws.where(named).select(F.explode(name_words(F.col("norm"), F.col("kind"))).alias("w"))
+    entities = raws.where(~named).select("kind", "norm").union(words.select("w.kind", "w.norm")).distinct()
     # drawing costs more than its few bytes show, so the partitions are counted out; by a hash of
     # its own, as the same columns again would be taken for the partitioning of distinct
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = raws.select("kind", "norm").distinct().repartition(tasks, F.xxhash64("kind", "norm")).withColumn("attempt", F.lit(0))
-    real = raws.select(F.substring_index("kind", "_", 1).alias("family"), F.col("norm").alias("new")).distinct()
+    tasks = int(raws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = materialize(entities.repartition(tasks, F.xxhash64("kind", "norm")).withColumn("attempt", F.lit(0)), "entities")
+    real = state.select(F.substring_index("kind", "_", 1).alias("family"), F.col("norm").alias("new")).distinct()
     for _ in range(ROUNDS):
         drawn = state.withColumn("new", draw(secret, F.col("kind"), F.col("norm"), F.col("attempt")))
         drawn = materialize(drawn.withColumn("family", F.substring_index("kind", "_", 1)), "drawn")
@@ -216,9 +256,7 @@ def replacements(found: DataFrame, secret: str, draw=surrogate) -> DataFrame:
         clashes = owner.join(real.withColumn("taken", F.lit(True)), ["family", "new"], "left").where("n > 1 or taken")
         clashes = materialize(clashes.select("family", "new", "owner", F.coalesce("taken", F.lit(False)).alias("taken")), "clashes")
         if clashes.isEmpty():
-            return raws.join(drawn.select("kind", "norm", "new"), ["kind", "norm"]).select(
-                "raw", "kind", written_like(F.col("raw"), F.col("kind"), F.col("new")).alias("new")
-            )
+            return drawn.select("kind", "norm", "new")
         mine = (F.col("owner.kind") == F.col("kind")) & (F.col("owner.norm") == F.col("norm"))
         again = F.col("owner").isNotNull() & (F.col("taken") | ~mine)
         following = drawn.join(clashes, ["family", "new"], "left")
@@ -231,24 +269,60 @@ def _scanned(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("found", F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
 
 
+def _marks(text: Column) -> dict[str, Column]:
+    """parts and marks that make up ``text`` in turn.
+
+    Marks are its entities and, where one of them is a name, all words that may mention one.
+    """
+    named = F.exists("found", lambda raw: F.coalesce(kind_of(raw).startswith("name"), F.lit(False)))
+    gaps = F.split(text, PATTERN, -1)
+
+    def words(gap: Column, k: Column) -> Column:
+        inner = F.transform(F.regexp_extract_all(gap, F.lit(_MENTION), F.lit(0)), lambda w: F.struct(w.alias("raw"), F.lit(True).alias("mention")))
+        entity = F.transform(F.slice("found", k + 1, F.lit(1)), lambda raw: F.struct(raw.alias("raw"), F.lit(False).alias("mention")))
+        return F.concat(inner, entity)
+
+    plain = F.transform("found", lambda raw: F.struct(raw.alias("raw"), F.lit(False).alias("mention")))
+    return {
+        "marks": F.when(named, F.flatten(F.transform(gaps, words))).otherwise(plain),
+        "parts": F.when(named, F.flatten(F.transform(gaps, lambda gap: F.split(gap, _MENTION, -1)))).otherwise(gaps),
+    }
+
+
 def replace(docs: DataFrame, secret: str = DEMO_KEY, text: str = "text", count: str = "n_chars") -> DataFrame:
     """``docs`` with every entity in its text replaced, ``count`` (if there) set anew, and ``n_entities``.
 
     A null or empty text, and one without entities, stays as it is. Columns of the input keep
     their names and order, and ``n_entities`` follows them. Repeated rows get equal texts; an empty table gives no rows. A
-    digit run of card length that fails the Luhn check is no entity.
+    digit run of card length that fails the Luhn check is no entity. Words of a titled name are
+    replaced wherever the same document has them capitalised, and words side by side count once.
     """
     rows = materialize(
         _scanned(docs.select(F.monotonically_increasing_id().alias(KEY), F.struct("*").alias(ROW)), F.col(ROW)[text]), "scanned"
     )
     hit = rows.where(F.size("found") > 0)
     spelled = hit.select(F.explode(F.array_distinct("found")).alias("raw")).distinct()
-    known = materialize(replacements(spelled, secret), "replacements")
-    places = hit.select(KEY, F.posexplode("found").alias("at", "raw"))
-    places = places.join(known, "raw", "left").select(KEY, "at", F.coalesce("new", "raw").alias("new"), F.col("new").isNotNull().cast("int").alias("real"))
-    new = places.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"), F.sum("real").alias("n_entities"))
-    parts = F.split(F.col(ROW)[text], PATTERN, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("new.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    raws = spellings(spelled)
+    words = materialize(assigned(raws, secret), "assigned")
+    known = materialize(respelled(raws, words), "replacements")
+    hit = hit.withColumns(_marks(F.col(ROW)[text]))
+    places = hit.select(KEY, F.posexplode("marks").alias("at", "mark")).select(KEY, "at", "mark.raw", "mark.mention")
+    # words of a document's names, with the role of their first mention
+    names = places.where(~F.col("mention")).join(raws.where(F.col("kind").startswith("name")), "raw")
+    names = names.select(KEY, "at", F.posexplode(name_words(F.col("norm"), F.col("kind"))).alias("k", "w"))
+    names = names.groupBy(KEY, F.col("w.norm").alias("norm")).agg(F.min_by("w.kind", F.struct("at", "k")).alias("kind"))
+    names = names.join(words, ["kind", "norm"]).select(KEY, F.col("norm").alias("raw"), "new")
+    entities = places.where(~F.col("mention")).join(known.select("raw", "new"), "raw", "left").select(KEY, "at", "raw", "mention", "new")
+    mentions = places.where("mention").join(names, [KEY, "raw"], "left").select(KEY, "at", "raw", "mention", "new")
+    places = entities.union(mentions).select(KEY, "at", F.coalesce("new", "raw").alias("new"), F.col("new").isNotNull().alias("real"), "mention")
+    new = places.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "new", "real", "mention"))).alias("new"))
+    joined = F.array_join(F.zip_with("parts", F.col("new.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+
+    def counted(mark: Column, k: Column) -> Column:
+        """A replaced mark is an entity, but for the further words of one untitled mention."""
+        before = F.get("new", k - 1)
+        further = mark["mention"] & before["mention"] & before["real"] & F.get("parts", k).isin(" ", "-")
+        return mark["real"] & ~F.coalesce(further, F.lit(False))
 
     def columns(changed: bool) -> list[Column]:
         out = []
@@ -261,7 +335,8 @@ def replace(docs: DataFrame, secret: str = DEMO_KEY, text: str = "text", count:
             out.append(value.alias(field.name))
         return out
 
-    done = hit.join(new, KEY).withColumn("changed", joined).select(*columns(True), F.col("n_entities").cast("long").alias("n_entities"))
+    done = hit.join(new, KEY).withColumn("changed", joined)
+    done = done.select(*columns(True), F.size(F.filter("new", counted)).cast("long").alias("n_entities"))
     rest = rows.where(F.size("found") == 0).select(*columns(False), F.lit(0).cast("long").alias("n_entities"))
     return done.union(rest)
 
