@@ -279,6 +279,19 @@ def test_pii(spark, none):
     assert pii.replace(none).count() == 0
 
 
+def test_pii_full_formats(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    raws = [f"{c}@x.com" for c in letters] + [f"+1{k:04}" for k in range(7000)] + [f"192.168.7.{k}" for k in range(99)]
+    rows = pii.replacements(spark.createDataFrame([(r,) for r in raws], "raw string"), "k").collect()
+    assert sorted(r.raw for r in rows) == sorted(raws)
+    new = [r.new for r in rows]
+    assert len(set(new)) == len(raws) and not set(new) & set(raws)
+    assert {len(r.new) for r in rows if r.kind == "email"} == {7}
+    phones = [n for n in new if n.startswith("+1")]
+    assert len(phones) == 7000 and sorted(n for n in phones if len(n) == 6) == [f"+1{k:04}" for k in range(7000, 10000)]
+    assert all(re.fullmatch(r"\+1\d{4,5}", n) for n in phones)
+
+
 def test_pii_forms_of_a_name_stay_together(spark):
     surnames = [a + b + c for a in ("Ber", "Kol", "Tam", "Wun", "Zel") for b in ("di", "ro", "ma", "ku") for c in ("ck", "nd", "rt", "ss", "lm")]
     t = "Mr John {0} and Mrs {0} met Mr {0}. Later {0} left, John {0} stayed; John-Boy too."

@@ -10,7 +10,9 @@ Names are replaced word by word, also where a document repeats words of one with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count as counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.llm.common import KEY, ROW
@@ -18,7 +20,9 @@ from trendlake.storage import materialize, release
 
 #: Used where no key is given; a deployment passes its own.
 DEMO_KEY = "demonstration-key"
-ROUNDS = 50
+#: Random draws before full formats are dealt out exactly. A format counts as full where it has at
+#: most CROWDED values for each one in use (and SMALL beside), so going through it is linear.
+ROUNDS, CROWDED, SMALL = 8, 16, 1024
 
 # Titles with the gender they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
@@ -161,7 +165,7 @@ def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
     head = F.substring(redrawn, F.lit(1), F.length(redrawn) - 1)
     check = (F.lit(10) - _luhn(F.concat(head, F.lit("0"))) % 10) % 10
     card = F.concat(head, check.cast("string"))
-    ssn = F.concat(F.lit("9"), F.substring(_redrawn(norm, stream), 2, 8))  # area numbers from 900 are never given out
+    ssn = F.concat(F.lit("9"), F.substring(_redrawn(norm, stream), F.lit(2), F.length(norm) - 1))  # area numbers from 900 are never given out
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
@@ -184,15 +188,97 @@ def written_like(raw: Column, kind: Column, new: Column) -> Column:
         c, n = F.substring(raw, i, F.lit(1)), F.substring(new, i, F.lit(1))
         return F.when(c.rlike("[A-Z]"), F.upper(n)).otherwise(n)
 
-    places = F.sequence(F.lit(1), F.length(raw))
+    def over(like: Column, one) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), one), "")
+
+    more = F.substring(new, F.length(_digits(raw)) + 1, F.length(new))  # of a widened format
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(places, laid), ""))
-        .when(kind == "email", F.array_join(F.transform(places, cased), ""))
+        F.when(kind.isin("phone", "card", "ssn"), F.concat(over(raw, laid), more))
+        .when(kind == "email", over(new, cased))
         .when(kind == "ip", new)
         .otherwise(F.concat(F.regexp_extract(raw, "^" + _TITLE, 0), new))
     )
 
 
+def widened(kind: Column, norm: Column, wide: Column) -> Column:
+    """``norm`` in a format with more values: letters or digits more, or a larger range of addresses."""
+    rest = F.substring_index(norm, ".", -3)
+    ip = F.when((wide == 1) & norm.startswith("192.168."), F.concat(F.lit("10."), rest)).otherwise(F.concat(F.lit("11."), rest))
+    email = F.concat(F.substring_index(norm, "@", 1), F.repeat(F.lit("a"), wide), F.lit("@"), F.substring_index(norm, "@", -1))
+    wider = F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "card", "ssn"), F.concat(norm, F.repeat(F.lit("0"), wide)))
+    return F.when(wide > 0, F.coalesce(wider, norm)).otherwise(norm)
+
+
+#: Places of a format: how many values each has.
+_PLACES = {"\u0001": 26, "\u0002": 10, "\u0003": 1, "\u0004": 256, "\u0005": 100}
+
+
+def _format(family: Column, new: Column) -> Column:
+    """The format that a replacement was drawn in, as a template; null for words, which grow by themselves."""
+    local = F.regexp_replace(F.regexp_replace(F.substring_index(new, "@", 1), "[a-z]", "\u0001"), "[0-9]", "\u0002")
+    head, n = F.substring(new, 1, 1), F.length(new)
+    ip = F.when(new.startswith("192.168."), "192.168.\u0004.\u0004").when(new.startswith("10."), "10.\u0004.\u0004.\u0004").otherwise("\u0005.\u0004.\u0004.\u0004")
+    return (
+        F.when(family == "email", F.concat(local, F.lit("@"), F.substring_index(new, "@", -1)))
+        .when(family == "ip", ip)
+        .when(family.isin("phone", "ssn"), F.concat(head, F.repeat(F.lit("\u0002"), n - 1)))
+        .when(family == "card", F.concat(head, F.repeat(F.lit("\u0002"), n - 2), F.lit("\u0003")))
+    )
+
+
+def _radix(c: Column) -> Column:
+    out = None
+    for place, n in _PLACES.items():
+        out = F.when(c == place, n) if out is None else out.when(c == place, n)
+    return F.coalesce(out, F.lit(1)).cast("long")
+
+
+def _nth(template: Column, i: Column) -> Column:
+    """Value number ``i`` of a format."""
+
+    def step(state: Column, c: Column) -> Column:
+        r = F.pmod(state["rest"], _radix(c))
+        piece = F.when(c == "\u0001", F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), r.cast("int") + 1, F.lit(1)))
+        piece = piece.when(c.isin("\u0002", "\u0004"), r.cast("string")).when(c == "\u0005", (r + 11).cast("string")).when(c == "\u0003", "").otherwise(c)
+        return F.struct(F.floor((state["rest"] - r) / _radix(c)).cast("long").alias("rest"), F.concat(state["out"], piece).alias("out"))
+
+    start = F.struct(i.cast("long").alias("rest"), F.lit("").alias("out"))
+    text = F.aggregate(F.split(template, ""), start, step)["out"]
+    check = (F.lit(10) - _luhn(F.concat(text, F.lit("0"))) % 10) % 10
+    return F.when(template.endswith("\u0003"), F.concat(text, check.cast("string"))).otherwise(text)
+
+
+def _numbered(rows: DataFrame, order: Column, parts: int) -> DataFrame:
+    """``number`` from 1 on within each (family, format), by ``order``; no task holds a whole format."""
+    keys = ["family", "format"]
+    dealt = materialize(rows.withColumn("__o", order).withColumn("__b", F.pmod(F.xxhash64("__o"), F.lit(parts))), "dealt")
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "__b").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__o"))
+    return dealt.withColumn("__own", own).join(sizes, [*keys, "__b"]).withColumn("number", F.col("__own") + F.col("__before")).drop("__o", "__b", "__own", "__before", "__n")
+
+
+def _dealt_out(state: DataFrame, real: DataFrame, secret: str, parts: int) -> DataFrame:
+    """``state`` with the free values of full formats given to those that found none; the rest go to a wider format."""
+    used = real.union(state.where("new is not null").select("family", "new")).withColumn("format", _format(F.col("family"), F.col("new")))
+    losing = state.where("new is null").withColumn("format", _format(F.col("family"), F.col("tried")))
+    full = used.groupBy("family", "format").agg(F.count("*").alias("n")).join(losing.select("family", "format").distinct(), ["family", "format"], "right")
+    values = F.aggregate(F.split("format", ""), F.lit(1.0), lambda total, c: total * _radix(c))
+    full = full.where("format is not null").withColumn("values", values)
+    full = materialize(full.where(F.col("values") <= F.coalesce("n", F.lit(0)) * CROWDED + SMALL).select("family", "format", F.col("values").cast("long").alias("values")), "formats")
+    blocks = full.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("values") - 1) / 4096)))).repartition(parts, F.xxhash64("format", "b"))
+    each = F.explode(F.sequence(F.col("b") * 4096, F.least(F.col("values"), (F.col("b") + 1) * 4096) - 1))
+    free = blocks.select("family", "format", each.alias("i")).select("family", "format", _nth(F.col("format"), F.col("i")).alias("new"))
+    free = free.join(used.select("family", "new"), ["family", "new"], "left_anti")
+    free = _numbered(free, F.sha2(F.concat_ws("\u0001", F.lit(secret), "new"), 256), parts)
+    given = losing.join(full.select("family", "format"), ["family", "format"]).select("kind", "norm", "family", "format")
+    given = _numbered(given, F.sha2(F.concat_ws("\u0001", F.lit(secret), "kind", "norm"), 256), parts)
+    given = given.join(free, ["family", "format", "number"], "left").select("kind", "norm", F.col("new").alias("given"), F.lit(1).alias("dealt"))
+    out = state.join(given, ["kind", "norm"], "left")
+    wide = F.col("wide") + (F.col("dealt").isNotNull() & F.col("given").isNull()).cast("int")
+    return materialize(out.select("kind", "norm", "family", "attempt", wide.alias("wide"), F.coalesce("new", "given").alias("new"), "tried"), "state")
+
+
 def name_words(norm: Column, kind: Column) -> Column:
     """Structs (kind, norm, before) of a name's words: word_s for those of the last part, else word_m or word_f."""
     gender = F.concat(F.lit("word_"), F.substring(kind, -1, 1))
@@ -239,7 +325,8 @@ def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
     Given names and surnames are entities of their own, so that a new draw moves every name with
     that word. The first draw of nearly all entities stands. Of entities that draw the same, the
     one of fewest attempts and smallest normal form keeps it; the others, and those that drew an
-    entity of the corpus, draw again.
+    entity of the corpus, draw again. After each ``ROUNDS`` draws the free values of full formats
+    are dealt out, and an entity for which none is left goes on in a wider format.
     """
     named = F.col("kind").startswith("name")
     words = raws.where(named).select(F.explode(name_words(F.col("norm"), F.col("kind"))).alias("w"))
@@ -247,11 +334,13 @@ def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
     # drawing costs more than its few bytes show, so the partitions are counted out; by a hash of
     # its own, as the same columns again would be taken for the partitioning of distinct
     tasks = int(raws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = materialize(entities.repartition(tasks, F.xxhash64("kind", "norm")).withColumn("attempt", F.lit(0)), "entities")
-    real = state.select(F.substring_index("kind", "_", 1).alias("family"), F.col("norm").alias("new")).distinct()
-    for _ in range(ROUNDS):
-        drawn = state.withColumn("new", draw(secret, F.col("kind"), F.col("norm"), F.col("attempt")))
-        drawn = materialize(drawn.withColumn("family", F.substring_index("kind", "_", 1)), "drawn")
+    state = entities.repartition(tasks, F.xxhash64("kind", "norm")).withColumn("family", F.substring_index("kind", "_", 1))
+    none = F.lit(None).cast("string")
+    state = materialize(state.withColumns({"attempt": F.lit(0), "wide": F.lit(0), "new": none, "tried": none}), "entities")
+    real = state.select("family", F.col("norm").alias("new")).distinct()
+    for round_ in counter(1):
+        fresh = draw(secret, F.col("kind"), widened(F.col("kind"), F.col("norm"), F.col("wide")), F.col("attempt"))
+        drawn = materialize(state.withColumn("new", F.coalesce("new", fresh)), "drawn")
         owner = drawn.groupBy("family", "new").agg(F.min(F.struct("attempt", "kind", "norm")).alias("owner"), F.count("*").alias("n"))
         clashes = owner.join(real.withColumn("taken", F.lit(True)), ["family", "new"], "left").where("n > 1 or taken")
         clashes = materialize(clashes.select("family", "new", "owner", F.coalesce("taken", F.lit(False)).alias("taken")), "clashes")
@@ -259,10 +348,14 @@ def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
             return drawn.select("kind", "norm", "new")
         mine = (F.col("owner.kind") == F.col("kind")) & (F.col("owner.norm") == F.col("norm"))
         again = F.col("owner").isNotNull() & (F.col("taken") | ~mine)
-        following = drawn.join(clashes, ["family", "new"], "left")
-        state = materialize(following.select("kind", "norm", (F.col("attempt") + again.cast("int")).alias("attempt")), "state")
+        following = drawn.join(clashes, ["family", "new"], "left").select(
+            "kind", "norm", "family", (F.col("attempt") + again.cast("int")).alias("attempt"), "wide",
+            F.when(~again, F.col("new")).alias("new"), F.when(again, F.col("new")).alias("tried"),
+        )
+        state = materialize(following, "state")
         release(drawn)
-    raise RuntimeError(f"replacements still clash after {ROUNDS} rounds")
+        if round_ % ROUNDS == 0:
+            state = _dealt_out(state, real, secret, tasks)
 
 
 def _scanned(rows: DataFrame, text: Column) -> DataFrame:
