@@ -210,6 +210,13 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_in_wide_alignment(spark):
+    cases = [f'db_pwd{" " * n}={chr(9) * n}"Xy12ab90Zq"' for n in (8, 9, 12, 60)]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    assert got == {i: f"lexed:{c.index(chr(34)) + 1}:{len(c) - 1}" for i, c in enumerate(cases)}
+
+
 def test_sharding(docs, none):
     def jump(key, n):
         b, j = -1, 0
