@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trendlake.storage import materialize, release
 
 ROW = "__tl_row"
 KEY = "__tl_key"
+#: A key is hot where it holds a ``HOT``-th of all rows (so at most that many are) and ``LEAST_HOT`` rows.
+HOT, LEAST_HOT = 512, 1_000
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
 def unpack(df: DataFrame, columns: list[str]) -> list[Column]:
     """The original columns out of ``__tl_row``."""
-    return [F.col(ROW).getField(c).alias(c) for c in columns]
+    return [F.col(ROW)[c].alias(c) for c in columns]
 
 
 def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -49,13 +52,42 @@ def slices(texts: list[bytes | None], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, blanks and dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_fields(schema: StructType, more: str) -> StructType:
+    """``schema`` with the fields of a DDL string behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, total: int, count: str = "n") -> DataFrame:
+    """``rows`` with the other columns of ``table``, inner, where a few keys may hold most rows.
+
+    ``table`` has each key once and in ``count`` how many of the ``total`` rows have it. Hot keys,
+    at most ``HOT`` of them, are broadcast; all others are joined by shuffle, where the
+    rows of hot keys, which find nothing there, are dealt out by ``spread``, a stored column.
+    """
+    limit = max(LEAST_HOT, total // HOT)
+    values = [c for c in table.columns if c not in (*keys, count)]
+    hot = table.where(F.col(count) >= limit).select(*keys, F.struct(*values).alias("__hot"))
+    rest = table.where(F.col(count) < limit).select(*keys, F.lit(0).cast("long").alias("__salt"), F.struct(*values).alias("__rest"))
+    dealt = rows.join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.lit(1 << 20)) + 1).cast("long"))
+    found = dealt.join(rest, [*keys, "__salt"], "left").withColumn("__value", F.coalesce("__hot", "__rest"))
+    return found.where("__value is not null").select(*rows.columns, *[F.col("__value")[v].alias(v) for v in values])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of ``edges(u, v)``: columns node, component.
 
     Alternating large-star and small-star rounds: both are grouped minima (combined before
     the shuffle) and equi joins, and the number of edges never grows. Each round is written to
     the shared folder, so no lineage builds up. Nulls and self loops are left out; an empty
-    input gives an empty result. Raises if the rounds run out, rather than give a partial answer.
+    input gives an empty result. A node that most edges share, as the root of a giant component
+    is, has its minimum broadcast (see :func:`lookup`). Raises if the rounds run out, rather than
+    give a partial answer.
     """
     state = materialize(
         edges.where("u is not null and v is not null and u <> v")
@@ -63,14 +95,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    seen = None
+    seen, count = None, state.count()
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = lookup(both.where("v > u"), low, ["u"], F.xxhash64("v"), 2 * count)
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "u")
+            lookup(large, low, ["u"], F.xxhash64("v"), count)
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
@@ -83,5 +116,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if sign == seen:
             roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        seen = sign
+        seen, count = sign, sign[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")

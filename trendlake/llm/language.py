@@ -1,11 +1,11 @@
 """Language identification by Bayesian fusion of evidence.
 
 For every row: tempered likelihoods of its text under byte-gram models of the languages and of
-"no known language" (``und``), the declared language (markup or metadata), the address suffix
-and path code, and a prior of its host. Host priors are smoothed step by step: a host's counts
-towards its domain's, those towards its top-level domain's, those towards the whole corpus.
-All counts are expected languages under the text alone, summed over every row; a row's own
-share is left out of its host's prior.
+"no known language" (``und``), likelihoods of the declared language (markup or metadata), of the
+address suffix and of the path code, and a prior of its host. Host priors are smoothed step by
+step: a host's counts towards its domain's, those towards the whole corpus. All counts are expected
+languages under the text alone, summed over every row; a row's own share is left out of its
+host's prior.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trendlake.llm.common import KEY, ROW, byte_values, slices, unpack, with_row_key
+from trendlake.llm.common import ROW, byte_values, column, lookup, slices, unpack, with_fields
 from trendlake.storage import materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -36,7 +37,9 @@ FLOOR, UNKNOWN_ODDS = 0.1, 0.25
 STRENGTH = 8.0
 #: A row keeps its language from this posterior on.
 ACCEPT = 0.5
-_HTML = re.compile(rb"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]{0,4096}>")
+#: Kinds of evidence beside the text and the host.
+EVIDENCE = ("declared", "suffix", "code")
+_OPENER = re.compile(rb"<!--|<(script|style)\b")
 _FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 
 
@@ -62,8 +65,9 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for lang in set(langs):
-            h, _ = _grams([t for t, x in zip(byte_values(batch.column(1)), langs, strict=True) if x == lang])
-            totals[lang] = totals.get(lang, 0) + np.bincount(h, minlength=BUCKETS)
+            texts = [t for t, x in zip(byte_values(batch.column(1)), langs, strict=True) if x == lang]
+            for lo, hi in slices(texts, 1_000_000):
+                totals[lang] = totals.get(lang, 0) + np.bincount(_grams(texts[lo:hi])[0], minlength=BUCKETS)
     for lang, counts in totals.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], ["lang", "gram", "n"])
@@ -72,16 +76,19 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> np.ndarray:
     """Log likelihoods (gram bucket x class) from ``sample`` documents labelled with each language.
 
-    The sample is the rows with the lowest hashes of their ids. ``und`` has a fixed
+    The sample is the ids with the lowest hashes, one row each however often an id is
+    repeated; rows without an id or text train nothing. ``und`` has a fixed
     share of the uniform chance, so only texts that no model explains fall to it.
     """
-    chosen = docs.select(F.col(key).alias("id"), F.lower(F.substring_index(F.col(lang), "-", 1)).alias("lang"), F.col(text).alias("text"))
+    code = F.lower(F.substring_index(column(lang).cast("string"), "-", 1))
+    chosen = docs.select(column(key).alias("id"), code.alias("lang"), column(text).cast("string").alias("text"))
     first = [
-        chosen.where(F.col("lang") == x).select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+        chosen.where(F.col("lang") == x).select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
         for x in LANGUAGES
     ]
     ids = sorted({r[0] for r in reduce(DataFrame.unionByName, first).collect()})
-    rows = chosen.where(F.col("id").isin(ids) & F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("lang", "text")
+    rows = chosen.where(F.col("id").isin(ids) & F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
+    rows = rows.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
     counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = np.zeros((BUCKETS, len(CLASSES)))
     for r in counts.collect():  # at most BUCKETS rows a language
@@ -94,13 +101,52 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return table.astype(np.float32)
 
 
+def without_tags(page: bytes) -> bytes:
+    """``page`` with comments, scripts, styles and tags blanked, in one pass whatever is left open.
+
+    What is never closed is text: a ``<`` behind the last ``>``, or the inside of an open comment.
+    """
+    low, last = page.lower(), page.rfind(b">")
+    out, at, missing = [], 0, set()
+    while 0 <= (begin := low.find(b"<", at)) <= last:
+        opened = _OPENER.match(low, begin)
+        closer = b"-->" if opened and opened[0] == b"<!--" else opened and b"</" + opened[1]
+        end = -1
+        if closer and closer not in missing:
+            end = low.find(closer, begin + 1)
+            if end < 0:
+                missing.add(closer)
+            else:
+                end = low.find(b">", end)
+        if end < 0:
+            end = low.find(b">", begin)
+        out.append(page[at:begin])
+        at = end + 1
+    return b" ".join([*out, page[at:]])
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
 def _score_batches(handle, temper: float):
+    """Replaces the columns text and html, the last two, by likelihood and share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.ascontiguousarray(handle.value.T)
         for batch in batches:
-            raws = byte_values(batch.column(1))
-            html = batch.column(2).to_pylist()
-            texts = [_HTML.sub(b" ", t) if t and m else t for t, m in zip(raws, html, strict=True)]
+            raws = byte_values(batch.column("text"))
+            html = batch.column("html").to_pylist()
+            texts = [without_tags(t) if t and m else t for t, m in zip(raws, html, strict=True)]
             out = np.zeros((len(texts), len(CLASSES)))
             for lo, hi in slices(texts, 1_000_000):
                 h, n = _grams(texts[lo:hi])
@@ -110,12 +156,30 @@ def _score_batches(handle, temper: float):
                 begin = (np.cumsum(n) - n)[some]
                 for c in range(len(CLASSES)):
                     out[lo + some, c] = np.add.reduceat(columns[c].take(h).astype(np.float64), begin)
-            lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(CLASSES), dtype=np.int32), pa.array((temper * out).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["key", "likelihood"])
+            out *= temper
+            names = batch.schema.names[:-2]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], _lists(out), _lists(_softmax(out))], [*names, "likelihood", "share"])
 
     return run
 
 
+def _fuse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all evidence: the prior of the host without the row's own share, and the likelihoods."""
+    for batch in batches:
+        share, above = _matrix(batch, "share"), _matrix(batch, "above")
+        others = np.maximum(_matrix(batch, "of_host") - share, 0)
+        prior = (others + STRENGTH * above) / (others.sum(axis=1, keepdims=True) + STRENGTH)
+        logs = np.log(prior + 1e-9) + _matrix(batch, "likelihood")
+        for name in EVIDENCE:
+            logs += _matrix(batch, f"of_{name}")
+        posterior = _softmax(logs)
+        best = posterior.argmax(axis=1)
+        top = posterior.max(axis=1)
+        accepted = (best != CLASSES.index(UNKNOWN)) & (top >= ACCEPT)
+        langs = pa.array(np.array(CLASSES, object)[best], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(ROW), langs, pa.array(top), pa.array(accepted)], [ROW, "lang", "posterior", "accepted"])
+
+
 def host_parts(url: Column) -> dict[str, Column]:
     """Host, domain, two-letter country suffix or 'generic', and two-letter path code or 'none'."""
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -129,17 +193,10 @@ def host_parts(url: Column) -> dict[str, Column]:
     }
 
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
-
-
 def _class_sums(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Expected rows in each class, summed map-side first."""
+    """Expected rows in each class, and rows, of each key, summed map-side first."""
     sums = [F.sum(F.col("share")[k]).alias(f"c{k}") for k in range(len(CLASSES))]
-    return df.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))]).alias("sums"))
+    return df.groupBy(*keys).agg(*sums, F.sum("n").alias("n")).select(*keys, F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))]).alias("sums"), "n")
 
 
 def _smoothed(sums: Column, parent: Column, strength: float = STRENGTH) -> Column:
@@ -148,75 +205,71 @@ def _smoothed(sums: Column, parent: Column, strength: float = STRENGTH) -> Colum
 
 
 def identify(rows: DataFrame, model: np.ndarray, temper: float = TEMPER) -> DataFrame:
-    """key, lang, posterior and accepted for ``rows(key, url, declared, text, html)``.
+    """__tl_row, lang, posterior and accepted for each of ``rows(__tl_row, url, declared, text, html)``.
 
+    ``__tl_row`` is handed through: every row gives one row, whatever it holds and however often.
     ``html`` marks texts whose tags are dropped first. Every kind of evidence may be null and then
-    says nothing; a row without any text is ``und`` unless its other evidence is strong. Equal
-    rows get equal results; an empty table gives an empty result.
+    says nothing; a row without any text is ``und`` unless its other evidence is strong. Texts of any
+    length are scored whole. Equal rows get equal results; an empty table gives an empty result.
     """
     spark = rows.sparkSession
-    schema = "key long, likelihood array<double>"
+    declared = F.nullif(F.regexp_extract(F.lower("declared"), r"^\s*([a-z]{2,3})(?:$|[^a-z])", 1), F.lit(""))
     narrow = rows.select(
-        "key",
+        ROW,
+        F.monotonically_increasing_id().alias("place"),
         *[c.alias(n) for n, c in host_parts(F.coalesce("url", F.lit(""))).items()],
-        F.coalesce(F.nullif(F.regexp_extract(F.lower("declared"), r"^\s*([a-z]{2,3})(?:$|[^a-z])", 1), F.lit("")), F.lit("none")).alias("declared"),
+        F.coalesce(declared, F.lit("none")).alias("declared"),
+        F.lit(1).cast("long").alias("n"),
+        F.col("text").cast("string").alias("text"),
+        F.coalesce("html", F.lit(False)).alias("html"),
     )
     handle = spark.sparkContext.broadcast(model)
-    texts = rows.select("key", F.col("text").cast("string").alias("text"), F.coalesce("html", F.lit(False)).alias("html"))
-    scored = texts.mapInArrow(_score_batches(handle, temper), schema)
-    scored = scored.withColumn("share", _softmax(F.col("likelihood")))
-    scored = materialize(narrow.join(scored, "key"), "evidence")
+    kept = StructType(narrow.schema.fields[:-2])
+    scored = narrow.mapInArrow(_score_batches(handle, temper), with_fields(kept, "likelihood array<double>, share array<double>"))
+    scored = materialize(scored, "evidence")
 
-    uniform = F.array(*[F.lit(1.0 / len(CLASSES))] * len(CLASSES))
-    hosts = materialize(_class_sums(scored, ["suffix", "domain", "host"]), "hosts")
+    hosts = materialize(_class_sums(scored, ["domain", "host"]), "hosts")
     as_share = hosts.withColumnRenamed("sums", "share")
-    whole = _class_sums(as_share, []).select(_smoothed(F.col("sums"), uniform).alias("p")).first()
-    corpus = list(whole["p"]) if whole and whole["p"] and None not in whole["p"] else [1.0 / len(CLASSES)] * len(CLASSES)
-    top = F.array(*[F.lit(float(p)) for p in corpus])
-    suffixes = _class_sums(as_share, ["suffix"]).select("suffix", _smoothed(F.col("sums"), top).alias("over"))
-    domains = _class_sums(as_share, ["suffix", "domain"]).join(F.broadcast(suffixes), "suffix")
-    domains = domains.select("suffix", "domain", _smoothed(F.col("sums"), F.col("over")).alias("above"))
-    hosts = hosts.join(domains, ["suffix", "domain"]).select("suffix", "domain", "host", F.col("sums").alias("of_host"), "above")
+    whole = _class_sums(as_share, []).first()
+    n = int(whole["n"] or 0)
+    totals = [float(x or 0) for x in whole["sums"]] if n else [0.0] * len(CLASSES)
+    corpus = F.array(*[F.lit((x + STRENGTH / len(CLASSES)) / (n + STRENGTH)) for x in totals])
+    domains = _class_sums(as_share, ["domain"]).select("domain", _smoothed(F.col("sums"), corpus).alias("above"), F.lit(1).alias("one"))
+    hosts = hosts.join(domains, "domain").select("domain", "host", F.col("sums").alias("of_host"), "above", "n")
 
     def evidence(name: str) -> DataFrame:
         """log P(value | class) for at most some thousand values: codes of two or three letters."""
         sums = _class_sums(scored, [name])
-        share = F.col("sums")
-        totals = [float(p) for p in corpus]
-        n = scored.count()
-        spread = F.aggregate(share, F.lit(0.0), lambda a, x: a + x) / F.lit(float(max(n, 1)))
-        logs = F.zip_with(share, F.array(*[F.lit(t * n) for t in totals]), lambda x, t: F.log((x + STRENGTH * spread) / (t + STRENGTH)))
+        spread = F.col("n") / F.lit(float(max(n, 1)))
+        logs = F.zip_with("sums", F.array(*[F.lit(t) for t in totals]), lambda x, t: F.log((x + STRENGTH * spread) / (t + STRENGTH)))
         return F.broadcast(sums.select(name, logs.alias(f"of_{name}")))
 
-    out = scored.join(hosts, ["suffix", "domain", "host"])
-    for name in ("declared", "suffix", "code"):
+    out = lookup(scored, hosts, ["domain", "host"], F.xxhash64("place"), n)
+    for name in EVIDENCE:
         out = out.join(evidence(name), name)
-    others = F.zip_with("of_host", "share", lambda n, own: F.greatest(n - own, F.lit(0.0)))
-    prior = F.transform(_smoothed(others, F.col("above")), lambda p: F.log(p + 1e-9))
-    logs = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [F.col("likelihood"), prior, F.col("of_declared"), F.col("of_code")])
-    out = out.select("key", _softmax(logs).alias("posterior"))
-    best = F.array_max("posterior")
-    lang = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.array_position("posterior", best).cast("int"))
-    return out.select("key", lang.alias("lang"), best.alias("posterior"), ((lang != UNKNOWN) & (best >= ACCEPT)).alias("accepted"))
+    out = out.select(ROW, "likelihood", "share", "of_host", "above", *[f"of_{name}" for name in EVIDENCE])
+    return out.mapInArrow(_fuse_batches, with_fields(StructType([rows.schema[ROW]]), "lang string, posterior double, accepted boolean"))
 
 
-def page_evidence(pages: DataFrame, key: Column) -> DataFrame:
-    declared = F.regexp_extract("html", r"(?i)<html\b[^>]{0,512}?\blang\s*=\s*[\"']?([A-Za-z-]{2,16})", 1)
-    return pages.select(key.alias("key"), "url", declared.alias("declared"), F.col("html").alias("text"), F.lit(True).alias("html"))
+def page_evidence(pages: DataFrame, row: Column) -> DataFrame:
+    """A page's address and the ``lang`` of its ``html`` tag, however long that tag is."""
+    inside = F.regexp_extract("html", r"(?i)<html\b([^>]*+)", 1)
+    declared = F.regexp_extract(inside, r"(?i)\blang\s*=\s*[\"']?([A-Za-z-]{2,})", 1)
+    return pages.select(row.alias(ROW), "url", declared.alias("declared"), F.col("html").alias("text"), F.lit(True).alias("html"))
 
 
-def document_evidence(docs: DataFrame, key: Column, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def document_evidence(docs: DataFrame, row: Column, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """A document's source stands for its host, its ``lang`` for the declared language."""
-    return docs.select(
-        key.alias("key"), F.col(source).cast("string").alias("url"), F.col(lang).cast("string").alias("declared"), F.col(text).cast("string").alias("text"), F.lit(False).alias("html")
-    )
+    url, declared, content = (column(c).cast("string") for c in (source, lang, text))
+    return docs.select(row.alias(ROW), url.alias("url"), declared.alias("declared"), content.alias("text"), F.lit(False).alias("html"))
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows in no known language; all columns and names stay as they are."""
-    rows = with_row_key(docs)
-    flat = rows.select(KEY, F.col(ROW)[text].alias("text"), F.col(ROW)[lang].alias("lang"), F.col(ROW)[source].alias("source"))
-    model = train(docs, key, text, lang)
-    found = identify(document_evidence(flat, F.col(KEY)), model)
-    gone = found.where(~F.col("accepted")).select(F.col("key").alias(KEY))
-    return rows.join(gone, KEY, "left_anti").select(*unpack(rows, docs.columns))
+    """``docs`` without the rows in no known language; all columns and names stay as they are.
+
+    Each row is judged on its own, so repeated rows stay or go together, and rows with a null id,
+    language or source are judged by the rest. An empty or null text goes unless its language is declared
+    and its source agrees. An empty table gives an empty result.
+    """
+    found = identify(document_evidence(docs, F.struct("*"), text, lang, source), train(docs, key, text, lang))
+    return found.where("accepted").select(*unpack(found, docs.columns))

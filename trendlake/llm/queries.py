@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake.llm import decontaminate, language, packing, pii, pivots, secrets, sharding, simhash, token_counts, toxicity, vocab
+from trendlake.llm.common import unpack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and every page: doc_id or page_id, lang, posterior, accepted."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
-    # keys of both tables in one: documents even, pages odd
-    rows = language.document_evidence(docs, F.col("doc_id") * 2).unionByName(language.page_evidence(pages, F.col("page_id") * 2 + 1))
+    none = F.lit(None).cast("long")
+    rows = language.document_evidence(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id")))
+    rows = rows.unionByName(language.page_evidence(pages, F.struct(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"))))
     found = language.identify(rows, language.train(docs))
-    even = F.pmod(F.col("key"), F.lit(2)) == 0
-    return found.select(
-        F.when(even, F.expr("key div 2")).alias("doc_id"),
-        F.when(~even, F.floor((F.col("key") - 1) / 2)).alias("page_id"),
-        "lang",
-        "posterior",
-        "accepted",
-    )
+    return found.select(*unpack(found, ["doc_id", "page_id"]), "lang", "posterior", "accepted")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
