@@ -9,7 +9,6 @@ and stretches shorter than the shortest window are left out: neither can hold a
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -19,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import byte_values, slices
+from trendlake.llm.common import byte_values, column, slices, with_fields
 from trendlake.llm.fm_index import FMIndex
+from trendlake.storage import materialize, release
 
 WINDOW = 10
 #: Bytes of text in one shard's index; bytes of benchmark text that are searched in one pass.
@@ -39,15 +39,15 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Windows:
     """The distinct windows of some benchmark items, as word numbers from 1."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.items: list[str] = []
+        self.items: list[str | None] = []
         owners: dict[int, dict[tuple[int, ...], set[int]]] = {}
         for name, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
             if not ids:
                 continue
-            self.items.append(name)
+            self.items.append(name)  # None: its windows are hits and no more
             size = min(window, len(ids))
             of_size = owners.setdefault(size, {})
             for s in range(len(ids) - size + 1):
@@ -85,7 +85,7 @@ class Windows:
                 symbols[np.cumsum(n) - 1] = 0
                 self._find(symbols, at, first, spans, names)
         return [
-            (int(sizes[k]), spans[k], [self.items[i] for i in sorted(names[k])]) for k in range(len(texts))
+            (int(sizes[k]), spans[k], [self.items[i] for i in sorted(names[k]) if self.items[i] is not None]) for k in range(len(texts))
         ]
 
     def _find(self, symbols, at, first, spans, names) -> None:
@@ -132,10 +132,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _passes(bench: DataFrame, item: str, text: str) -> list[list[tuple[str, bytes]]]:
+def _passes(bench: DataFrame, item: str, text: str) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of bounded size, each small enough for driver and tasks."""
-    chosen = bench.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
-    chosen = chosen.where("item is not null and text is not null")
+    chosen = bench.select(column(item).cast("string").alias("item"), column(text).cast("string").alias("text")).where("text is not null")
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // PASS_BYTES))
     for k in range(blocks):
@@ -172,21 +171,31 @@ def _scan_batches(handle, n_docs: int):
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Struct ``doc`` (all columns), ``words_text``, n_words, flat word spans and item names per row.
 
-    Null or empty texts have no words; null benchmark rows are passed over; an item whose words
-    are all of an earlier item's is reported as well. Equal rows get equal results. A benchmark
-    beyond ``PASS_BYTES`` is searched block by block, each pass adding to the last one's spans.
+    Null or empty texts have no words, long ones are searched whole; benchmark rows with a null text
+    are passed over, the windows of one with a null id are hits that no item is named for; an item whose
+    words are all of an earlier item's is reported as well. Equal rows get equal results; an empty
+    table gives no rows. A benchmark beyond ``PASS_BYTES`` is searched block by block: each pass adds to
+    the spans of the last, which is written before, so no task holds more than one block's windows.
     """
-    out = docs.select(F.struct("*").alias("doc"), F.col(text).cast("string").alias("words_text"))
-    base = out.schema.simpleString()[len("struct<") : -1]
+    out = docs.select(F.struct("*").alias("doc"), column(text).cast("string").alias("words_text"))
+    schema = with_fields(out.schema, "n_words bigint, spans array<bigint>, items array<string>")
+    earlier = None
     for items in _passes(bench, item, bench_text):
+        if earlier is not None:
+            handle, before = earlier
+            out = materialize(out, "searched")
+            handle.unpersist()
+            if before is not None:
+                release(before)
         handle = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
-        out = out.mapInArrow(_scan_batches(handle, 1), f"{base}, n_words bigint, spans array<bigint>, items array<string>")
+        earlier = handle, out if earlier else None
+        out = out.mapInArrow(_scan_batches(handle, 1), schema)
     return out
 
 
 def report(docs: DataFrame, bench: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
     """Per document the counts of its words, hit words and items, a digest and a verdict."""
-    narrow = docs.select(key, names.get("text", "text"))
+    narrow = docs.select(column(key), column(names.get("text", "text")))
     found = scan(narrow, bench, **names)
     hit = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.size("spans") - 2, F.lit(0)), F.lit(2)),
@@ -229,7 +238,8 @@ def remove(docs: DataFrame, bench: DataFrame, text: str = "text", count: str = "
     """``docs`` with every hit span cut out of its text and ``count`` (if there) set anew.
 
     A document that has no word left after a cut is dropped; all others stay, clean ones
-    untouched. Columns and their order stay as they are.
+    untouched, and so do null and empty texts. Repeated rows stay repeated, and an empty table gives no
+    rows. Columns, whatever their names, and their order stay as they are.
     """
     found = scan(docs, bench, text=text, **names)
     left = F.size("spans") == 0
@@ -237,8 +247,3 @@ def remove(docs: DataFrame, bench: DataFrame, text: str = "text", count: str = "
     at = docs.columns.index(text)
     counted = docs.columns.index(count) if count in docs.columns else None
     return found.where(left).select("doc", "spans").mapInArrow(_cut_batches(at, counted), docs.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    """The digest of a row of :func:`report`, for checks."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
