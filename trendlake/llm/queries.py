@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendlake.llm import decontaminate, language, packing, pii, pivots, secrets, sharding, simhash, token_counts, toxicity, vocab
 from trendlake.llm.common import unpack
+from trendlake.storage import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,39 +25,54 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links under its label, its component, and whether it stays."""
     return pivots.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, those of benchmark passages, and the items they are of."""
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that its near copies have."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the rows that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
     return pii.replace(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
     return packing.pack(_table(spark, sf_dir, "documents"), vocab.default_path("word_bpe_49k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocab.default_path("byte_bpe_50k.json"))
+    """Every document's tokens, behind a cache that an earlier job over the Spanish ones has filled.
+
+    That job's counts are found in the cache; all other texts are misses.
+    """
+    docs, cache = _table(spark, sf_dir, "documents"), scratch_path(spark, "token-cache")
+    path = vocab.default_path("byte_bpe_50k.json")
+    token_counts.refresh(docs.where("lang = 'es'"), path, cache)
+    return token_counts.count_tokens(docs, path, cache)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: the base patterns and what the lexer adds."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard, slot, and shard among one more."""
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 

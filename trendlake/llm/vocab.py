@@ -69,6 +69,15 @@ def _cuts_by_word_rule(path: str) -> bool:
     return (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS and cut == WORD_RULE and [x["type"] for x in steps[1:]] == ["ByteLevel"]
 
 
+def _cuts_at_blanks(path: str) -> bool:
+    """Whether a file is a byte-level BPE that cuts texts as its own rule does, with special strings of ``<|``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return bool(plain and not spec["normalizer"] and all(t["content"].startswith("<|") for t in spec["added_tokens"]))
+
+
 class SentencePieceCounter:
     """Token counts of a ``.model`` file, text by text."""
 
@@ -82,10 +91,15 @@ class SentencePieceCounter:
 
 
 class ByteLevelCounter:
-    """Token counts of a byte-level BPE whose pieces take the one blank before them along."""
+    """Token counts of a ``.json`` file.
+
+    Where it is a byte-level BPE whose pieces take the one blank before them along, pieces are
+    looked up; any other file is given every text whole.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _load(path)
+        self.by_piece = _cuts_at_blanks(path)
         self.newline = self.whole("\n")
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
@@ -107,7 +121,7 @@ class ByteLevelCounter:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        if _UNUSUAL.search(text) or _CONTROL.search(text):
+        if not self.by_piece or _UNUSUAL.search(text) or _CONTROL.search(text):
             return self.whole(text)
         lines = [line.split(" ") for line in text.split("\n")]
         total = self.newline * (len(lines) - 1) + self._sum(self.bare, [line[0] for line in lines], "")
