@@ -62,8 +62,8 @@ def with_fields(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, total: int, count: str = "n") -> DataFrame:
-    """``rows`` with the other columns of ``table``, inner, where a few keys may hold most rows.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``table``, inner or left, where a few keys may hold most rows.
 
     ``table`` has each key once and in ``count`` how many of the ``total`` rows have it. Hot keys,
     at most ``HOT`` of them, are broadcast; all others are joined by shuffle, where the
@@ -76,7 +76,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, t
     dealt = rows.join(F.broadcast(hot), keys, "left")
     dealt = dealt.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.lit(1 << 20)) + 1).cast("long"))
     found = dealt.join(rest, [*keys, "__salt"], "left").withColumn("__value", F.coalesce("__hot", "__rest"))
-    return found.where("__value is not null").select(*rows.columns, *[F.col("__value")[v].alias(v) for v in values])
+    found = found.where("__value is not null") if how == "inner" else found
+    return found.select(*rows.columns, *[F.col("__value")[v].alias(v) for v in values])
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

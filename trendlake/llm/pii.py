@@ -11,22 +11,33 @@ Names are replaced word by word, also where a document repeats words of one with
 from __future__ import annotations
 
 from itertools import count as counter
+from secrets import token_hex
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import KEY, ROW
+from trendlake.llm.common import KEY, ROW, lookup
 from trendlake.storage import materialize, release
 
-#: Used where no key is given; a deployment passes its own.
-DEMO_KEY = "demonstration-key"
+#: The Spark setting that holds the key. Without one a key is drawn for each call and forgotten.
+KEY_SETTING = "spark.trendlake.pii.key"
 #: Random draws before full formats are dealt out exactly. A format counts as full where it has at
 #: most CROWDED values for each one in use (and SMALL beside), so going through it is linear.
 ROUNDS, CROWDED, SMALL = 8, 16, 1024
 
-# Titles with the gender they tell.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
+# Titles with the gender they tell, or none; particles within names.
+MALE = ("Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Madam", "Frau", "Fräulein", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "Κυρία")
+NEUTRAL = ("Mx", "Dr", "Prof", "Professor")
+PARTICLES = (
+    "de", "da", "di", "do", "dos", "das", "del", "della", "der", "den", "des", "du", "la", "le", "las", "los", "van", "von", "vom",
+    "zu", "zum", "zur", "ten", "ter", "af", "av", "bin", "bint", "ibn", "al", "el", "y", "e",
+)
+# Country codes of one and two digits; all others have three.
+COUNTRY_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 # Syllables and endings that names are made of, for each script.
 SYLLABLES = {
     "latin": ["ba", "den", "fal", "go", "han", "jo", "ka", "lo", "mar", "ne", "pel", "ri", "sol", "ta", "vin", "wes"],
@@ -38,21 +49,30 @@ ENDINGS = {
     ("cyrillic", "m"): ["ий", "ан", "ор", "ей"], ("cyrillic", "f"): ["а", "ия", "ина", "ая"], ("cyrillic", "s"): ["енко", "ук", "их", "ман"],
     ("greek", "m"): ["ος", "ης", "ας", "ων"], ("greek", "f"): ["α", "η", "ια", "ινα"], ("greek", "s"): ["ίδη", "ου", "άκη", "ά"],
 }
+ENDINGS |= {(script, "n"): ENDINGS[script, "m"] + ENDINGS[script, "f"] for script in SYLLABLES}
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+_LETTER = r"[\p{L}\p{M}]"
+#: Runs and loops are possessive, so that texts of any length are searched in linear time without a deep stack.
+_EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.(?=[\p{L}\p{N}]))++\p{L}{2,}+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+_LOCAL_PHONE = r"(?<![0-9.-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}(?![0-9]|[.-][0-9])"
+_PHONE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}(?![0-9])|(?<![0-9])\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])|{_LOCAL_PHONE}"
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-_TITLE = rf"(?:{'|'.join(MALE + FEMALE)})\b\.?[  ]"
-_NAME = rf"(?<![\p{{L}}]){_TITLE}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
+_TITLES = rf"(?:(?:{'|'.join(MALE + FEMALE + NEUTRAL)})(?!{_LETTER})\.?[ \u00a0])++"
+#: A word of a name: apostrophes inside belong to it, a genitive s behind it does not.
+_WORD = rf"\p{{Lu}}{_LETTER}*+(?:['’](?!s(?!{_LETTER})){_LETTER}++)*+"
+_MORE = rf"(?:(?:{'|'.join(PARTICLES)})[ \u00a0])*+(?!{_TITLES}){_WORD}"
+_FIRSTS = "".join(sorted({title[0] for title in MALE + FEMALE + NEUTRAL}))
+_NAME = rf"(?<!{_LETTER})(?=[{_FIRSTS}]){_TITLES}(?:\p{{Lu}}\.[ \u00a0]?(?=\p{{Lu}}))*+{_MORE}(?:[ \u00a0-]{_MORE})*+"
+_OTHERS = rf"(?=[0-9+(])(?:{_IP}|{_SSN}|{_PHONE}|{_CARD})|{_NAME}"
 #: One pattern for all kinds, the more specific ones first.
-PATTERN = "|".join([_EMAIL, _IP, _SSN, _PHONE, _CARD, _NAME])
+PATTERN = f"{_EMAIL}|{_OTHERS}"
 
 
 #: A word that may be an untitled mention of a name.
-_MENTION = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}++(?![\p{L}\p{N}])"
+_MENTION = rf"(?<!{_LETTER})(?<![\p{{N}}])(?=\p{{Lu}}(?:{_LETTER}|['’]{_LETTER})){_WORD}(?![\p{{N}}])"
 
 
 def _digits(text: Column) -> Column:
@@ -73,27 +93,34 @@ def _luhn(digits: Column) -> Column:
 
 
 def kind_of(raw: Column) -> Column:
-    """email, ip, ssn, phone, card, name_m or name_f; null for digits that are no card number."""
+    """email, ip, ssn, phone, card, name_m, name_f or name_n; null for digits that are no card number."""
+    title = F.regexp_extract(raw, "^" + _TITLES, 0)
+
+    def told(titles: tuple[str, ...]) -> Column:
+        return title.rlike(rf"(?<!{_LETTER})(?:{'|'.join(titles)})(?!{_LETTER})")
+
     return (
         F.when(raw.contains("@"), "email")
         .when(raw.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
         .when(raw.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(raw.rlike(r"^[+(]"), "phone")
+        .when(raw.rlike(r"^[+(]|^[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}$"), "phone")
         .when(raw.rlike("^[0-9]"), F.when(_luhn(_digits(raw)) % 10 == 0, "card"))
-        .when(raw.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "name_f")
-        .otherwise("name_m")
+        .when(told(FEMALE), "name_f")
+        .when(told(MALE), "name_m")
+        .otherwise("name_n")
     )
 
 
 def _without_title(raw: Column) -> Column:
-    return F.regexp_replace(raw, "^" + _TITLE, "")
+    return F.regexp_replace(raw, "^" + _TITLES, "")
 
 
 def normal_form(raw: Column, kind: Column) -> Column:
     """What decides whether two spellings are one entity."""
     return (
         F.when(kind == "email", F.lower(raw))
-        .when(kind.isin("phone", "card", "ssn"), _digits(raw))
+        .when(kind == "phone", F.regexp_replace(raw, "[^0-9+]", ""))
+        .when(kind.isin("card", "ssn"), _digits(raw))
         .when(kind == "ip", raw)
         .otherwise(_without_title(raw))
     )
@@ -115,14 +142,14 @@ def _redrawn(text: Column, stream: Column, keep: Column | int = 0) -> Column:
 
     def one(i: Column) -> Column:
         c, b = F.substring(text, i, F.lit(1)), _byte(stream, i)
-        drawn = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), F.substring(letters, b % 26 + 1, F.lit(1)))
+        drawn = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike(_LETTER), F.substring(letters, b % 26 + 1, F.lit(1)))
         return F.when(i <= keep, c).otherwise(F.coalesce(drawn, c))
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
 
 
 def _word(secret: str, word: Column, role: Column, attempt: Column) -> Column:
-    """A given name of gender ``m`` or ``f``, or a surname ``s``, longer by a syllable with each attempt."""
+    """A given name of gender ``m``, ``f`` or unknown ``n``, or a surname ``s``, in lower case, longer by a syllable with each attempt."""
     script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     stream = _stream(secret, 1, F.lit("name"), role, word, attempt.cast("string"))
     syllables_drawn = F.least(attempt, F.lit(8)) + F.when(role == "s", 3).otherwise(2)
@@ -137,14 +164,21 @@ def _word(secret: str, word: Column, role: Column, attempt: Column) -> Column:
     for s, syllables in SYLLABLES.items():
         body = F.array_join(F.transform(F.sequence(F.lit(1), syllables_drawn), drawn_from(syllables)), "")
         end = None
-        for g in ("m", "f", "s"):
+        for g in ("m", "f", "n", "s"):
             choice = pick(ENDINGS[s, g], _byte(stream, F.lit(20)))
             end = F.when(role == g, choice) if end is None else end.when(role == g, choice)
-        whole = F.initcap(F.concat(body, end))
+        whole = F.concat(body, end)
         out = F.when(script == s, whole) if out is None else out.when(script == s, whole)
     return out
 
 
+def _kept(norm: Column) -> Column:
+    """Leading characters of a phone number that a surrogate keeps: the country code and its plus sign."""
+    known = F.substring(norm, 2, 2).isin(*[c for c in COUNTRY_CODES if len(c) == 2])
+    short = F.substring(norm, 2, 1).isin(*[c for c in COUNTRY_CODES if len(c) == 1])
+    return F.when(~norm.startswith("+"), 0).when(short, 2).when(known, 3).otherwise(4)
+
+
 def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The normal form of an entity's replacement at the given attempt; names come as their words."""
     stream = _stream(secret, 3, kind, norm, attempt.cast("string"))
@@ -161,7 +195,7 @@ def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
     second = F.when(private > 1, octets[1]).otherwise(drawn[1].cast("string"))
     ip = F.concat_ws(".", first, second, drawn[2].cast("string"), drawn[3].cast("string"))
 
-    redrawn = _redrawn(norm, stream, F.lit(1))
+    phone, redrawn = _redrawn(norm, stream, _kept(norm)), _redrawn(norm, stream, F.lit(1))
     head = F.substring(redrawn, F.lit(1), F.length(redrawn) - 1)
     check = (F.lit(10) - _luhn(F.concat(head, F.lit("0"))) % 10) % 10
     card = F.concat(head, check.cast("string"))
@@ -170,7 +204,7 @@ def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
-        .when(kind == "phone", redrawn)
+        .when(kind == "phone", phone)
         .when(kind == "ssn", ssn)
         .otherwise(_word(secret, norm, F.substring(kind, -1, 1), attempt))
     )
@@ -178,25 +212,26 @@ def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
 
 def written_like(raw: Column, kind: Column, new: Column) -> Column:
     """A replacement in the spelling of ``raw``: its separators, capitals and title."""
+    digits = _digits(new)
 
     def laid(i: Column) -> Column:
         c = F.substring(raw, i, F.lit(1))
         nth = F.length(_digits(F.substring(raw, F.lit(1), i)))
-        return F.when(c.rlike("[0-9]"), F.substring(new, nth, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substring(digits, nth, F.lit(1))).otherwise(c)
 
     def cased(i: Column) -> Column:
         c, n = F.substring(raw, i, F.lit(1)), F.substring(new, i, F.lit(1))
-        return F.when(c.rlike("[A-Z]"), F.upper(n)).otherwise(n)
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(n)).otherwise(n)
 
     def over(like: Column, one) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), one), "")
 
-    more = F.substring(new, F.length(_digits(raw)) + 1, F.length(new))  # of a widened format
+    more = F.substring(digits, F.length(_digits(raw)) + 1, F.length(digits))  # of a widened format
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.concat(over(raw, laid), more))
         .when(kind == "email", over(new, cased))
         .when(kind == "ip", new)
-        .otherwise(F.concat(F.regexp_extract(raw, "^" + _TITLE, 0), new))
+        .otherwise(F.concat(F.regexp_extract(raw, "^" + _TITLES, 0), new))
     )
 
 
@@ -221,7 +256,8 @@ def _format(family: Column, new: Column) -> Column:
     return (
         F.when(family == "email", F.concat(local, F.lit("@"), F.substring_index(new, "@", -1)))
         .when(family == "ip", ip)
-        .when(family.isin("phone", "ssn"), F.concat(head, F.repeat(F.lit("\u0002"), n - 1)))
+        .when(family == "phone", F.concat(F.substring(new, F.lit(1), _kept(new)), F.repeat(F.lit("\u0002"), n - _kept(new))))
+        .when(family == "ssn", F.concat(head, F.repeat(F.lit("\u0002"), n - 1)))
         .when(family == "card", F.concat(head, F.repeat(F.lit("\u0002"), n - 2), F.lit("\u0003")))
     )
 
@@ -280,43 +316,62 @@ def _dealt_out(state: DataFrame, real: DataFrame, secret: str, parts: int) -> Da
 
 
 def name_words(norm: Column, kind: Column) -> Column:
-    """Structs (kind, norm, before) of a name's words: word_s for those of the last part, else word_m or word_f."""
+    """Structs (kind, norm, word, before) of a name's words.
+
+    Words of the last part are surnames, word_s; the others are word_m, word_f or word_n. Initials
+    have kind initial, and particles, which stay, none.
+    """
     gender = F.concat(F.lit("word_"), F.substring(kind, -1, 1))
-    parts = F.split(norm, " ")
+    parts = F.split(F.regexp_replace(norm, r"\.(?=\p{Lu})", ". "), "[ \u00a0]")
 
     def of_part(part: Column, k: Column) -> Column:
-        own = F.when(k + 1 == F.size(parts), F.lit("word_s")).otherwise(gender)
+        own = F.when(k + 1 == F.size(parts), F.lit("word_s")).when(part.rlike(r"^\p{Ll}"), None).when(part.endswith("."), "initial").otherwise(gender)
         first = F.when(k == 0, F.lit("")).otherwise(F.lit(" "))
-        return F.transform(
-            F.split(part, "-"),
-            lambda word, j: F.struct(own.alias("kind"), word.alias("norm"), F.when(j == 0, first).otherwise(F.lit("-")).alias("before")),
-        )
+
+        def of_word(word: Column, j: Column) -> Column:
+            return F.struct(own.alias("kind"), F.lower(word).alias("norm"), word.alias("word"), F.when(j == 0, first).otherwise(F.lit("-")).alias("before"))
+
+        return F.transform(F.split(part, "-"), of_word)
 
     return F.flatten(F.transform(parts, of_part))
 
 
+def _cased(new: Column, word: Column) -> Column:
+    """A name word with the capitals of ``word``: all of them, or the first."""
+    return F.when((F.length(word) > 1) & (F.upper(word) == word), F.upper(new)).otherwise(F.initcap(new))
+
+
 def spellings(found: DataFrame) -> DataFrame:
-    """raw, kind, norm for the distinct spellings in ``found(raw)``."""
-    raws = found.select("raw", kind_of(F.col("raw")).alias("kind")).where("kind is not null")
+    """raw, n, kind, norm for the spellings in ``found(raw)`` and how often they occur there."""
+    raws = found.groupBy("raw").agg(F.count("*").alias("n")).withColumn("kind", kind_of(F.col("raw"))).where("kind is not null")
     return materialize(raws.withColumn("norm", normal_form(F.col("raw"), F.col("kind"))), "spellings")
 
 
 def replacements(found: DataFrame, secret: str, draw=surrogate) -> DataFrame:
     """raw, kind, new for the distinct spellings in ``found(raw)``: no two entities share a replacement."""
     raws = spellings(found)
-    return respelled(raws, assigned(raws, secret, draw))
+    return respelled(raws, assigned(raws, secret, draw), secret).select("raw", "kind", "new")
+
 
+def respelled(raws: DataFrame, known: DataFrame, secret: str) -> DataFrame:
+    """raw, n, kind, new and words for ``raws`` by the replacements of their entities.
 
-def respelled(raws: DataFrame, known: DataFrame) -> DataFrame:
-    """raw, kind, new for ``raws`` by the replacements of their entities; a name's are those of its words."""
+    A name's replacement is that of its words, which are given too: kind, norm and new of each.
+    """
     named = F.col("kind").startswith("name")
-    words = raws.where(named).select("raw", F.posexplode(name_words(F.col("norm"), F.col("kind"))).alias("at", "w"))
-    words = words.select("raw", "at", F.col("w.kind").alias("kind"), F.col("w.norm").alias("norm"), "w.before").join(known, ["kind", "norm"])
-    built = words.groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("at", F.concat("before", "new").alias("new")))).alias("new"))
-    names = raws.where(named).join(built.select("raw", F.array_join("new.new", "").alias("new")), "raw")
-    rest = raws.where(~named).join(known, ["kind", "norm"]).select("raw", "kind", "norm", "new")
-    both = rest.unionByName(names.select("raw", "kind", "norm", "new"))
-    return both.select("raw", "kind", written_like(F.col("raw"), F.col("kind"), F.col("new")).alias("new"))
+    words = raws.where(named).select("raw", F.posexplode(name_words(F.col("norm"), F.col("kind"))).alias("at", "w")).select("raw", "at", "w.*")
+    counted = known.where("kind like 'word%'").join(words.groupBy("kind", "norm").agg(F.count("*").alias("n")), ["kind", "norm"])
+    words = lookup(words, counted, ["kind", "norm"], F.xxhash64("raw"), raws.count(), how="left")
+    letter = F.concat(F.upper(F.substring(_word(secret, F.col("norm"), F.lit("s"), F.lit(0)), 1, 1)), F.lit("."))
+    words = words.withColumn("new", F.when(F.col("kind") == "initial", letter).otherwise(_cased(F.col("new"), F.col("word"))))
+    one = F.struct("at", F.concat("before", F.coalesce("new", "word")).alias("new"), F.struct("kind", "norm", "new").alias("word"))
+    built = words.groupBy("raw").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    built = built.select("raw", F.array_join("all.new", "").alias("new"), F.filter("all.word", lambda w: w["kind"].startswith("word")).alias("words"))
+    columns = ["raw", "n", "kind", "norm", "new", "words"]
+    names = raws.where(named).join(built, "raw").select(*columns)
+    rest = raws.where(~named).join(known, ["kind", "norm"]).withColumn("words", F.lit(None).cast(names.schema["words"].dataType)).select(*columns)
+    both = rest.unionByName(names)
+    return both.select("raw", "n", "kind", written_like(F.col("raw"), F.col("kind"), F.col("new")).alias("new"), "words")
 
 
 def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
@@ -329,7 +384,7 @@ def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
     are dealt out, and an entity for which none is left goes on in a wider format.
     """
     named = F.col("kind").startswith("name")
-    words = raws.where(named).select(F.explode(name_words(F.col("norm"), F.col("kind"))).alias("w"))
+    words = raws.where(named).select(F.explode(name_words(F.col("norm"), F.col("kind"))).alias("w")).where("w.kind like 'word%'")
     entities = raws.where(~named).select("kind", "norm").union(words.select("w.kind", "w.norm")).distinct()
     # drawing costs more than its few bytes show, so the partitions are counted out; by a hash of
     # its own, as the same columns again would be taken for the partitioning of distinct
@@ -359,7 +414,9 @@ def assigned(raws: DataFrame, secret: str, draw=surrogate) -> DataFrame:
 
 
 def _scanned(rows: DataFrame, text: Column) -> DataFrame:
-    return rows.withColumn("found", F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    every, others = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (PATTERN, _OTHERS))
+    found = F.when(text.contains("@"), every).otherwise(others)
+    return rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
 
 
 def _marks(text: Column) -> dict[str, Column]:
@@ -382,32 +439,39 @@ def _marks(text: Column) -> dict[str, Column]:
     }
 
 
-def replace(docs: DataFrame, secret: str = DEMO_KEY, text: str = "text", count: str = "n_chars") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key in the setting ``KEY_SETTING``, else a random one, which nobody can search originals by."""
+    return spark.conf.get(KEY_SETTING, None) or token_hex(32)
+
+
+def replace(docs: DataFrame, secret: str | None = None, text: str = "text", count: str = "n_chars") -> DataFrame:
     """``docs`` with every entity in its text replaced, ``count`` (if there) set anew, and ``n_entities``.
 
-    A null or empty text, and one without entities, stays as it is. Columns of the input keep
-    their names and order, and ``n_entities`` follows them. Repeated rows get equal texts; an empty table gives no rows. A
-    digit run of card length that fails the Luhn check is no entity. Words of a titled name are
-    replaced wherever the same document has them capitalised, and words side by side count once.
+    Without ``secret`` the key is that of :func:`key_of`. A null or empty text, and one without entities,
+    stays as it is; texts of any length are searched whole. Columns of the input keep their names,
+    whatever these are, and order, and ``n_entities`` follows them. Repeated rows get equal texts; an
+    empty table gives no rows. A digit run of card length that fails the Luhn check is no entity. Words of
+    a titled name are replaced wherever the same document has them capitalised, and words side by side
+    count once.
     """
+    secret = secret or key_of(docs.sparkSession)
     rows = materialize(
         _scanned(docs.select(F.monotonically_increasing_id().alias(KEY), F.struct("*").alias(ROW)), F.col(ROW)[text]), "scanned"
     )
     hit = rows.where(F.size("found") > 0)
-    spelled = hit.select(F.explode(F.array_distinct("found")).alias("raw")).distinct()
-    raws = spellings(spelled)
-    words = materialize(assigned(raws, secret), "assigned")
-    known = materialize(respelled(raws, words), "replacements")
+    raws = spellings(hit.select(F.explode("found").alias("raw")))
+    total = raws.agg(F.sum("n")).first()[0] or 0
+    known = materialize(respelled(raws, assigned(raws, secret), secret), "replacements")
     hit = hit.withColumns(_marks(F.col(ROW)[text]))
     places = hit.select(KEY, F.posexplode("marks").alias("at", "mark")).select(KEY, "at", "mark.raw", "mark.mention")
+    found = lookup(places.where(~F.col("mention")), known, ["raw"], F.xxhash64(KEY, "at"), total, how="left")
+    entities = found.select(KEY, "at", "raw", "mention", "new")
     # words of a document's names, with the role of their first mention
-    names = places.where(~F.col("mention")).join(raws.where(F.col("kind").startswith("name")), "raw")
-    names = names.select(KEY, "at", F.posexplode(name_words(F.col("norm"), F.col("kind"))).alias("k", "w"))
-    names = names.groupBy(KEY, F.col("w.norm").alias("norm")).agg(F.min_by("w.kind", F.struct("at", "k")).alias("kind"))
-    names = names.join(words, ["kind", "norm"]).select(KEY, F.col("norm").alias("raw"), "new")
-    entities = places.where(~F.col("mention")).join(known.select("raw", "new"), "raw", "left").select(KEY, "at", "raw", "mention", "new")
-    mentions = places.where("mention").join(names, [KEY, "raw"], "left").select(KEY, "at", "raw", "mention", "new")
-    places = entities.union(mentions).select(KEY, "at", F.coalesce("new", "raw").alias("new"), F.col("new").isNotNull().alias("real"), "mention")
+    names = found.where(F.col("kind").startswith("name")).select(KEY, "at", F.posexplode("words").alias("k", "w"))
+    names = names.groupBy(KEY, F.col("w.norm").alias("norm")).agg(F.min_by("w.new", F.struct("at", "k")).alias("new"))
+    mentions = places.where("mention").withColumn("norm", F.lower("raw")).join(names, [KEY, "norm"], "left")
+    mentions = mentions.select(KEY, "at", "raw", "mention", _cased(F.lower("new"), F.col("raw")).alias("new"))
+    places = entities.unionByName(mentions).withColumn("real", F.col("new").isNotNull()).withColumn("new", F.coalesce("new", "raw"))
     new = places.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "new", "real", "mention"))).alias("new"))
     joined = F.array_join(F.zip_with("parts", F.col("new.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
 
@@ -434,7 +498,8 @@ def replace(docs: DataFrame, secret: str = DEMO_KEY, text: str = "text", count:
     return done.union(rest)
 
 
-def stage(docs: DataFrame, secret: str = DEMO_KEY) -> DataFrame:
+def stage(docs: DataFrame, secret: str | None = None) -> DataFrame:
     """:func:`replace` with the columns of ``docs`` alone."""
     out = replace(docs, secret)
-    return out.toDF(*docs.columns, "__tl_entities").select(*docs.columns)
+    plain = [f"__c{k}" for k in range(len(docs.columns))]
+    return out.toDF(*plain, "__tl_entities").select(*plain).toDF(*docs.columns)
