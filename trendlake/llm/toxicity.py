@@ -25,9 +25,11 @@ from trendlake.storage import materialize
 
 #: Documents that the model is fitted on: confirmed toxic ones and unlabelled ones, at most.
 POSITIVES, UNLABELLED = 2_500, 7_500
-#: Features kept after screening, how many standard errors a feature's share must be higher among
-#: the positives, and documents that must hold it.
-FEATURES, LEAST_Z, LEAST_DOCS = 200, 5.0, 5
+#: Features kept after screening, and documents of the sample that must hold one. Its share must be
+#: higher among the positives by FEW_Z standard errors for FEW positives, and by Z_STEP more for each
+#: tenfold of these up to MOST_Z, as few positives cannot reach what many must show.
+FEATURES, LEAST_DOCS = 200, 4
+FEW, FEW_Z, Z_STEP, MOST_Z = 30, 4.0, 1.0, 5.0
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6, 7)
 ROUNDS, RATE, DECAY = 400, 0.05, 1e-3
@@ -98,11 +100,24 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def risks(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """``prior * R+(P)`` and ``R-(U) - prior * R-(P)`` of scores ``z`` with logistic loss, and their gradients by z."""
+    p, u = positive, ~positive
+    n_p, n_u = max(1, p.sum()), max(1, u.sum())
+    sigmoid = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    as_positive, as_negative = np.logaddexp(0, -z), np.logaddexp(0, z)
+    of_positive = prior * as_positive[p].sum() / n_p
+    of_negative = as_negative[u].sum() / n_u - prior * as_negative[p].sum() / n_p
+    pull_positive = np.where(p, prior * (sigmoid - 1) / n_p, 0.0)
+    pull_negative = np.where(p, -prior * sigmoid / n_p, sigmoid / n_u)
+    return float(of_positive), float(of_negative), pull_positive, pull_negative
+
+
 def fit(positive: np.ndarray, at: list[np.ndarray], rates: list[np.ndarray], n_features: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with logistic loss.
 
-    Where the negative part of the risk falls below zero, its gradient is turned round, so the
-    model is not driven to fit the unlabelled rows as if all were negative.
+    Where the negative part of the risk falls below zero, a step follows its gradient alone, turned
+    round, so the model is not driven to fit the unlabelled rows as if all were negative.
     """
     sizes = np.array([len(a) for a in at])
     row = np.repeat(np.arange(len(at)), sizes)
@@ -112,22 +127,13 @@ def fit(positive: np.ndarray, at: list[np.ndarray], rates: list[np.ndarray], n_f
     spread = np.sqrt(np.bincount(column, value**2, n_features) / max(1, len(at)))
     scale[spread > 0] = 1 / spread[spread > 0]
     value = value * scale[column] * 0.1
-    p, u = positive, ~positive
-    n_p, n_u = max(1, p.sum()), max(1, u.sum())
     weights, bias = np.zeros(n_features), math.log(prior / (1 - prior))
     m = np.zeros(n_features + 1)
     v = np.zeros(n_features + 1)
     for step in range(1, ROUNDS + 1):
         z = np.bincount(row, value * weights[column], len(at)) + bias
-        sigmoid = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        negative_loss = np.logaddexp(0, z)
-        negative_risk = negative_loss[u].sum() / n_u - prior * negative_loss[p].sum() / n_p
-        pull = np.zeros(len(at))
-        pull[u] = sigmoid[u] / n_u
-        pull[p] = -prior * sigmoid[p] / n_p
-        if negative_risk < 0:
-            pull = -pull
-        pull[p] += prior * (sigmoid[p] - 1) / n_p
+        _, negative_risk, pull_positive, pull_negative = risks(z, positive, prior)
+        pull = -pull_negative if negative_risk < 0 else pull_positive + pull_negative
         gradient = np.append(np.bincount(column, value * pull[row], n_features) + DECAY * weights / n_features, pull.sum())
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
@@ -140,7 +146,8 @@ def fit(positive: np.ndarray, at: list[np.ndarray], rates: list[np.ndarray], n_f
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the folds that are not held out; without confirmed toxic rows it scores 0.
 
-    The sample is the rows with the lowest hashes of their ids, so it is the same in every run.
+    The sample is the ids with the lowest hashes, so it is the same in every run. Of several labels of
+    one id the highest counts; rows with a null id train nothing; copies of one text are one example.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("id")) & F.col("id").isNotNull())
@@ -165,9 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counted = sample.mapInArrow(_screen_batches, "feature binary, positive long, unlabelled long")
     counted = counted.groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u")).where(F.col("p") + F.col("u") >= LEAST_DOCS)
     n_p, n_u = sizes.get(True, 0), max(1, sizes.get(False, 0))
+    least_z = min(MOST_Z, max(FEW_Z, FEW_Z + Z_STEP * math.log10(max(n_p, 1) / FEW)))
     both = (F.col("p") + F.col("u")) / F.lit(n_p + n_u)
     error = F.sqrt(both * (F.lit(1.0) - both) * F.lit(1 / n_p + 1 / n_u) + F.lit(1e-12))
-    ranked = counted.withColumn("z", (F.col("p") / n_p - F.col("u") / n_u) / error).where(F.col("z") >= LEAST_Z)
+    ranked = counted.withColumn("z", (F.col("p") / n_p - F.col("u") / n_u) / error).where(F.col("z") >= least_z)
     ranked = ranked.orderBy(F.col("z").desc(), "feature").limit(FEATURES)
     names = [bytes(r[0]) for r in ranked.select("feature").collect()]
     numbers = {f: k for k, f in enumerate(names)}
@@ -191,8 +199,9 @@ def _score_batches(handle):
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``; only the text is scored.
 
-    A null or empty text has the score of the bias alone; equal texts have equal scores; other
-    columns are not read; a null id is not held out.
+    A null or empty text has the score of the bias alone; texts of any length are scored whole; equal
+    texts have equal scores, repeated rows too; other columns are not read; a null id is not held out;
+    an empty table gives no rows.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("text"))
