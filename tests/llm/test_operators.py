@@ -239,14 +239,14 @@ def test_language_id(spark):
     rows = [(k, t * (k % 5 + 1), lang, f"{lang}.example", 0) for lang, t in say.items() for k in range(20)]
     rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(98, None, None, None, None), (99, "\x01\x02\x03\x04" * 50, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("clash"))
-    found = {r.key: r for r in language.identify(language.document_evidence(docs, F.col("doc_id")), language.train(docs)).collect()}
+    found = {r["__tl_row"].doc_id: r for r in language.identify(language.document_evidence(docs, F.struct("doc_id")), language.train(docs)).collect()}
     assert all(found[i].lang == rows[i][2] and found[i].accepted for i in range(60))
     assert not found[99].accepted
     kept = language.keep_known(docs)
     assert kept.dtypes == docs.dtypes and {r.doc_id for r in kept.collect()} >= set(range(60))
     assert language.keep_known(docs.limit(0)).count() == 0
     page = spark.createDataFrame([(1, "https://x.fr/fr/1", f'<html lang="fr"><p>{say["fr"] * 3}</p>')], "page_id long, url string, html string")
-    assert language.identify(language.page_evidence(page, F.col("page_id")), language.train(docs)).first().lang == "fr"
+    assert language.identify(language.page_evidence(page, F.struct("page_id")), language.train(docs)).first().lang == "fr"
 
 
 def test_toxicity(spark):

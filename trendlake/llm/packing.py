@@ -19,9 +19,9 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trendlake.llm import vocab
+from trendlake.llm.common import column
 
 CAPACITY, END = 2048, 1
 WINDOWS, SLACK, ITEM = 64, 4, 512
@@ -144,10 +144,11 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: where it stands in its document and in which sequence.
 
-    Every document's ids end with ``END``; a null or empty text has that id alone. Repeated rows
+    Every document's ids end with ``END``; a null or empty text has that id alone; a text of any length
+    is encoded whole and cut into as many windows as it fills. Other columns are not read. Repeated rows
     are packed each on its own; null ids stay null; an empty table gives no rows. Sequence
     numbers are unique over the whole table: the partition's number above, a count below.
     """
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    chosen = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     schema = ", ".join(f"{n} long" for n in NAMES)
     return chosen.mapInArrow(_pack(tokenizer_path, capacity), schema)

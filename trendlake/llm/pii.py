@@ -486,14 +486,14 @@ def replace(docs: DataFrame, secret: str | None = None, text: str = "text", coun
         for field in docs.schema.fields:
             value = F.col(ROW)[field.name]
             if changed and field.name == text:
-                value = F.col("changed")
+                value = F.col("__changed")
             elif changed and field.name == count:
-                value = F.length("changed").cast(field.dataType)
+                value = F.length("__changed").cast(field.dataType)
             out.append(value.alias(field.name))
         return out
 
-    done = hit.join(new, KEY).withColumn("changed", joined)
-    done = done.select(*columns(True), F.size(F.filter("new", counted)).cast("long").alias("n_entities"))
+    done = hit.join(new, KEY).withColumns({"__changed": joined, "__entities": F.size(F.filter("new", counted)).cast("long")})
+    done = done.select(*columns(True), F.col("__entities").alias("n_entities"))
     rest = rows.where(F.size("found") == 0).select(*columns(False), F.lit(0).cast("long").alias("n_entities"))
     return done.union(rest)
 

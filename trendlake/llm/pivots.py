@@ -14,15 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegralType, NullType
 
-from trendlake.llm.common import connected_components
+from trendlake.llm.common import column, connected_components
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
 THRESHOLD = 0.93
 NEAREST, SHARED = 8, 2
 #: Pivots: at least LEAST_PIVOTS, and PIVOT_RATE times the root of the number of vectors, so that
-#: lists grow with the root of the input. They are the sample that the index is fitted on.
+#: lists grow with the root of the input, up to MOST_PIVOTS (190 million vectors): beyond, lists grow
+#: with the input, and nothing is left out. They are the sample that the index is fitted on.
 LEAST_PIVOTS, PIVOT_RATE, MOST_PIVOTS = 128, 1.2, 16_384
 #: Two pivots have at most this cosine, else a group of near copies would hold many of them and its
 #: members would name nearly random ones.
@@ -135,15 +137,18 @@ def near_duplicates(
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``.
 
-    Only rows with equal labels are compared. A null label, and a vector that is null, empty,
+    Only rows with equal labels, numbers or texts, are compared; vectors of doubles keep all digits. A null label, and a vector that is null, empty,
     zero or holds null or non-finite numbers, links with nothing: it has no links and is its own
     component. Vectors of different lengths never link. Equal vectors under one label are one
     node with a number of copies, each linked with the others. Repeated ids count as separate
     vectors. Links are counted inside a task, so a large group gives a row for each member in
-    each list, never its pairs.
+    each list, never its pairs. Other columns are not read; an empty table gives no rows.
     """
+    given, labels = vectors.schema[embedding].dataType, vectors.schema[label].dataType
+    kept = "array<float>" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "array<double>"
+    whole = "long" if isinstance(labels, (NullType, IntegralType)) else "string"
     rows = vectors.select(
-        F.col(key).cast("long").alias("vec"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>").alias("embedding")
+        column(key).cast("long").alias("vec"), column(label).cast(whole).alias("label"), column(embedding).cast(kept).alias("embedding")
     )
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     some = F.exists("embedding", lambda v: v != 0)
@@ -166,7 +171,7 @@ def near_duplicates(
     if len(pivots) <= nearest:  # every vector would name all of them: one list holds all pairs
         pivots, shared = pivots[:1], 1
 
-    schema = "node long, label long, dims int, copies long, embedding array<float>, nearest array<int>"
+    schema = f"node long, label {whole}, dims int, copies long, embedding {kept}, nearest array<int>"
     described = nodes.select("node", "label", "dims", "copies", "embedding").mapInArrow(_describe(pivots, nearest), schema)
     lists = described.withColumn("pivot", F.explode("nearest"))
     keys = ["label", "dims", "pivot"]

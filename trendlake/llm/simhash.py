@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import KEY, ROW, byte_values, connected_components, unpack, with_row_key
+from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, unpack, with_row_key
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
@@ -212,10 +212,10 @@ def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id for every row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link like any other; repeated rows get the
-    same class; a null id has the class of its text; an empty table gives an empty result.
+    Null and empty texts have fingerprint zero and link like any other; texts of any length are hashed
+    whole; repeated rows get the same class; other columns are not read; a null id has the class of its text; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, F.col(key), F.col(text)), "prints")
+    prints = materialize(fingerprints(docs, column(key), column(text)), "prints")
     found = prints.join(components(prints), "fp")
     return found.select(F.col("key").alias(key), hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near-duplicates: the lowest id, of equal ids the first row.
 
-    Rows keep all columns of ``docs``, whatever their names. A null id comes after all others.
+    Rows keep all columns of ``docs``, whatever their names. A null id comes after all others. Null and
+    empty texts are one class; an empty table gives no rows.
     """
     rows = with_row_key(docs)
     prints = materialize(fingerprints(rows, F.col(KEY), F.col(ROW)[text]), "prints")
