@@ -88,7 +88,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     ]
     ids = sorted({r[0] for r in reduce(DataFrame.unionByName, first).collect()})
     rows = chosen.where(F.col("id").isin(ids) & F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
-    rows = rows.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
+    # a bounded sample: few tasks, so that each gram is counted in few of them
+    rows = rows.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text").coalesce(len(LANGUAGES))
     counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = np.zeros((BUCKETS, len(CLASSES)))
     for r in counts.collect():  # at most BUCKETS rows a language
