@@ -1,8 +1,9 @@
 """Rule-based classification with evidence, confidence and an incremental cache.
 
-Rules are a table (category, ordinal, kind, term). Phrases are found by an equi join of word
-shingles with the broadcast rules (a rules table over ``RULES_LIMIT`` rows is joined by shuffle)
-and only those candidates are confirmed by pattern.
+Rules are a table (category, ordinal, kind, term). Runs of words that are a phrase are joined to the
+rules by equality, and only those candidates are confirmed by pattern. Up to ``LITERALS`` phrases are
+literals of the plan, so that runs are only built where a phrase may begin and dropped before they
+become rows; beyond that all runs are joined (by shuffle where the rules exceed ``RULES_LIMIT`` rows).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from trendlake.functions.text import phrase_pattern_column, topic_set
 # Points of a hit, README hits that count, the routing threshold.
 POINTS = {"topic": 10, "name": 6, "desc": 3, "readme": 1}
 README_CAP, ACCEPT = 4, 0.5
-RULES_LIMIT, WORDS = 100_000, 5
+RULES_LIMIT, LITERALS, WORDS = 100_000, 5_000, 5
 
 
 def words_of(text: Column) -> Column:
@@ -32,6 +33,17 @@ def shingles(w: Column, words: int = WORDS) -> Column:
     return F.array_distinct(F.array_compact(F.concat(*[runs(k) for k in range(1, words + 1)])))
 
 
+def known_runs(w: Column, phrases: list[str]) -> Column:
+    """Those of the blank-joined ``phrases`` that are runs of the words ``w``."""
+    firsts, sizes = sorted({p.split(" ")[0] for p in phrases}), sorted({p.count(" ") + 1 for p in phrases})
+    begins = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(firsts), i)))
+
+    def of_size(k: int) -> Column:
+        return F.transform(begins, lambda i: F.when(i + k <= F.size(w), F.array_join(F.slice(w, i + 1, F.lit(k)), " ")))
+
+    return F.array_distinct(F.filter(F.concat(*[of_size(k) for k in sizes]), lambda run: run.isin(phrases)))
+
+
 def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
     """id, category, ordinal, field and term of every confirmed rule."""
     hint = F.broadcast if rules.limit(RULES_LIMIT + 1).count() <= RULES_LIMIT else lambda d: d
@@ -49,7 +61,9 @@ def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
     )
     texts = entities.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
     texts = texts.withColumn("words", words_of(F.col("text")))
-    found = texts.withColumn("shingle", F.explode(shingles(F.col("words")))).join(hint(phrases), "shingle").where(F.expr("text rlike pattern"))
+    known = sorted(r[0] for r in phrases.select("shingle").distinct().limit(LITERALS + 1).collect())
+    runs = known_runs(F.col("words"), known) if 0 < len(known) <= LITERALS else shingles(F.col("words"))
+    found = texts.withColumn("shingle", F.explode(runs)).join(hint(phrases), "shingle").where(F.expr("text rlike pattern"))
     return by_topic.unionByName(found.select("id", "category", "ordinal", "field", "term"))
 
 
@@ -66,20 +80,22 @@ def scores(found: DataFrame) -> DataFrame:
 
 
 def decide(scored: DataFrame) -> DataFrame:
-    """Per entity the primary category, up to three secondaries, confidence and evidence of the primary."""
+    """Per entity the primary category, up to three secondaries, confidence and the evidence of each."""
     w = Window.partitionBy("id").orderBy(F.desc("score"), "ordinal")
     placed = scored.withColumn("n", F.row_number().over(w)).withColumn("top", F.first("score").over(w)).where("n <= 4")
     near = (F.col("n") > 1) & (F.col("score") >= F.greatest(F.lit(6.0), F.col("top") * 0.45))
     g = placed.groupBy("id").agg(
         F.max(F.when(F.col("n") == 1, F.col("category"))).alias("primary_category"),
         F.max(F.when(F.col("n") == 1, F.col("matched"))).alias("matched"),
-        F.transform(F.sort_array(F.collect_list(F.when(near, F.struct("n", "category")))), lambda s: s["category"]).alias("secondary"),
+        F.sort_array(F.collect_list(F.when(near, F.struct("n", "category", "matched")))).alias("others"),
         F.max("top").alias("top"),
         F.coalesce(F.max(F.when(F.col("n") == 2, F.col("score"))), F.lit(0)).alias("second"),
     )
     one = F.lit(1.0)
     sure = F.least(one, F.col("top") / 20) * 0.5 + F.least(one, (F.col("top") - F.col("second")) / 10) * 0.5
-    return g.select("id", "primary_category", "secondary", fixed(sure, 3).alias("confidence"), "matched")
+    return g.select(
+        "id", "primary_category", F.col("others.category").alias("secondary"), fixed(sure, 3).alias("confidence"), "matched", F.col("others.matched").alias("secondary_matched")
+    )
 
 
 def route(decided: DataFrame, external: bool = True) -> DataFrame:
@@ -99,14 +115,48 @@ def pending(entities: DataFrame, assignment: DataFrame, force: bool = False) ->
     return (df if force else df.where(~F.coalesce("cached", F.lit(False)))).drop("cached", "manual")
 
 
-def expand(decided: DataFrame) -> DataFrame:
-    """Assignments: the primary with 8 pieces of evidence, secondaries at 0.6 of its confidence with 6."""
-    row = lambda slug, primary, conf, n: F.struct(
-        slug.alias("slug"), F.lit(primary).alias("is_primary"), conf.alias("confidence"), F.slice("matched", 1, n).alias("evidence")
-    )
+def expand(decided: DataFrame, entities: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Assignments: the primary with 8 pieces of evidence, secondaries at 0.6 of its confidence with 6.
+
+    The fingerprint in ``entities(id, fingerprint)`` comes first in the evidence, where :func:`pending`
+    looks for it. Categories that ``manual(entity_id, slug)`` holds for an entity are left to it.
+    """
+
+    def row(slug: Column, primary: bool, conf: Column, matched: Column, n: int) -> Column:
+        evidence = F.concat(F.array("fingerprint"), F.slice(matched, 1, n))
+        return F.struct(slug.alias("slug"), F.lit(primary).alias("is_primary"), conf.alias("confidence"), evidence.alias("evidence"))
+
     conf = F.col("confidence")
-    rows = F.concat(F.array(row(F.col("primary_category"), True, conf, 8)), F.transform("secondary", lambda s: row(s, False, conf * 0.6, 6)))
-    return decided.where("primary_category is not null").select(F.col("id").alias("entity_id"), F.explode(rows).alias("r")).select("entity_id", "r.*")
+    first = row(F.col("primary_category"), True, conf, F.col("matched"), 8)
+    others = F.zip_with("secondary", "secondary_matched", lambda s, m: row(s, False, fixed(conf * 0.6, 3), m, 6))
+    rows = decided.where("primary_category is not null").join(entities.select("id", "fingerprint"), "id")
+    rows = rows.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array(first), others)).alias("r")).select("entity_id", "r.*")
+    return rows if manual is None else rows.join(manual.select("entity_id", "slug"), ["entity_id", "slug"], "left_anti")
+
+
+def attempted(entities: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """``entities`` with the watermark ``classified_on`` of those in ``ids(id)`` set, placed or not."""
+    seen = ids.select("id", F.lit(True).alias("seen")).distinct()
+    return entities.join(seen, "id", "left").withColumn("classified_on", F.when(F.col("seen"), now).otherwise(F.col("classified_on"))).drop("seen")
+
+
+def filled_watermark(entities: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``entities`` with a null ``classified_on`` set to the last of their assignments."""
+    last = assignment.groupBy(F.col("entity_id").alias("id")).agg(F.max("assigned_on").alias("last"))
+    return entities.join(last, "id", "left").withColumn("classified_on", F.coalesce("classified_on", "last")).drop("last")
+
+
+def statistics(entities: DataFrame, due: DataFrame, routed: DataFrame, written: DataFrame, manual: DataFrame) -> DataFrame:
+    """One row: considered, cached, by rule, escalated, unclassified, written, manual_preserved."""
+    state = entities.select("id").join(due.select("id", F.lit(True).alias("due")), "id", "left").join(routed.select("id", "route"), "id", "left")
+    counts = state.agg(
+        F.count("*").alias("considered"),
+        F.count_if(F.col("due").isNull()).alias("cached"),
+        F.count_if(F.col("due") & F.col("route").startswith("accept")).alias("by_rule"),
+        F.count_if(F.col("due") & (F.col("route") == "escalate")).alias("escalated"),
+        F.count_if(F.col("due") & (F.coalesce("route", F.lit("unclassified")) == "unclassified")).alias("unclassified"),
+    )
+    return counts.join(written.agg(F.count("*").alias("written"))).join(manual.agg(F.count("*").alias("manual_preserved")))  # one row each
 
 
 def merge_external(labels: DataFrame) -> DataFrame:

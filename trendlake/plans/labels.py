@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trendlake.functions import text
 from trendlake.operators import classify, listing, merge, places
 from trendlake.plans.registry import query
-from trendlake.plans.views import spark_view, table
+from trendlake.plans.views import spark_view, table, with_views
 from trendlake.sources import payloads
 
 # Own small rules: words and phrases of the invented prose, and languages and sources as topics.
@@ -65,23 +65,88 @@ def classification_routes(spark, sf_dir):
     return classify.route(all_.join(decided(spark, sf_dir), "id", "left")).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query(DECIDED_SQL + "SELECT id AS entity_id, primary_category AS slug, TRUE AS is_primary, confidence FROM k UNION ALL SELECT id, UNNEST(string_split(secondary, ',')), FALSE, FLOOR(confidence * 0.6::DOUBLE * 100000 + 0.5) / 100000 FROM k WHERE secondary <> ''")
+MATCHED_SQL = (
+    ", m AS (SELECT id, category, list_sort(list(DISTINCT x)) AS matched FROM (SELECT id, category, UNNEST([CASE WHEN kind = 'topic' AND term IN (lang, source) THEN 'topic:' || term END, "
+    + ", ".join(f"CASE WHEN kind = 'phrase' AND {_MATCH.format(f=f)} THEN '{a}:' || term END" for f, a in (("name", "name"), ("description", "desc"), ("readme", "readme")))
+    + "]) AS x FROM d, r) WHERE x IS NOT NULL GROUP BY id, category) "
+)
+_PLACED_SQL = (
+    DECIDED_SQL.rstrip() + MATCHED_SQL + ", a AS (SELECT id, primary_category AS slug, TRUE AS is_primary, confidence, 8 AS most FROM k "
+    "UNION ALL SELECT id, UNNEST(string_split(secondary, ',')), FALSE, FLOOR(confidence * 0.6::DOUBLE * 1000 + 0.5) / 1000, 6 FROM k WHERE secondary <> '') "
+)
+
+
+def fingerprinted(spark, sf_dir):
+    d = texts(spark, sf_dir)
+    return d.withColumn("fingerprint", text.fingerprint(*[F.col(c) for c in ("name", "description", "topics", "language", "readme")]))
+
+
+@query(_PLACED_SQL + "SELECT a.id AS entity_id, slug, is_primary, confidence, TRUE AS cached, array_to_string(matched[1:most], ',') AS matched FROM a JOIN m ON m.id = a.id AND m.category = a.slug WHERE NOT (a.id % 5 = 0 AND slug = 'prose')")
 def category_assignments(spark, sf_dir):
-    from trendlake.functions.scoring import fixed
+    """Every fifth entity is in prose by hand, which no rule overwrites."""
+    d = fingerprinted(spark, sf_dir)
+    by_hand = d.where("id % 5 = 0").select(F.col("id").alias("entity_id"), F.lit("prose").alias("slug"))
+    rows = classify.expand(decided(spark, sf_dir), d, by_hand).join(d.select(F.col("id").alias("entity_id"), "fingerprint"), "entity_id")
+    first = F.get("evidence", F.lit(0)) == F.col("fingerprint")
+    return rows.select("entity_id", "slug", "is_primary", "confidence", first.alias("cached"), F.array_join(F.slice("evidence", 2, 99), ",").alias("matched"))
+
+
+@query(DECIDED_SQL + "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM k) OR doc_id % 7 = 0")
+def classification_settles(spark, sf_dir):
+    """What a second run finds due after the first: entities without any category, and changed ones."""
+    d = fingerprinted(spark, sf_dir)
+    stored = classify.expand(decided(spark, sf_dir), d).withColumn("source", F.lit("rule"))
+    changed = d.withColumn("fingerprint", F.when(F.col("id") % 7 == 0, "fp:changed").otherwise(F.col("fingerprint")))
+    return classify.pending(changed, stored).select("id")
+
+
+@query(
+    DECIDED_SQL + "SELECT COUNT(*) AS considered, COUNT(*) FILTER (doc_id % 3 = 0) AS cached, COUNT(*) FILTER (doc_id % 3 <> 0 AND confidence >= 0.5) AS by_rule, "
+    "COUNT(*) FILTER (doc_id % 3 <> 0 AND confidence < 0.5) AS escalated, COUNT(*) FILTER (doc_id % 3 <> 0 AND k.id IS NULL) AS unclassified, "
+    "(COUNT(*) FILTER (doc_id % 3 <> 0 AND k.id IS NOT NULL) + SUM(CASE WHEN doc_id % 3 <> 0 AND secondary <> '' THEN length(secondary) - length(replace(secondary, ',', '')) + 1 ELSE 0 END))::BIGINT AS written, "
+    "COUNT(*) FILTER (doc_id % 5 = 0) AS manual_preserved FROM documents LEFT JOIN k ON k.id = doc_id"
+)
+def classification_statistics(spark, sf_dir):
+    """Every third entity is cached, every fifth has a category by hand."""
+    d = fingerprinted(spark, sf_dir)
+    due = d.where("id % 3 <> 0")
+    routed = classify.route(decided(spark, sf_dir).join(due.select("id"), "id", "left_semi"))
+    by_hand = d.where("id % 5 = 0").select(F.col("id").alias("entity_id"), F.lit("by hand").alias("slug"))
+    return classify.statistics(d, due, routed, classify.expand(routed, d, by_hand), by_hand)
 
-    df = classify.expand(decided(spark, sf_dir)).drop("evidence")
-    return df.withColumn("confidence", F.when(F.col("is_primary"), F.col("confidence")).otherwise(fixed(F.col("confidence"), 5)))
+
+@query(with_views("entity", "today") + "SELECT id, CASE WHEN id % 4 = 0 THEN now ELSE classified_on END::VARCHAR AS classified_on FROM entity, today")
+def classification_watermark(spark, sf_dir):
+    e = spark_view(spark, sf_dir, "entity")
+    now = spark_view(spark, sf_dir, "today")
+    ids = e.where("id % 4 = 0").select("id")
+    return classify.attempted(e.join(now), ids, F.col("now")).select("id", F.col("classified_on").cast("string").alias("classified_on"))
+
+
+@query(with_views("entity", "assignment", "today") + "SELECT id, COALESCE(classified_on, last)::VARCHAR AS classified_on FROM entity LEFT JOIN (SELECT entity_id, MAX(now - entity_id % 9 - CASE WHEN is_primary THEN 1 ELSE 0 END) AS last FROM assignment, today GROUP BY entity_id) ON entity_id = id")
+def watermark_backfill(spark, sf_dir):
+    a = spark_view(spark, sf_dir, "assignment").join(spark_view(spark, sf_dir, "today"))
+    a = a.withColumn("assigned_on", F.expr("date_sub(now, cast(entity_id % 9 + if(is_primary, 1, 0) as int))"))
+    return classify.filled_watermark(spark_view(spark, sf_dir, "entity"), a).select("id", F.col("classified_on").cast("string").alias("classified_on"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
 def classification_cache(spark, sf_dir):
     """Every third entity has its fingerprint stored, every fifth only manual rows: the rest is due."""
-    d = texts(spark, sf_dir)
-    d = d.withColumn("fingerprint", text.fingerprint(*[F.col(c) for c in ("name", "description", "topics", "language", "readme")]))
+    d = fingerprinted(spark, sf_dir)
     stored = d.select(F.col("id").alias("entity_id"), F.when(F.col("id") % 5 == 0, "manual").otherwise("rule").alias("source"), F.array(F.when(F.col("id") % 3 == 0, F.col("fingerprint")).otherwise("fp:old")).alias("evidence"))
     return classify.pending(d, stored).select("id")
 
 
+@query("SELECT sha256(x) AS digest, COUNT(*) AS n FROM (SELECT 'fp:' || substring(sha1('{\"n\":\"Doc\",\"d\":\"' || source || '\",\"t\":[\"' || LEAST(lang, source) || '\",\"' || GREATEST(lang, source) || '\"],\"l\":\"' || lang || '\",\"r\":\"\"}'), 1, 16) AS x FROM documents) GROUP BY 1")
+def fingerprints(spark, sf_dir):
+    """Digests of short fields; the order of topics does not count."""
+    d = table(spark, sf_dir, "documents")
+    topics = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array("source", "lang"))
+    fp = text.fingerprint(F.lit("Doc"), F.col("source"), topics, F.col("lang"), F.lit(None).cast("string"))
+    return d.groupBy(F.sha2(fp, 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'good' END AS primary_category, CASE WHEN doc_id % 4 = 0 THEN 0.5 WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END::DOUBLE AS confidence FROM labels")
 def external_labels(spark, sf_dir):
     c = F.when(F.col("doc_id") % 4 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 4 == 1, 7.0).otherwise(-3.0)
@@ -92,7 +157,7 @@ def external_labels(spark, sf_dir):
 @query("SELECT category, fault FROM (VALUES ('twice', 'two ordinals'), ('empty', 'blank term')) v(category, fault) WHERE (SELECT COUNT(*) FROM part) > 0")
 def rule_faults(spark, sf_dir):
     own = table(spark, sf_dir, "part").select(F.lit("twice").alias("category"), (F.col("p_size") % 2).alias("ordinal"), F.lit("topic").alias("kind"), F.col("p_name").alias("term"))
-    bad = table(spark, sf_dir, "part").limit(1).select(F.lit("empty").alias("category"), F.lit(1).alias("ordinal"), F.lit("topic").alias("kind"), F.lit(" ").alias("term"))
+    bad = spark.createDataFrame([("empty", 1, "topic", " ")], "category string, ordinal int, kind string, term string")
     return classify.rule_faults(rules(spark).unionByName(own).unionByName(bad))
 
 
