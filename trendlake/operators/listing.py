@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.functions.scoring import licence_class
@@ -138,6 +138,43 @@ def page(df: DataFrame, order: list[Column], number: int, per_page: int, most: i
     return rows.join(F.broadcast(total))
 
 
+def page_frame(df: DataFrame, order: list[Column], number: int, per_page: int, most: int = 100) -> DataFrame:
+    """One row: total, page, per_page, total_pages, start_rank and the page's rows as ``items``.
+
+    A page past the end has its true totals and no items.
+    """
+    number, per_page = clamp_page(number, per_page, most)
+    total = df.agg(F.count("*").alias("total"))
+    nth = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # of at most ``most`` sorted rows
+    rows = df.orderBy(*order).offset((number - 1) * per_page).limit(per_page).select(F.struct(*df.columns).alias("row"))
+    items = rows.withColumn("nth", nth).agg(F.sort_array(F.collect_list(F.struct("nth", "row"))).alias("items"))
+    return total.join(items).select(
+        "total", F.lit(number).alias("page"), F.lit(per_page).alias("per_page"),
+        F.ceil(F.col("total") / per_page).cast("long").alias("total_pages"), F.lit((number - 1) * per_page + 1).cast("long").alias("start_rank"),
+        F.col("items.row").alias("items"),
+    )
+
+
+def facets(entities: DataFrame, assignment: DataFrame) -> DataFrame:
+    """facet, value, n over active entities: their languages, countries and primary categories, and all of them."""
+    active = entities.where("status = 'active'")
+    one = active.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), c.alias("value")) for f, c in (("all", F.lit("all")), ("language", F.col("language")), ("country", F.col("owner_country")))])).alias("f"))
+    primary = assignment.where("is_primary").join(active.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    both = one.select("f.facet", "f.value").unionByName(primary.select(F.lit("category").alias("facet"), F.col("slug").alias("value")))
+    return both.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def home(entities: DataFrame, rows: int = 8) -> DataFrame:
+    """list, place and id of the lists that a visitor meets first: trending by two windows, newest, best of quality 60 and more."""
+    lists = {"trending-day": Listing(sort="stars-today"), "trending-week": Listing(sort="stars-week"), "newest": Listing(sort="newest"), "quality": Listing(sort="quality", min_quality=60)}
+    out = None
+    for name, p in lists.items():
+        frame = page_frame(filtered(entities, p).select("id", *SORTS[p.sort]), ordering(p), 1, rows)
+        part = frame.select(F.lit(name).alias("list"), F.posexplode("items.id").alias("place", "id"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("list", (F.col("place") + 1).alias("place"), "id")
+
+
 def chips(assignment: DataFrame, category: DataFrame, ids: DataFrame) -> DataFrame:
     """Per entity its category slugs: primary first, then by falling confidence."""
     mine = assignment.join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").join(category, "slug")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendlake.operators import merge
 from trendlake.storage import materialize, release
 
 
@@ -53,8 +54,23 @@ def plan(rows: DataFrame, cap: int, lo: int, hi: int, created_from: str, created
     return out.withColumn("shortfall", F.greatest(F.col("total") - cap, F.lit(0)))
 
 
-def work_list(shards: DataFrame, seeds: DataFrame, floor: int) -> DataFrame:
-    """Open shards at or above the floor, and a root shard for each seed that has none."""
-    todo = shards.where(F.col("status").isin("pending", "error") & (F.col("stars_lo") >= floor)).select("topic", "stars_lo", "stars_hi")
-    fresh = seeds.join(shards.select("topic"), "topic", "left_anti").select("topic", F.lit(floor).alias("stars_lo"), F.lit(None).cast("int").alias("stars_hi"))
+KEYS = ["topic", "stars_lo", "stars_hi", "created_from", "created_to"]
+
+
+def work_list(shards: DataFrame, seeds: DataFrame, floor: int, ceiling: int, created_from: str, created_to: str) -> DataFrame:
+    """Open shards of the seeds at or above the floor, and a root shard for each seed that has none for this window."""
+    mine = shards.join(seeds.select("topic"), "topic", "left_semi")
+    window = {"created_from": F.lit(created_from).cast("date"), "created_to": F.lit(created_to).cast("date")}
+    todo = mine.where(F.col("status").isin("pending", "error") & (F.col("stars_lo") >= floor))
+    todo = todo.select("topic", "stars_lo", "stars_hi", *[F.coalesce(c, v).alias(c) for c, v in window.items()])
+    root = (F.col("stars_lo") == floor) & (F.col("stars_hi") == ceiling)
+    for c, v in window.items():
+        root &= F.col(c) == v
+    fresh = seeds.join(mine.where(root).select("topic"), "topic", "left_anti")
+    fresh = fresh.select("topic", F.lit(floor).cast("long").alias("stars_lo"), F.lit(ceiling).cast("long").alias("stars_hi"), *[v.alias(c) for c, v in window.items()])
     return todo.unionByName(fresh).distinct()
+
+
+def record(shards: DataFrame, new: DataFrame) -> DataFrame:
+    """Shards after ``new`` states of some: a known total and the greatest number fetched stay, all else is new."""
+    return merge.upsert(shards, new, KEYS, {"total": "fill", "fetched": "most"}).select(*shards.columns)

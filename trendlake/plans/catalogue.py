@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trendlake.operators import aggregates, listing, merge, people, shards
 from trendlake.functions.scoring import licence_class
-from trendlake.plans.growth import SCORED_SQL, now_of, scored
+from trendlake.plans.growth import SCORED_SQL, now_of, stored_scores
 from trendlake.plans.registry import query
 from trendlake.plans.views import TABLES, spark_view, table, with_views
 from trendlake.sources import exports
@@ -21,7 +21,7 @@ def _views(spark, sf_dir, *names):
 
 
 def _list(spark, sf_dir, **params):
-    return listing.list_entities(scored(spark, sf_dir), listing.Listing(**params), *_views(spark, sf_dir, "assignment", "category"))
+    return listing.list_entities(stored_scores(spark, sf_dir), listing.Listing(**params), *_views(spark, sf_dir, "assignment", "category"))
 
 
 for _sort, _cols in listing.SORTS.items():
@@ -42,9 +42,14 @@ def list_filtered(spark, sf_dir):
     return df.select("id", "stars", "license_class", "total")
 
 
-@query(ALL_SQL + "SELECT s.id, license_class, owner_country FROM scored s WHERE status = 'active' AND NOT is_archived AND license_class = 'none' AND owner_country = 'GERMANY' ORDER BY trend_score DESC NULLS LAST, s.id DESC LIMIT 100")
+@query(ALL_SQL + "SELECT s.id, license_class, owner_country FROM scored s WHERE status = 'active' AND NOT is_archived AND license_class = 'none' AND owner_country = 'NATION_7' ORDER BY trend_score DESC NULLS LAST, s.id DESC LIMIT 100")
 def list_by_licence_and_country(spark, sf_dir):
-    return _list(spark, sf_dir, license="none", country="GERMANY", per_page=500).select("id", "license_class", "owner_country")
+    return _list(spark, sf_dir, license="none", country="NATION_7", per_page=500).select("id", "license_class", "owner_country")
+
+
+@query(ALL_SQL + "SELECT s.id, language FROM scored s WHERE status = 'active' AND language = 'Brand#7' ORDER BY trend_score DESC NULLS LAST, s.id DESC LIMIT 24")
+def list_by_language(spark, sf_dir):
+    return _list(spark, sf_dir, language="Brand#7", include_archived=True, sort="relevance").select("id", "language")
 
 
 @query(ALL_SQL + "SELECT s.id, (SELECT string_agg(slug, ',' ORDER BY is_primary DESC, confidence DESC, slug) FROM assignment a JOIN category c USING (slug) WHERE a.entity_id = s.id) AS categories FROM scored s WHERE status = 'active' AND NOT is_archived ORDER BY stars DESC, s.id DESC LIMIT 24")
@@ -60,10 +65,11 @@ def search_relevance(spark, sf_dir):
     return _list(spark, sf_dir, q="Widget", sort="relevance", per_page=50).select("id", F.round(F.col("relevance") * 1000).alias("relevance"))
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_name ILIKE '%a\\_1%' ESCAPE '\\' OR p_name ILIKE '%e 1%' ESCAPE '\\'")
+@query("SELECT n_nationkey AS id FROM nation WHERE n_name ILIKE '%n\\_1%' ESCAPE '\\' OR n_name ILIKE '%n\\%2%' ESCAPE '\\'")
 def substring_match(spark, sf_dir):
-    df = table(spark, sf_dir, "part")
-    return df.where(listing.contains(F.col("p_name"), "a_1") | listing.contains(F.col("p_name"), "e 1")).select(F.col("p_partkey").alias("id"))
+    """Signs of patterns in a query stand for themselves."""
+    df = table(spark, sf_dir, "nation")
+    return df.where(listing.contains(F.col("n_name"), "n_1") | listing.contains(F.col("n_name"), "n%2") | listing.contains(F.col("n_name"), "n-3")).select(F.col("n_nationkey").alias("id"))
 
 
 @query(with_views("entity") + "SELECT id, full_name FROM entity WHERE id = (SELECT MIN(id) FROM entity)")
@@ -75,7 +81,7 @@ def entity_by_name(spark, sf_dir):
 
 @query(ALL_SQL + "SELECT s.id, stars, stars_week FROM scored s WHERE status = 'active' AND NOT is_archived ORDER BY stars_week DESC NULLS LAST, s.id DESC LIMIT 8")
 def trending_week(spark, sf_dir):
-    return listing.trending(scored(spark, sf_dir), "week", 8, *_views(spark, sf_dir, "assignment", "category")).select("id", "stars", "stars_week")
+    return listing.trending(stored_scores(spark, sf_dir), "week", 8, *_views(spark, sf_dir, "assignment", "category")).select("id", "stars", "stars_week")
 
 
 @query(with_views("entity") + "SELECT id FROM entity ORDER BY synced_on NULLS FIRST, id LIMIT 100")
@@ -101,18 +107,18 @@ def distinct_licences(spark, sf_dir):
 
 @query(ALL_SQL + "SELECT c.slug, c.group_slug, COUNT(x.id) AS n, COALESCE(SUM(x.stars), 0)::BIGINT AS stars, COALESCE(SUM(x.stars_week), 0)::BIGINT AS week, quantile_cont(x.quality_score, 0.5) AS median_quality FROM category c LEFT JOIN (SELECT a.slug, s.* FROM assignment a JOIN scored s ON s.id = a.entity_id WHERE a.is_primary AND s.status = 'active') x ON x.slug = c.slug GROUP BY c.slug, c.group_slug")
 def category_stats(spark, sf_dir):
-    df = aggregates.category_stats(scored(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category"))
+    df = aggregates.category_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category"))
     return df.drop("sort_order", "median_grade")
 
 
 @query(ALL_SQL + "SELECT c.group_slug, COUNT(DISTINCT c.slug) AS categories, COUNT(x.id) AS n, COALESCE(SUM(x.stars), 0)::BIGINT AS stars, COALESCE(SUM(x.stars_week), 0)::BIGINT AS week FROM category c LEFT JOIN (SELECT a.slug, s.* FROM assignment a JOIN scored s ON s.id = a.entity_id WHERE a.is_primary AND s.status = 'active') x ON x.slug = c.slug GROUP BY c.group_slug")
 def category_groups(spark, sf_dir):
-    return aggregates.group_stats(aggregates.category_stats(scored(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category")))
+    return aggregates.group_stats(aggregates.category_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category")))
 
 
 @query(ALL_SQL + "SELECT c.slug, CASE WHEN m IS NULL THEN NULL WHEN m >= 80 THEN 'A' WHEN m >= 65 THEN 'B' WHEN m >= 50 THEN 'C' WHEN m >= 35 THEN 'D' ELSE 'F' END AS median_grade FROM category c LEFT JOIN (SELECT a.slug, quantile_cont(quality_score, 0.5) AS m FROM assignment a JOIN scored s ON s.id = a.entity_id WHERE a.is_primary AND s.status = 'active' GROUP BY a.slug) x USING (slug)")
 def category_grades(spark, sf_dir):
-    return aggregates.category_stats(scored(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category")).select("slug", "median_grade")
+    return aggregates.category_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category")).select("slug", "median_grade")
 
 
 @query(with_views("entity", "person") + "SELECT country, COALESCE(entities, 0) AS entities, COALESCE(stars, 0)::BIGINT AS stars, COALESCE(people, 0) AS people FROM (SELECT owner_country AS country, COUNT(*) AS entities, SUM(stars) AS stars FROM entity WHERE status = 'active' AND owner_country IS NOT NULL GROUP BY 1) e FULL JOIN (SELECT country, COUNT(*) AS people FROM person WHERE country IS NOT NULL GROUP BY 1) p USING (country)")
@@ -127,7 +133,7 @@ def language_stats(spark, sf_dir):
 
 @query(ALL_SQL + "SELECT COUNT(*) AS entities, SUM(stars)::BIGINT AS stars, SUM(stars_week)::BIGINT AS stars_week, COUNT(*) FILTER (first_seen_on >= now - 1000) AS new_entities, COUNT(DISTINCT language) AS languages, COUNT(DISTINCT owner_country) AS countries, (SELECT COUNT(*) FROM person) AS people, (SELECT COUNT(*) FROM category) AS categories FROM scored WHERE status = 'active'")
 def global_stats(spark, sf_dir):
-    return aggregates.global_stats(scored(spark, sf_dir), *_views(spark, sf_dir, "person", "category"), F.date_sub(now_of(spark, sf_dir), 1000))
+    return aggregates.global_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "person", "category"), F.date_sub(now_of(spark, sf_dir), 1000))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS n FROM {t}" for t in TABLES) + " UNION ALL SELECT 'total', " + " + ".join(f"(SELECT COUNT(*) FROM {t})" for t in TABLES))
@@ -172,10 +178,10 @@ def enrichment_queue(spark, sf_dir):
     return people.enrichment_queue(*_views(spark, sf_dir, "person", "link"), 25).select("id", "links")
 
 
-@query(with_views("entity", "link") + "SELECT id FROM entity e WHERE stars >= 10 AND NOT EXISTS (SELECT 1 FROM link l WHERE l.entity_id = e.id AND l.person_id % 2 = 0) ORDER BY stars DESC, id LIMIT 100")
+@query(with_views("entity", "link") + "SELECT id FROM entity e WHERE stars >= 10 AND NOT EXISTS (SELECT 1 FROM link l WHERE l.entity_id = e.id AND l.person_id % 20 = 0) ORDER BY stars DESC, id LIMIT 100")
 def backfill_queue(spark, sf_dir):
     e, k = _views(spark, sf_dir, "entity", "link")
-    return people.backfill_queue(e, k.where("person_id % 2 = 0"), 10, 100).select("id")
+    return people.backfill_queue(e, k.where("person_id % 20 = 0"), 10, 100).select("id")
 
 
 @query("SELECT l_partkey AS entity_id, MIN(low) AS first_person, SUM(best)::BIGINT AS contributions FROM (SELECT l_partkey, l_suppkey % 40 + 1 AS low, MAX(q) AS best FROM (SELECT l_partkey, l_suppkey, SUM(l_quantity) AS q FROM lineitem GROUP BY 1, 2) x GROUP BY 1, 2) y GROUP BY l_partkey")
@@ -249,12 +255,19 @@ def structured_export(spark, sf_dir):
     return df.select("id", j.alias("j")).select("id", "j.type", "j.name", "j.description", F.col("j.programmingLanguage").alias("language"))
 
 
-@query("SELECT CAST(SUM(n) AS BIGINT) AS n, COUNT(*) > 1 AS split FROM (SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1, 2) t")
+@query("SELECT o_orderpriority AS topic, COUNT(*) AS n, TRUE AS split, TRUE AS capped, TRUE AS recounted FROM orders GROUP BY 1")
 def shard_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("topic"), F.floor("o_totalprice").alias("stars"), F.col("o_orderdate").cast("date").alias("day"))
     n = rows.count()
-    out = shards.plan(rows, max(10, n // 40), 0, 10_000_000, "1970-01-01", "2100-01-01")
-    return out.agg(F.sum("total").alias("n"), (F.count("*") > 1).alias("split"))
+    cap = max(10, n // 40)
+    out = shards.plan(rows, cap, 0, 10_000_000, "1970-01-01", "2100-01-01")
+    r = rows.select(F.col("topic").alias("t"), "stars", "day")
+    inside = (F.col("t") == F.col("topic")) & F.col("stars").between(F.col("stars_lo"), F.col("stars_hi")) & F.col("day").between(F.col("created_from"), F.col("created_to"))
+    again = out.join(r, inside, "left").groupBy(*shards.KEYS, "total", "status", "shortfall").agg(F.count("stars").alias("own"))
+    capped = (F.col("total") <= cap) | ((F.col("status") == "unsplittable") & (F.col("shortfall") == F.col("total") - cap))
+    return again.groupBy("topic").agg(
+        F.sum("own").alias("n"), (F.count("*") > 1).alias("split"), F.bool_and(capped).alias("capped"), F.bool_and(F.col("own") == F.col("total")).alias("recounted")
+    )
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'none' WHEN c_custkey % 9 = 1 THEN 'other' WHEN c_custkey % 9 = 2 THEN 'other' WHEN c_custkey % 9 = 3 THEN 'non-commercial' WHEN c_custkey % 9 IN (4, 5) THEN 'strong-copyleft' WHEN c_custkey % 9 = 6 THEN 'weak-copyleft' ELSE 'permissive' END AS class FROM customer")

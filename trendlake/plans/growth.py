@@ -9,6 +9,7 @@ from trendlake.functions import scoring
 from trendlake.operators import merge, temporal
 from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
+from trendlake.storage import materialize
 from trendlake.streaming import observations
 
 _ASOF = (
@@ -58,6 +59,17 @@ def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.deltas(spark_view(spark, sf_dir, "entity"), spark_view(spark, sf_dir, "metrics"), now_of(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored entities as the nightly run leaves them: written once for a session, read by every listing."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = materialize(scored(spark, sf_dir), "scored")
+    return _STORED[key]
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with deltas, growth, trend and quality columns."""
     now, metrics = now_of(spark, sf_dir), spark_view(spark, sf_dir, "metrics")

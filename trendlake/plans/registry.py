@@ -20,4 +20,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return wrap
 
 
-from trendlake.plans import catalogue, growth, labels  # noqa: E402,F401
+from trendlake.plans import catalogue, growth, labels, operations  # noqa: E402,F401

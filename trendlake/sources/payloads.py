@@ -53,6 +53,34 @@ def recent_releases(releases: Column, now: Column) -> Column:
     return F.when(releases.isNotNull(), F.size(F.filter(releases, fresh)))
 
 
+_NESTED = (
+    "id string, databaseId long, nameWithOwner string, name string, description string, homepageUrl string, stargazerCount long, forkCount long, isArchived boolean, isFork boolean, "
+    "owner struct<login:string,location:string>, primaryLanguage struct<name:string>, licenseInfo struct<spdxId:string>, issues struct<totalCount:long>, watchers struct<totalCount:long>, "
+    "diskUsage long, defaultBranchRef struct<name:string>, repositoryTopics struct<nodes:array<struct<topic:struct<name:string>>>>, createdAt string, pushedAt string, "
+    "latestRelease struct<tagName:string,publishedAt:string,createdAt:string>, releases struct<nodes:array<struct<isDraft:boolean,publishedAt:string,createdAt:string>>>, "
+    "readmes array<struct<text:string,isBinary:boolean>>"
+)
+
+
+def nested(payloads: DataFrame, now: Column, body: str = "body", readmes: int = 7) -> DataFrame:
+    """Entity rows out of nested payloads: topic names, the newest release, releases of a year, the first usable README."""
+    rows = payloads.select(F.from_json(body, _NESTED).alias("i"))
+    c = lambda path: F.col(f"i.{path}")
+    zero = F.lit(0).cast("long")
+    nodes = F.coalesce(c("repositoryTopics.nodes"), F.array().cast("array<struct<topic:struct<name:string>>>"))
+    return rows.select(
+        c("id").alias("node_id"), c("databaseId").alias("github_id"), c("nameWithOwner").alias("full_name"),
+        F.coalesce(c("owner.login"), F.substring_index(c("nameWithOwner"), "/", 1)).alias("owner_login"), c("owner.location").alias("owner_location"),
+        c("name").alias("name"), c("description").alias("description"), c("homepageUrl").alias("homepage"), c("primaryLanguage.name").alias("language"),
+        topic_names(nodes).alias("topics"), c("licenseInfo.spdxId").alias("license_spdx_id"), c("stargazerCount").alias("stars"), c("forkCount").alias("forks"),
+        F.coalesce(c("issues.totalCount"), zero).alias("open_issues"), F.coalesce(c("watchers.totalCount"), zero).alias("watchers"), F.coalesce(c("diskUsage"), zero).alias("size_kb"),
+        c("defaultBranchRef.name").alias("default_branch"), c("isArchived").alias("is_archived"), c("isFork").alias("is_fork"),
+        parse_date(c("createdAt")).alias("created_at"), parse_date(c("pushedAt")).alias("pushed_at"), c("latestRelease.tagName").alias("release_tag"),
+        release_date(c("latestRelease")).alias("released_at"), recent_releases(c("releases.nodes"), now).alias("releases_last_year"),
+        pick_readme([F.get(c("readmes"), F.lit(k)) for k in range(readmes)]).alias("readme"),
+    )
+
+
 def contributors(payloads: DataFrame, limit: int, body: str = "body", key: str = "entity_id") -> DataFrame:
     """Ranked people of each list; entries without a login are left out."""
     people = F.from_json(body, "array<struct<id:long,login:string,avatar_url:string,contributions:long,type:string>>")

@@ -19,20 +19,17 @@ def daily_gain(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    for frame in frames:
-        frame = frame.sort_values("ts")
+    frame = pd.concat(list(frames)).sort_values("ts", kind="stable")  # all chunks of the key in this batch
+    if len(frame):
         before = frame["value"].shift()
         before.iloc[0:1] = last
         kept = frame[before.isna() | (frame["value"] != before)]
-        last = float(frame["value"].iloc[-1])
-        if len(kept):
-            yield kept[["key", "ts", "value"]]
-    if last is not None:
-        state.update((last,))
+        state.update((float(frame["value"].iloc[-1]),))
+        yield kept[["key", "ts", "value"]]
 
 
 def changes(stream: DataFrame) -> DataFrame:
-    """Observations (key, ts, value) that differ from the key's last one."""
+    """Observations (key, ts, value) that differ from the key's last one, in order of time within a batch."""
     return stream.groupBy("key").applyInPandasWithState(
         _changed, "key long, ts timestamp, value double", "value double", "append", GroupStateTimeout.NoTimeout
     )
