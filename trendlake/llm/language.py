@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendlake.llm.common import ROW, byte_values, column, lookup, slices, unpack, with_fields
+from trendlake.llm.common import KEY, ROW, byte_values, column, lookup, slices, unpack, with_fields, with_row_key
 from trendlake.storage import materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -272,5 +272,9 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     language or source are judged by the rest. An empty or null text goes unless its language is declared
     and its source agrees. An empty table gives an empty result.
     """
-    found = identify(document_evidence(docs, F.struct("*"), text, lang, source), train(docs, key, text, lang))
-    return found.where("accepted").select(*unpack(found, docs.columns))
+    rows = with_row_key(docs)
+    flat = rows.select(KEY, *[F.col(ROW)[c].alias(n) for n, c in (("text", text), ("lang", lang), ("source", source))])
+    found = identify(document_evidence(flat, F.struct(KEY)), train(docs, key, text, lang))
+    # written, so that its size is known: small, it is broadcast and no text is shuffled
+    gone = materialize(found.where(~F.col("accepted")).select(F.col(ROW)[KEY].alias(KEY)), "gone")
+    return rows.join(gone, KEY, "left_anti").select(*unpack(rows, docs.columns))
