@@ -32,6 +32,13 @@ def unpack(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col(ROW)[c].alias(c) for c in columns]
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that few texts are held twice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a text column without decoding it."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ from trendlake.storage import materialize, release
 
 WINDOW = 10
 #: Bytes of text in one shard's index; bytes of benchmark text that are searched in one pass.
-SHARD_BYTES, PASS_BYTES = 24_000_000, 16_000_000
+SHARD_BYTES, PASS_BYTES = 8_000_000, 16_000_000
 #: Lower-case A-Z, keep 0-9, a-z and all bytes from 0x80, blank the rest.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)

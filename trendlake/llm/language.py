@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendlake.llm.common import KEY, ROW, byte_values, column, lookup, slices, unpack, with_fields, with_row_key
+from trendlake.llm.common import KEY, ROW, byte_values, column, lookup, portions, slices, unpack, with_fields, with_row_key
 from trendlake.storage import materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -144,12 +144,12 @@ def _score_batches(handle, temper: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.ascontiguousarray(handle.value.T)
-        for batch in batches:
+        for batch in portions(batches):
             raws = byte_values(batch.column("text"))
             html = batch.column("html").to_pylist()
             texts = [without_tags(t) if t and m else t for t, m in zip(raws, html, strict=True)]
             out = np.zeros((len(texts), len(CLASSES)))
-            for lo, hi in slices(texts, 1_000_000):
+            for lo, hi in slices(texts, 250_000):
                 h, n = _grams(texts[lo:hi])
                 some = np.flatnonzero(n)
                 if not len(some):

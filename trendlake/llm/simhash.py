@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, unpack, with_row_key
+from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, portions, unpack, with_row_key
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
@@ -56,7 +56,7 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         values = [fingerprint(t) for t in byte_values(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["key", "fp"])
 
