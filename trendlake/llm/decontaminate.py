@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import byte_values, column, slices, with_fields
+from trendlake.llm.common import byte_values, column, frugal, slices, with_fields
 from trendlake.llm.fm_index import FMIndex
 from trendlake.storage import materialize, release
 
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
                 release(before)
         handle = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
         earlier = handle, out if earlier else None
-        out = out.mapInArrow(_scan_batches(handle, 1), schema)
+        out = out.mapInArrow(frugal(_scan_batches(handle, 1)), schema)
     return out
 
 
@@ -246,4 +246,4 @@ def remove(docs: DataFrame, bench: DataFrame, text: str = "text", count: str = "
     left |= (F.size("spans") > 2) | (F.get("spans", F.lit(0)) > 0) | (F.get("spans", F.lit(1)) < F.col("n_words"))
     at = docs.columns.index(text)
     counted = docs.columns.index(count) if count in docs.columns else None
-    return found.where(left).select("doc", "spans").mapInArrow(_cut_batches(at, counted), docs.schema)
+    return found.where(left).select("doc", "spans").mapInArrow(frugal(_cut_batches(at, counted)), docs.schema)

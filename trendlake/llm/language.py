@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendlake.llm.common import KEY, ROW, byte_values, column, lookup, portions, slices, unpack, with_fields, with_row_key
+from trendlake.llm.common import KEY, ROW, byte_values, column, frugal, lookup, portions, slices, unpack, with_fields, with_row_key
 from trendlake.storage import materialize
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -90,7 +90,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = chosen.where(F.col("id").isin(ids) & F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
     # a bounded sample: few tasks, so that each gram is counted in few of them
     rows = rows.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text").coalesce(len(LANGUAGES))
-    counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(frugal(_count_batches), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = np.zeros((BUCKETS, len(CLASSES)))
     for r in counts.collect():  # at most BUCKETS rows a language
         table[r["gram"], CLASSES.index(r["lang"])] = r["n"]
@@ -226,7 +226,7 @@ def identify(rows: DataFrame, model: np.ndarray, temper: float = TEMPER) -> Data
     )
     handle = spark.sparkContext.broadcast(model)
     kept = StructType(narrow.schema.fields[:-2])
-    scored = narrow.mapInArrow(_score_batches(handle, temper), with_fields(kept, "likelihood array<double>, share array<double>"))
+    scored = narrow.mapInArrow(frugal(_score_batches(handle, temper)), with_fields(kept, "likelihood array<double>, share array<double>"))
     scored = materialize(scored, "evidence")
 
     hosts = materialize(_class_sums(scored, ["domain", "host"]), "hosts")
@@ -249,7 +249,7 @@ def identify(rows: DataFrame, model: np.ndarray, temper: float = TEMPER) -> Data
     for name in EVIDENCE:
         out = out.join(evidence(name), name)
     out = out.select(ROW, "likelihood", "share", "of_host", "above", *[f"of_{name}" for name in EVIDENCE])
-    return out.mapInArrow(_fuse_batches, with_fields(StructType([rows.schema[ROW]]), "lang string, posterior double, accepted boolean"))
+    return out.mapInArrow(frugal(_fuse_batches), with_fields(StructType([rows.schema[ROW]]), "lang string, posterior double, accepted boolean"))
 
 
 def page_evidence(pages: DataFrame, row: Column) -> DataFrame:

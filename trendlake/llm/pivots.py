@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegralType, NullType
 
-from trendlake.llm.common import column, connected_components
+from trendlake.llm.common import column, connected_components, frugal
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
@@ -172,11 +172,11 @@ def near_duplicates(
         pivots, shared = pivots[:1], 1
 
     schema = f"node long, label {whole}, dims int, copies long, embedding {kept}, nearest array<int>"
-    described = nodes.select("node", "label", "dims", "copies", "embedding").mapInArrow(_describe(pivots, nearest), schema)
+    described = nodes.select("node", "label", "dims", "copies", "embedding").mapInArrow(frugal(_describe(pivots, nearest)), schema)
     lists = described.withColumn("pivot", F.explode("nearest"))
     keys = ["label", "dims", "pivot"]
     lists = block_pairs(lists, keys, F.xxhash64("node"), LIST_ROWS)
-    found = gather(lists, keys).mapInArrow(_verify(threshold, shared, len(pivots)), "node long, links long, peer long")
+    found = gather(lists, keys).mapInArrow(frugal(_verify(threshold, shared, len(pivots))), "node long, links long, peer long")
     found = materialize(found, "links")
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, portions, unpack, with_row_key
+from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, frugal, portions, unpack, with_row_key
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
@@ -64,7 +64,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, key: Column, text: Column) -> DataFrame:
     """Columns key and fp (signed long) for every row; texts are hashed where they are read."""
     chosen = docs.select(key.cast("long").alias("key"), text.cast("string").alias("text"))
-    return chosen.mapInArrow(_fingerprint_batches, "key long, fp long")
+    return chosen.mapInArrow(frugal(_fingerprint_batches), "key long, fp long")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -192,7 +192,7 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     rows = distinct.select("fp", F.posexplode(F.array(*buckets)).alias("t", "bucket"))
     keys = ["t", "bucket"]
     rows = block_pairs(rows, keys, F.xxhash64("fp"), TRIE_ROWS)
-    return gather(rows, keys).mapInArrow(_join_batches(blocks, budget), "u long, v long")
+    return gather(rows, keys).mapInArrow(frugal(_join_batches(blocks, budget)), "u long, v long")
 
 
 def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:

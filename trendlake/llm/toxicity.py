@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import byte_values
+from trendlake.llm.common import byte_values, frugal
 from trendlake.llm.decontaminate import words_of
 from trendlake.storage import materialize
 
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = chosen(ids_p, True).unionByName(chosen(ids_u, False)).dropDuplicates(["positive", "text"])
     sample = materialize(sample, "examples")
     sizes = dict(sample.groupBy("positive").count().collect())
-    counted = sample.mapInArrow(_screen_batches, "feature binary, positive long, unlabelled long")
+    counted = sample.mapInArrow(frugal(_screen_batches), "feature binary, positive long, unlabelled long")
     counted = counted.groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u")).where(F.col("p") + F.col("u") >= LEAST_DOCS)
     n_p, n_u = sizes.get(True, 0), max(1, sizes.get(False, 0))
     least_z = min(MOST_Z, max(FEW_Z, FEW_Z + Z_STEP * math.log10(max(n_p, 1) / FEW)))
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ranked = ranked.orderBy(F.col("z").desc(), "feature").limit(FEATURES)
     names = [bytes(r[0]) for r in ranked.select("feature").collect()]
     numbers = {f: k for k, f in enumerate(names)}
-    rows = sample.mapInArrow(_rate_batches(spark.sparkContext.broadcast(numbers)), "positive boolean, at array<int>, rates array<double>").collect()
+    rows = sample.mapInArrow(frugal(_rate_batches(spark.sparkContext.broadcast(numbers))), "positive boolean, at array<int>, rates array<double>").collect()
     weights, bias = fit(
         np.array([r[0] for r in rows], bool), [np.array(r[1], np.int64) for r in rows], [np.array(r[2], np.float64) for r in rows], len(names), prior
     )
@@ -205,5 +205,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("text"))
-    scored = chosen.mapInArrow(_score_batches(handle), "doc_id long, held_out boolean, score double")
+    scored = chosen.mapInArrow(frugal(_score_batches(handle)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

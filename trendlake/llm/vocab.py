@@ -175,7 +175,7 @@ class WordCoder:
             coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
             new = {p: packed(c.ids) for p, c in zip(missing, coded, strict=True)}
             found = [new[p] if b is None else b for p, b in zip(pieces, found, strict=True)]
-            if len(self.pieces) < PIECES:
+            if len(self.pieces) < WORDS:
                 self.pieces.update(new)
         return b"".join(found)
 
