@@ -123,7 +123,7 @@ def classification_watermark(spark, sf_dir):
     return classify.attempted(e.join(now), ids, F.col("now")).select("id", F.col("classified_on").cast("string").alias("classified_on"))
 
 
-@query(with_views("entity", "assignment", "today") + "SELECT id, COALESCE(classified_on, last)::VARCHAR AS classified_on FROM entity LEFT JOIN (SELECT entity_id, MAX(now - entity_id % 9 - CASE WHEN is_primary THEN 1 ELSE 0 END) AS last FROM assignment, today GROUP BY entity_id) ON entity_id = id")
+@query(with_views("entity", "assignment", "today") + "SELECT id, COALESCE(classified_on, last)::VARCHAR AS classified_on FROM entity LEFT JOIN (SELECT entity_id, MAX(now - (entity_id % 9 + CASE WHEN is_primary THEN 1 ELSE 0 END)::INT) AS last FROM assignment, today GROUP BY entity_id) ON entity_id = id")
 def watermark_backfill(spark, sf_dir):
     a = spark_view(spark, sf_dir, "assignment").join(spark_view(spark, sf_dir, "today"))
     a = a.withColumn("assigned_on", F.expr("date_sub(now, cast(entity_id % 9 + if(is_primary, 1, 0) as int))"))
