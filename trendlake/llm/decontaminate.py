@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import byte_values, column, frugal, slices, with_fields
+from trendlake.llm.common import byte_values, column, frugal, portions, slices, with_fields
 from trendlake.llm.fm_index import FMIndex
 from trendlake.storage import materialize, release
 
@@ -147,7 +147,7 @@ def _scan_batches(handle, n_docs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = handle.value
-        for batch in batches:
+        for batch in portions(batches, 2048):
             texts = byte_values(batch.column(n_docs))
             old = [c.to_pylist() for c in batch.columns[n_docs + 1 :]]
             found = [x for lo, hi in slices(texts, SHARD_BYTES) for x in windows.scan(texts[lo:hi])]
@@ -214,7 +214,7 @@ def report(docs: DataFrame, bench: DataFrame, key: str = "doc_id", **names: str)
 
 def _cut_batches(at: int, count: int | None, schema: pa.Schema | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 2048):
             rows = batch.column(0)
             fields = rows.flatten()
             spans = batch.column(1).to_pylist()
