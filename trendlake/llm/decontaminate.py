@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trendlake.llm.common import byte_values, column, frugal, portions, slices, with_fields
 from trendlake.llm.fm_index import FMIndex
@@ -142,14 +143,14 @@ def _passes(bench: DataFrame, item: str, text: str) -> Iterator[list[tuple[str |
         yield [(r[0], r[1].encode()) for r in block.collect()]
 
 
-def _scan_batches(handle, n_docs: int):
+def _scan_batches(handle, at: int):
     """Adds n_words, spans and items to each batch, or extends those of an earlier pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = handle.value
         for batch in portions(batches, 2048):
-            texts = byte_values(batch.column(n_docs))
-            old = [c.to_pylist() for c in batch.columns[n_docs + 1 :]]
+            texts = byte_values(batch.column(0).flatten()[at])
+            old = [c.to_pylist() for c in batch.columns[1:]]
             found = [x for lo, hi in slices(texts, SHARD_BYTES) for x in windows.scan(texts[lo:hi])]
             flat, items = [], []
             for k, (_, spans, names) in enumerate(found):
@@ -162,35 +163,45 @@ def _scan_batches(handle, n_docs: int):
                 pa.array(flat, pa.list_(pa.int64())),
                 pa.array(items, pa.list_(pa.string())),
             ]
-            kept = batch.columns[: n_docs + 1]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], [*batch.schema.names[: n_docs + 1], "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n_words", "spans", "items"])
 
     return run
 
 
-def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Struct ``doc`` (all columns), ``words_text``, n_words, flat word spans and item names per row.
+def _search(docs: DataFrame, bench: DataFrame, text: str, item: str, bench_text: str, window: int):
+    """The table, as struct ``doc``, that the last pass reads; that pass; the schema that it gives.
 
-    Null or empty texts have no words, long ones are searched whole; benchmark rows with a null text
-    are passed over, the windows of one with a null id are hits that no item is named for; an item whose
-    words are all of an earlier item's is reported as well. Equal rows get equal results; an empty
-    table gives no rows. A benchmark beyond ``PASS_BYTES`` is searched block by block: each pass adds to
-    the spans of the last, which is written before, so no task holds more than one block's windows.
+    The text is a string in ``doc``, whatever it was before.
     """
-    out = docs.select(F.struct("*").alias("doc"), column(text).cast("string").alias("words_text"))
+    whole = F.struct("*")
+    if docs.schema[text].dataType != StringType():
+        whole = F.struct(*[column(c).cast("string").alias(c) if c == text else column(c) for c in docs.columns])
+    out = docs.select(whole.alias("doc"))
     schema = with_fields(out.schema, "n_words bigint, spans array<bigint>, items array<string>")
-    earlier = None
+    handle = run = before = None
     for items in _passes(bench, item, bench_text):
-        if earlier is not None:
-            handle, before = earlier
-            out = materialize(out, "searched")
+        if run is not None:
+            out = materialize(out.mapInArrow(frugal(run), schema), "searched")
             handle.unpersist()
             if before is not None:
                 release(before)
+            before = out
         handle = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
-        earlier = handle, out if earlier else None
-        out = out.mapInArrow(frugal(_scan_batches(handle, 1)), schema)
-    return out
+        run = _scan_batches(handle, docs.columns.index(text))
+    return out, run, schema
+
+
+def scan(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Struct ``doc`` (all columns), n_words, flat word spans and item names per row.
+
+    Null or empty texts have no words, long ones are searched whole; benchmark rows with a null text
+    are passed over, the windows of one with a null id are hits that no item is named for; an item whose
+    words are all of an earlier item's is reported as well. Equal rows get equal results; an empty
+    table gives no rows. A benchmark beyond ``PASS_BYTES`` is searched block by block: each pass adds to
+    the spans of the last, which is written before, so no task holds more than one block's windows.
+    """
+    out, run, schema = _search(docs, bench, text, item, bench_text, window)
+    return out.mapInArrow(frugal(run), schema)
 
 
 def report(docs: DataFrame, bench: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
@@ -212,13 +223,15 @@ def report(docs: DataFrame, bench: DataFrame, key: str = "doc_id", **names: str)
     )
 
 
-def _cut_batches(at: int, count: int | None, schema: pa.Schema | None = None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 2048):
+def _cut_batches(run, at: int, count: int | None):
+    """The rows that ``run`` has searched, with their spans cut out; rows that are nothing else go."""
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            n_words, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows = batch.column(0)
-            fields = rows.flatten()
-            spans = batch.column(1).to_pylist()
             dirty = [k for k, s in enumerate(spans) if s]
+            fields = rows.flatten()
             if dirty:
                 texts = fields[at].to_pylist()
                 for k in dirty:
@@ -229,9 +242,11 @@ def _cut_batches(at: int, count: int | None, schema: pa.Schema | None = None):
                     for k in dirty:
                         counts[k] = len(texts[k])
                     fields[count] = pa.array(counts, fields[count].type)
-            yield pa.RecordBatch.from_arrays(fields, [f.name for f in rows.type])
+            out = pa.RecordBatch.from_arrays(fields, [f.name for f in rows.type])
+            gone = [s == [0, n] and n > 0 for s, n in zip(spans, n_words, strict=True)]
+            yield out.filter(pa.array([not g for g in gone])) if any(gone) else out
 
-    return run
+    return cut_all
 
 
 def remove(docs: DataFrame, bench: DataFrame, text: str = "text", count: str = "n_chars", **names: str) -> DataFrame:
@@ -241,9 +256,9 @@ def remove(docs: DataFrame, bench: DataFrame, text: str = "text", count: str = "
     untouched, and so do null and empty texts. Repeated rows stay repeated, and an empty table gives no
     rows. Columns, whatever their names, and their order stay as they are.
     """
-    found = scan(docs, bench, text=text, **names)
-    left = F.size("spans") == 0
-    left |= (F.size("spans") > 2) | (F.get("spans", F.lit(0)) > 0) | (F.get("spans", F.lit(1)) < F.col("n_words"))
+    names = {"item": "item_id", "bench_text": "text", "window": WINDOW} | names
+    out, run, schema = _search(docs, bench, text, **names)
     at = docs.columns.index(text)
     counted = docs.columns.index(count) if count in docs.columns else None
-    return found.where(left).select("doc", "spans").mapInArrow(frugal(_cut_batches(at, counted)), docs.schema)
+    # searched and cut in one pass, so that each task has one worker and texts cross over once
+    return out.mapInArrow(frugal(_cut_batches(run, at, counted)), schema["doc"].dataType)
