@@ -34,20 +34,46 @@ def unpack(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col(ROW)[c].alias(c) for c in columns]
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+#: What a worker keeps from task to task, such as tokenizers.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, once for each worker process, until a task of another kind begins there."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what the worker holds from tasks of another kind, and give the memory back."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system: allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: bool = False) -> Callable:
     """``run`` for mapInArrow with freed memory given back to the system at a task's end.
 
-    Workers live on through later stages and operators, and allocators keep what was freed.
+    Workers live on through later stages and operators. Where ``run`` uses :func:`held`, it says so;
+    other tasks let go of what was held.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return task
 

@@ -151,4 +151,4 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     """
     chosen = docs.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     schema = ", ".join(f"{n} long" for n in NAMES)
-    return chosen.mapInArrow(frugal(_pack(tokenizer_path, capacity)), schema)
+    return chosen.mapInArrow(frugal(_pack(tokenizer_path, capacity), holds=True), schema)

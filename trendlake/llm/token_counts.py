@@ -75,7 +75,7 @@ def refresh(docs: DataFrame, tokenizer_path: str, cache_path: str, text: str = "
     distinct = digested.groupBy("digest").agg(F.first("text").alias("text"))
     if n_missing > FEW and not known.isEmpty():
         distinct = distinct.join(missing.select("digest"), "digest", "left_semi")
-    counted = materialize(distinct.mapInArrow(frugal(_count_batches(tokenizer_path)), "digest binary, n_tokens long"), "counted")
+    counted = materialize(distinct.mapInArrow(frugal(_count_batches(tokenizer_path), holds=True), "digest binary, n_tokens long"), "counted")
     rows = counted.select("digest", "n_tokens", F.lit(tokenizer).alias("tokenizer"))
     rows.write.partitionBy("tokenizer").mode("append").parquet(cache_path)
     return known.unionByName(missing.join(counted, "digest"))

@@ -14,6 +14,8 @@ import re
 import sys
 from array import array
 
+from trendlake.llm.common import held
+
 #: Pieces a worker keeps; frequent ones come early, and later new ones are encoded each time.
 PIECES = 700_000
 #: Words a worker keeps; a word that is not kept costs little, and workers hold them through all later stages.
@@ -180,15 +182,9 @@ class WordCoder:
         return b"".join(found)
 
 
-_LOADED: dict[tuple[str, str], object] = {}
-
-
 def loaded(kind: type, path: str):
-    """One instance for each worker process, kept from task to task."""
-    key = (kind.__name__, path)
-    if key not in _LOADED:
-        _LOADED[key] = kind(path)
-    return _LOADED[key]
+    """One instance for each worker process, held from task to task."""
+    return held((kind.__name__, path), lambda: kind(path))
 
 
 def counter(path: str):
