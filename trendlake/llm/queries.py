@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendlake.llm import decontaminate, language, packing, pii, pivots, secrets, sharding, simhash, token_counts, toxicity, vocab
+from trendlake.llm import decontaminate, language, negatives, packing, pii, pivots, repair, secrets, sharding, simhash, token_counts, toxicity, vocab
 from trendlake.llm.common import unpack
 from trendlake.storage import scratch_path
 
@@ -76,6 +76,18 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and each of its five nearest of its label, ten hard negatives."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by known rules: its faults, the cheapest edits and the digest of the repaired text."""
+    return repair.repair(repair.damage(_table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,8 +98,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_embedding_dedup, op3_decontamination, op4_simhash_dedup, op5_toxicity, op6_pii_surrogates,
-        op7_packing, op8_token_counts, op9_secret_scan, op10_jump_sharding, pipeline,
+        op7_packing, op8_token_counts, op9_secret_scan, op10_jump_sharding, op11_hard_negatives, op13_conversation_repair, pipeline,
     )
 }
 
-ORACLES: dict[str, str] = {}
+_NEGATIVES = """
+WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score FROM q a JOIN q r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY rank <= 10"""
+
+ORACLES: dict[str, str] = {"op11_hard_negatives": _NEGATIVES}
