@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendlake.llm import decontaminate, language, negatives, packing, pii, pivots, repair, secrets, sharding, simhash, token_counts, toxicity, vocab
+from trendlake.llm import decontaminate, language, negatives, packing, pii, pivots, repair, secrets, sharding, simhash, substrings, token_counts, toxicity, vocab
 from trendlake.llm.common import unpack
 from trendlake.storage import scratch_path
 
@@ -83,6 +83,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 bytes and more that documents of smaller ids hold."""
+    return substrings.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by known rules: its faults, the cheapest edits and the digest of the repaired text."""
     return repair.repair(repair.damage(_table(spark, sf_dir, "conversations")), gone="gone")
@@ -98,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_embedding_dedup, op3_decontamination, op4_simhash_dedup, op5_toxicity, op6_pii_surrogates,
-        op7_packing, op8_token_counts, op9_secret_scan, op10_jump_sharding, op11_hard_negatives, op13_conversation_repair, pipeline,
+        op7_packing, op8_token_counts, op9_secret_scan, op10_jump_sharding, op11_hard_negatives, op12_suffix_dedup, op13_conversation_repair, pipeline,
     )
 }
 
