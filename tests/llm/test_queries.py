@@ -349,13 +349,24 @@ def test_base_spans_follow_the_patterns(spark, tables, sf):
         ("url = https://h.example/?access_key=AB12CD34EF", ["AB12CD34EF"]),
         ("x := `a1b2c3d4`\nauth_token => x", ["a1b2c3d4"]),
         ("it's db_pwd == x9x8x7x6y5 don't", []),
+        ('client_private_access = "a8Xk29QqLm"', ["a8Xk29QqLm"]),
+        ('client_secret_key = "correcthorsebattery"', ["correcthorsebattery"]),
+        ('db_pwd = "correcthorsebattery"', []),
+        ('config["password"] = "a8Xk29QqLm77"', ["a8Xk29QqLm77"]),
+        ("password: |\n  a8Xk29QqLm77\n  b8Xk29QqLm\nname: x", ["a8Xk29QqLm77", "b8Xk29QqLm"]),
+        ('{"secrets": ["a8Xk29QqLm", "b8Xk29QqLm77"]}', ["a8Xk29QqLm", "b8Xk29QqLm77"]),
+        ('#define DB_PWD "a8Xk29QqLm"', ["a8Xk29QqLm"]),
+        ("define('DB_PWD', 'a8Xk29QqLm');", ["a8Xk29QqLm"]),
+        ('<dbPwd type="x">a8Xk29QqLm</dbPwd>', ["a8Xk29QqLm"]),
+        ('user.set_pwd("a8Xk29QqLm")', ["a8Xk29QqLm"]),
+        ("db_pwd = " + " + ".join(f'"x{k}y{k}z"' for k in range(1100)), [f"x{k}y{k}z" for k in range(1100)]),
     ],
 )
 def test_lexer(text, want):
     assert [text[s:e] for s, e, _ in secrets.lexed_spans(text, text.encode())] == want
 
 
-@pytest.mark.parametrize("piece", ['"\\', "/*", "<a>", "'", 'x="""', "`", "a=b+", "a=", "b'", "key=x\nx=key\n", 'k = k + k + "x1"\n', "http://a=", "$a+"])
+@pytest.mark.parametrize("piece", ['"\\', "/*", "<a>", "'", 'x="""', "`", "a=b+", "a=", "b'", "key=x\nx=key\n", 'k = k + k + "x1"\n', "http://a=", "$a+", "<a b", "a:|\n b\n", "a:['',", "set(", "define('a',", '#define a "b"', 'key += "a1"\n'])
 def test_lexer_is_linear(piece):
     text = piece * (400_000 // len(piece)) + " key="
     secrets.lexed_spans(text, text.encode())

@@ -37,16 +37,18 @@ NAME_WEIGHTS = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3,
     "credentials": 3, "privatekey": 3, "accesskey": 3, "auth": 1, "key": 1, "private": 1, "access": 1, "client": 1, "bearer": 2,
 }
-_NAME_HINTS = (b"passw", b"passphrase", b"pwd", b"secret", b"token", b"api", b"credential", b"auth", b"key", b"bearer")
-#: Least score of a literal: that of its names plus 1 where it is long and uneven enough.
+#: Without what is neither letter nor digit, a text that names nothing of these holds no sensitive name.
+_NAME_HINTS = tuple(name.encode() for name in NAME_WEIGHTS)
+_OTHER_BYTES = bytes(b for b in range(256) if not chr(b).isascii() or not chr(b).isalnum())
+#: Least score of a literal: that of its names, plus 1 where it has a digit.
 SCORE = 4
-#: Literals that one value is made of at most: a constant that goes on doubling is no secret.
-MOST_PIECES = 1_000
+#: A literal has at least so many characters, of so many bits each.
+LEAST_CHARS, LEAST_BITS = 8, 2.5
 _NAME = r"[^\W\d][\w$]*+(?:[.\-][\w$]++)*+"
 _WHOLE_NAME = re.compile(_NAME)
 _STEP = re.compile(
-    rf"(?P<name>{_NAME})|(?P<op>:=|=>|\+=|[=!<>]=+|=|:)|(?P<quote>(?P<q>[\"'])(?P=q){{2}}|[\"'`])"
-    r"|(?P<comment>/\*|<!--|//|\#)|<(?P<tag>[A-Za-z_][\w.:\-]*+)>|(?P<newline>\n)|[^\S\n]++|."
+    rf"(?P<define>\#define[ \t]++(?={_NAME}[ \t]))|(?P<name>{_NAME})|(?P<op>:=|=>|\+=|[=!<>]=+|=|:)|(?P<quote>(?P<q>[\"'])(?P=q){{2}}|[\"'`])"
+    r"|(?P<comment>/\*|<!--|//|\#)|<(?P<tag>[A-Za-z_][\w.:\-]*+)(?=[\s>])|(?P<newline>\n)|[^\S\n]++|."
 )
 _ASSIGNS = {":=", "=>", "+=", "=", ":"}
 _BODY = {q: re.compile(rf"(?:[^{q}\\\n]++|\\.)*+") for q in "\"'"}
@@ -55,6 +57,12 @@ _VARIABLE = re.compile(rf"\$(?:\{{({_NAME})\}}|({_NAME}))")
 #: A value without quotes: up to the next blank, quote, bracket, comma or semicolon.
 _RUN = re.compile(r"[^\s\"'`,;<>(){}\[\]]*+")
 _PADDING = re.compile(r"={1,2}(?=[\s\"'`,;<>(){}\[\]]|\Z)")
+#: A block of lines behind a colon, and one more line of it.
+_BLOCK_LINES = re.compile(r"[ \t]*+[|>][+-]?[ \t]*+\n(?=[ \t])")
+_LINE = re.compile(r"([ \t]++)(\S[^\n]*+)\n?")
+_REST_OF_TAG = re.compile(r"[^<>]*+>")
+#: Calls whose first argument is a name and whose second a value.
+_NAMED_CALLS = {"define", "putenv", "setenv", "setproperty", "setattribute"}
 _CLOSERS = {"/*": "*/", "<!--": "-->"}
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|changeme|example|dummy|none|null|true|false|your.*|<.*>|\$\{?.*)\Z")
@@ -82,14 +90,47 @@ def name_score(name: str) -> int:
         if k + 1 < len(parts) and both in NAME_WEIGHTS:
             total, k = total + NAME_WEIGHTS[both], k + 2
         else:
-            total, k = total + NAME_WEIGHTS.get(parts[k], 0), k + 1
+            total, k = total + NAME_WEIGHTS.get(parts[k], NAME_WEIGHTS.get(parts[k].removesuffix("s"), 0)), k + 1
     return total
 
 
-def entropy(literal: str) -> float:
-    """Bits a character."""
-    n = len(literal)
-    return -sum(c / n * math.log2(c / n) for c in Counter(literal).values()) if n else 0.0
+def entropy(counts: Counter) -> float:
+    """Bits a character of a literal whose characters were counted."""
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+
+
+class Value:
+    """What a name holds: one literal, or two values one behind the other. Parts are shared, so a constant that doubles costs nothing."""
+
+    __slots__ = ("counts", "done", "head", "parts", "size", "span")
+
+    def __init__(self, text: str, span: tuple[int, int] | None = None, parts: tuple[Value, ...] = ()):
+        self.span, self.parts, self.done = span, parts, False
+        if span:
+            own = text[span[0] : span[1]]
+            self.counts, self.head, self.size = Counter(own), own[:64], len(own)
+        else:
+            first, second = parts
+            self.counts = first.counts + second.counts
+            self.head, self.size = (first.head + second.head)[:64], first.size + second.size
+
+    def strength(self) -> int:
+        """0 for a placeholder or what is too short or even, 1, or 2 with a digit."""
+        if self.size < LEAST_CHARS or entropy(self.counts) < LEAST_BITS or _PLACEHOLDER.match(self.head):
+            return 0
+        return 1 + any(c.isdigit() for c in self.counts)
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """The literals that no earlier call has given."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.done:
+                value.done = True
+                todo += value.parts
+                if value.span:
+                    yield value.span
 
 
 class Term(NamedTuple):
@@ -186,16 +227,44 @@ class Lexer:
 
     def pairs(self) -> Iterator[tuple[str, str, list[Term | None]]]:
         """name, operator and terms of each assignment."""
-        text, at, left, owner = self.text, 0, None, None
+        text, at, left, owner, quoted = self.text, 0, None, None, False
         while at < len(text):
             m = _STEP.match(text, at)
             kind, begin, at = m.lastgroup, at, m.end()
             if kind == "name":
-                left = m[0]
+                left, quoted = m[0], False
+            elif kind == "define":
+                name = _WHOLE_NAME.match(text, at)
+                terms, at = self.value(name.end())
+                left = None
+                yield name[0], "=", terms
             elif kind == "op":
                 if left is None or m[0] not in _ASSIGNS:
                     left = None
                     continue
+                if m[0] == ":" and (block := _BLOCK_LINES.match(text, at)):
+                    at, terms = block.end(), []
+                    while line := _LINE.match(text, at):
+                        if terms and len(line[1]) < indent:
+                            break
+                        indent = len(line[1]) if not terms else indent
+                        terms.append(Term(line.start(2), line.start(2) + len(line[2].rstrip())))
+                        at = line.end()
+                    yield left, "=", terms
+                    left = None
+                    continue
+                listed = _BLANK.match(text, at).end()
+                if text.startswith("[", listed):
+                    at = _ANY_BLANK.match(text, listed + 1).end()
+                    while at < len(text) and text[at] in "\"'":
+                        terms, at = self.value(at)
+                        yield left, "=", terms
+                        at = _ANY_BLANK.match(text, at).end()
+                        if not text.startswith(",", at):
+                            break
+                        at = _ANY_BLANK.match(text, at + 1).end()
+                    left = None
+                    continue
                 tight = m[0] == ":" or (m[0] == "=" and text[begin - 1].strip() and text[at : at + 1].strip())
                 terms, at = self.value(at)
                 single = terms[0] if len(terms) == 1 else None
@@ -211,7 +280,7 @@ class Lexer:
                 found = None if begin and text[begin - 1].isalnum() else self.string(begin)
                 if found:
                     name = _WHOLE_NAME.fullmatch(text, *found[:2])
-                    left, at = name and name[0], found[2]
+                    left, at, quoted = name and name[0], found[2], True
                 else:
                     at = begin + 1
             elif kind == "comment":
@@ -224,51 +293,69 @@ class Lexer:
                     at = end if end >= 0 else len(text)
             elif kind == "tag":
                 left = None
-                end = self.closing("<", at)
-                if end > at and text.startswith(f"</{m['tag']}>", end):
-                    yield m["tag"], "=", [Term(at, end)]
-                    at = end
-            elif kind == "newline" or not m[0].isspace():
+                if rest := _REST_OF_TAG.match(text, at):  # attributes are read as pairs of their own
+                    end = self.closing("<", rest.end())
+                    if end > rest.end() and text.startswith(f"</{m['tag']}>", end):
+                        yield m["tag"], "=", [Term(rest.end(), end)]
+                        at = end if rest.end() == at + 1 else at
+            elif m[0] == "(" and left and begin and not text[begin - 1].isspace():
+                last = left.rpartition(".")[2].lower()
+                if last in _NAMED_CALLS:
+                    first, after = self.term(_ANY_BLANK.match(text, at).end())
+                    after = _ANY_BLANK.match(text, after).end()
+                    name = first and _WHOLE_NAME.fullmatch(text, first.start, first.end)
+                    if name and text.startswith(",", after):
+                        terms, at = self.value(_ANY_BLANK.match(text, after + 1).end())
+                        yield name[0], "=", terms
+                elif last.startswith("set"):
+                    term, after = self.term(_ANY_BLANK.match(text, at).end())
+                    if term and text.startswith(")", _ANY_BLANK.match(text, after).end()):
+                        yield left, "=", [term]
+                        at = after
+                left = None
+            elif kind == "newline" or not (m[0].isspace() or (m[0] == "]" and quoted)):
                 left = None
 
 
 def lexed_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the literals that sensitive names receive."""
-    low = raw.lower()
-    if not (b"=" in raw or b":" in raw or b"</" in raw) or not any(h in low for h in _NAME_HINTS):
+    if not any(sign in raw for sign in (b"=", b":", b"</", b"(", b"#define")):
+        return []
+    squeezed = raw.lower().translate(None, _OTHER_BYTES)
+    if not any(hint in squeezed for hint in _NAME_HINTS):
         return []
-    held: dict[str, tuple[tuple[int, int], ...]] = {}
+    held: dict[str, Value | None] = {}
     waiting: dict[str, list[str]] = {}
     scores: dict[str, int] = {}
     out: set[tuple[int, int, int]] = set()
 
-    def receives(name: str, pieces: tuple[tuple[int, int], ...]) -> None:
+    def receives(name: str, value: Value) -> None:
         if name not in scores:
             scores[name] = name_score(name)
-        if scores[name] + 1 < SCORE:
+        if scores[name] + 1 < SCORE or value.done:
             return
-        literal = "".join(text[s:e] for s, e in pieces)
-        strong = len(literal) >= 8 and any(c.isdigit() for c in literal) and entropy(literal) >= 2.5
-        if strong and not _PLACEHOLDER.match(literal) and literal not in held:
-            out.update((s, e, 3) for s, e in pieces)
+        strength = value.strength()
+        if strength and scores[name] + strength - 1 >= SCORE and not (value.size <= len(value.head) and value.head in held):
+            out.update((s, e, 3) for s, e in value.spans())
 
     for name, op, terms in Lexer(text).pairs():
-        pieces = held.get(name, ()) if op == "+=" else ()
+        value = held.get(name) if op == "+=" else None
         for term in terms:
+            more = None
             if term and term.name in held:
-                pieces += held[term.name]
+                more = held[term.name]
             elif term:
                 if term.name:
                     waiting.setdefault(term.name, []).append(name)
                 if term.literal:
-                    pieces += ((term.start, term.end),)
-            if len(pieces) > MOST_PIECES:
-                break
-        held[name] = pieces = pieces[:MOST_PIECES]
-        todo = [name] if pieces else []
+                    more = Value(text, (term.start, term.end))
+            if more:
+                value = Value(text, None, (value, more)) if value else more
+        held[name] = value
+        todo = [name] if value else []
         while todo:
             target = todo.pop()
-            receives(target, pieces)
+            receives(target, value)
             todo += waiting.pop(target, [])
     return sorted(out)
 
