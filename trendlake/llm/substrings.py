@@ -35,9 +35,9 @@ from trendlake.storage import materialize, release, scratch_path
 
 GRAM = 20
 #: Bytes of a block, of text a bucket of anchors and of a bucketed file, texts a part and a shard, texts in a row that is sent.
-BLOCK_BYTES, BUCKET_BYTES, FILE_BYTES, PART_ROWS, SHARD_ROWS, SENT_ROWS = 2 << 20, 16 << 20, 64 << 20, 24_000, 120_000, 20_000
-#: Places of a text worked on at a time: a place must fit the low bits of an anchor's hash.
-SLICE = 1 << 22
+BLOCK_BYTES, BUCKET_BYTES, FILE_BYTES, PART_ROWS, SHARD_ROWS, SENT_ROWS = 2 << 20, 16 << 20, 64 << 20, 8_000, 32_000, 16_000
+#: Places of a text worked on at a time: few enough for a processor's cache, and a place must fit the low bits of an anchor's hash.
+SLICE = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 _FAR = np.int64(np.iinfo(np.int64).max)
 #: A null id comes after all others.
@@ -109,20 +109,20 @@ def anchored(data: np.ndarray, sizes: np.ndarray, span: int = SPAN, gram: int =
 
     ``data`` holds the documents one behind the other; strings lie within a document.
     """
-    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     out = []
     for a in range(0, max(len(data) - span + 1, 0), SLICE):
         piece = data[a : a + SLICE + span - 1]
         hashes = _rolled(piece, gram)
         marked = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
         place = (_least(marked, span - gram + 1) & _PLACE).astype(np.int64)
-        begin = np.arange(a, a + len(place))
-        doc = np.searchsorted(ends, begin, "right")
-        whole = begin + span <= ends[doc]
-        place, begin, doc = place[whole], begin[whole], doc[whole]
-        if len(place):
-            at = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])))
-            out.append((hashes[place[at]], begin[at], np.diff(np.append(at, len(place))), doc[at]))
+        doc = owner[a : a + len(place)]
+        place[doc != owner[a + span - 1 : a + span - 1 + len(place)]] = -1  # reaches into the next document
+        at = np.append(0, np.flatnonzero(place[1:] != place[:-1]) + 1)
+        count = np.diff(np.append(at, len(place)))
+        kept = place[at] >= 0
+        at, count = at[kept], count[kept]
+        out.append((hashes[place[at]], at + a, count, doc[at]))
     if not out:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -289,7 +289,7 @@ def _remove(span: int, gram: int, part: int):
         kept, number = _distinct(texts, sizes)
         low = np.full(len(kept), _FAR)
         np.minimum.at(low, number, ids)
-        best = least_of(texts[kept], sizes[kept], low, part, span)[:, : width - span + 1]
+        best = least_of(texts[kept], sizes[kept], low, part, span)
         edges = np.cumsum([0, *[r["n"] for r in rows]])
         for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
             goes = np.zeros((b - a, best.shape[1] + 2), np.int8)

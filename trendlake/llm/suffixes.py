@@ -92,21 +92,21 @@ def common_prefixes(texts: np.ndarray, sizes: np.ndarray, order: np.ndarray, ran
 
 
 def spans_of(texts: np.ndarray, sizes: np.ndarray, least: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct strings of ``span`` bytes in order: words, the least ``least`` of their rows, and for each place its string or -1."""
+    """The distinct strings of ``span`` bytes in order: words, the least ``least`` of their rows, and for each row and column its string or -1."""
     rows, width = texts.shape
     order, rank = suffix_array(texts, sizes)
     shared = common_prefixes(texts, sizes, order, rank, span)
     group = np.cumsum(shared < span) - 1
     whole = order % width + span <= sizes[order // width]
     order, group = order[whole], group[whole]
-    number = np.full(rows * width, -1, np.int64)
+    number = np.full(rows * width, -1, np.int32)
     if not len(order):
-        return np.zeros((0, (span + 7) // 8), np.uint64), np.zeros(0, np.int64), number.reshape(rows, width)
+        return np.zeros((0, (span + 7) // 8), np.uint64), np.zeros(0, np.int64), number.reshape(rows, width)[:, : width - span + 1]
     head = np.append(True, group[1:] != group[:-1])
     begins = np.flatnonzero(head)
     number[order] = np.cumsum(head) - 1
     low = np.minimum.reduceat(least[order // width], begins)
-    return key_words(texts, order[begins], span), low, number.reshape(rows, width)
+    return key_words(texts, order[begins], span), low, number.reshape(rows, width)[:, : width - span + 1].copy()
 
 
 def key_words(texts: np.ndarray, places: np.ndarray, span: int) -> np.ndarray:
@@ -158,16 +158,16 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def least_of(texts: np.ndarray, sizes: np.ndarray, least: np.ndarray, part: int, span: int = SPAN) -> np.ndarray:
-    """For each place the least value of all rows that hold its ``span`` bytes; the greatest number where fewer are left.
+    """For each row and column the least value of all rows that hold its ``span`` bytes; the greatest number where fewer are left.
 
     Every ``part`` rows have a suffix array of their own; parts are merged by binary search.
     """
     cuts = list(range(0, len(texts), part))
     found = [spans_of(texts[a : a + part], sizes[a : a + part], least[a : a + part], span) for a in cuts]
     if not found:
-        return np.zeros(texts.shape, np.int64)
+        return np.zeros((0, texts.shape[1] - span + 1), np.int64)
     table, low = merged([(w, v) for w, v, _ in found])
-    out = np.full(texts.shape, _NONE)
+    out = np.full((len(texts), texts.shape[1] - span + 1), _NONE)
     for a, (own, own_low, number) in zip(cuts, found, strict=True):
         values = own_low if len(found) == 1 else low[find(table, own)]
         some = number >= 0
