@@ -167,6 +167,20 @@ def merge_external(labels: DataFrame) -> DataFrame:
     return labels.select("id", F.when(F.col("related"), F.col("category")).alias("primary_category"), fit.alias("confidence"), F.slice("secondary", 1, 3).alias("secondary"))
 
 
+def with_external(placed: DataFrame, labels: DataFrame, due: DataFrame, manual: DataFrame) -> DataFrame:
+    """``placed`` assignments with those of entities that ``labels`` cover replaced by the labels.
+
+    ``labels`` is ``(id, category, related, confidence, secondary)``; secondaries have 0.6 of the confidence, categories held
+    by hand are left to it, and an unrelated label leaves the entity without one.
+    """
+    told = merge_external(labels)
+    none = F.array().cast("array<string>")
+    rows = told.withColumns({"matched": none, "secondary_matched": F.transform("secondary", lambda _: none)})
+    made = expand(rows, due, manual).withColumn("source", F.lit("external")).dropDuplicates(["entity_id", "slug"])
+    kept = placed.join(labels.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    return kept.unionByName(made.select(*kept.columns))
+
+
 def rule_faults(rules: DataFrame) -> DataFrame:
     """Rules that no classification should run with: blank terms, one slug under two ordinals."""
     blank = rules.where(F.trim("term") == "").select("category", F.lit("blank term").alias("fault"))

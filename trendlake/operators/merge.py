@@ -18,10 +18,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str
     ``rules`` gives a column's rule: ``new`` (default where the new frame has it), ``keep`` (the
     old value stays), ``fill`` (new, or old where new is null), ``most`` (the greater). Columns in
     ``extra`` are computed from structs ``o`` and ``n``; either is null where its side is missing.
+    Of several new rows of one key the greatest counts, compared column by column; a null key meets none.
     """
     rules, extra = rules or {}, extra or {}
     o = old.select(*keys, F.struct(*old.columns).alias("o"))
-    n = new.select(*keys, F.struct(*new.columns).alias("n"))
+    n = new.groupBy(*keys).agg(F.max(F.struct(*new.columns)).alias("n"))  # dealt by the keys, as the join asks
     both = o.join(n, keys, "full_outer")
     out = []
     for c in old.columns:
@@ -54,7 +55,7 @@ def changed_only(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -
 
 def release_names(old: DataFrame, incoming: DataFrame, stable: str = "github_id", name: str = "full_name") -> DataFrame:
     """``old`` with names that an incoming row of another stable id takes marked as superseded and rejected."""
-    taken = incoming.select(F.col(name), F.col(stable).alias("__by")).groupBy(name).agg(F.min("__by").alias("__by"))
+    taken = incoming.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(stable).alias("__by"))
     hit = F.col("__by").isNotNull() & (F.col("__by") != F.col(stable))
     marked = old.join(taken, name, "left")
     out = {
@@ -64,6 +65,34 @@ def release_names(old: DataFrame, incoming: DataFrame, stable: str = "github_id"
     return marked.select(*[out[c].alias(c) if c in out else F.col(c) for c in old.columns])
 
 
+def discovered(entity: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``entity`` that discovery changes or adds, names that moved released first.
+
+    Found rows without a stable id are passed over, and of several rows of one id the greatest counts. Ids and status
+    stay; a new description, language or list of topics resets the watermark ``classified_on``.
+    """
+    seen = found.where("github_id is not null and github_id <> 0")
+    before = release_names(entity, seen) if "full_name" in found.columns else entity
+    reset = F.lit(False)
+    for c in [c for c in ("description", "topics", "language") if c in found.columns]:
+        reset = reset | ~F.col("o")[c].eqNullSafe(F.col("n")[c])
+    extra = {}
+    if "classified_on" in entity.columns:
+        kept = F.col("o.classified_on")
+        extra["classified_on"] = F.when(F.col("n").isNull(), kept).when(F.col("o").isNotNull() & ~reset, kept)
+    if "id" not in seen.columns:  # ids need not be dense: the stable id, moved behind the last
+        last = entity.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+        seen = seen.join(last).withColumn("id", F.col("__last") + F.col("github_id") + 1).drop("__last")  # one row
+    if "status" not in seen.columns:
+        seen = seen.withColumn("status", F.lit("active"))
+    out = upsert(before, seen, ["github_id"], {"id": "keep", "status": "keep"}, extra)
+    if "full_name" in found.columns:
+        taken = entity.select(F.col("github_id").alias("__g"), F.col("full_name").alias("__was"))
+        out = out.join(taken, out["github_id"] == taken["__g"], "left")
+        out = out.withColumn("touched", F.col("touched") | ~F.col("full_name").eqNullSafe(F.col("__was")))
+    return out.where("touched").select(*entity.columns)
+
+
 def insert_absent(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows to append, one for each absent key, and the rows that were there already."""
     fresh = new.join(old.select(key), key, "left_anti").dropDuplicates([key])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.functions import scoring, text
-from trendlake.operators import classify, merge, people, places, temporal
+from trendlake.functions import text
+from trendlake.operators import classify, merge, people, places, scores, temporal
 from trendlake.storage import materialize
+from trendlake.versions import Tables
 
 
 def resolve(entities: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -46,14 +47,26 @@ def persist_people(person: DataFrame, link: DataFrame, entities: DataFrame, foun
     """The next person, link and entity tables after ``found(entity_id, github_id, login, avatar_url, contributions)``.
 
     People are met by ``github_id`` and keep an avatar that a new row lacks; new ones get the ids behind the
-    last. Of several rows of one person in one entity the strongest counts; 30 links an entity are
+    last. A login is held by one person: of several ids that come with it the lowest, and whoever held it before
+    becomes ``login:github_id``. Of several rows of one person in one entity the strongest counts; 30 links an entity are
     stored. ``contributors_count`` is what was found, or where the list is full the lower bound in
     ``measured(entity_id, count)``; the top share is that among the first hundred.
     """
+    found = found.where("github_id > 0")
     folk = found.groupBy("github_id").agg(F.max("login").alias("login"), F.max("avatar_url").alias("avatar_url"))
+    # of several ids under one login the lowest stays, and takes the others' links
+    kept = folk.groupBy("login").agg(F.min("github_id").alias("__kept"))
+    into = folk.join(kept, "login").select("github_id", "__kept")
+    found = found.join(into, "github_id").withColumn("github_id", F.col("__kept")).drop("__kept")
+    folk = folk.join(kept.select(F.col("__kept").alias("github_id")), "github_id", "left_semi")
+    # a login that another id takes is released first
+    claims = folk.select("login", F.col("github_id").alias("__by"))
+    lost = F.col("__by").isNotNull() & (F.col("__by") != F.col("github_id"))
+    released = F.when(lost, F.concat_ws(":", "login", F.col("github_id").cast("string"))).otherwise(F.col("login"))
+    person = person.join(claims, "login", "left").withColumn("login", released).select(*person.columns)
     last = person.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
     fresh = folk.join(person.select("github_id"), "github_id", "left_anti").select("github_id").join(last)  # one row
-    # ids need not be dense: a hash of the stable id, moved behind the last
+    # ids need not be dense: the stable id, moved behind the last
     fresh = fresh.select("github_id", (F.col("__last") + F.col("github_id") + 1).alias("id"))
     known = person.select("github_id", "id").unionByName(fresh)
     people_ = merge.upsert(person, folk.join(known, "github_id"), ["github_id"], {"avatar_url": "fill", "id": "keep"}).select(*person.columns)
@@ -70,7 +83,8 @@ def persist_people(person: DataFrame, link: DataFrame, entities: DataFrame, foun
 
 
 def refresh_profiles(person: DataFrame, profiles: DataFrame, aliases: DataFrame, nowhere: DataFrame, now: Column) -> DataFrame:
-    """People with the fetched profile of their login written over, its place resolved and the stamp set."""
+    """People with the fetched profile of their login written over, its place resolved and the stamp set; of several profiles of one login the greatest counts."""
+    profiles = profiles.groupBy("login").agg(F.max(F.struct(*[c for c in profiles.columns if c != "login"])).alias("p")).select("login", "p.*")
     place = places.resolve(profiles.select(F.col("login").alias("id"), "location"), aliases, nowhere).select(F.col("id").alias("login"), "country", "city")
     new = profiles.drop("id").join(place, "login").withColumn("synced_on", now)
     return merge.upsert(person, new, ["login"]).where("not is_new").select(*person.columns)
@@ -96,36 +110,93 @@ def named_intake(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFr
     return good, read.where("not r.ok").select("raw", F.col("r.error").alias("error"))
 
 
-def daily(tables: dict[str, DataFrame], found: dict[str, DataFrame], rules: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The tables after one day, by the stages in their order, with one ``now``.
+STAGES = ("discover", "sync", "snapshot", "countries", "contributors", "profiles", "classify", "score")
 
-    ``tables``: entity, metrics, person, link, assignment, alias(alias, country), nowhere(value).
-    Each stage writes the next version of its table, which the later ones read.
-    ``found``: discovered and refreshed rows of entities, and people as for :func:`persist_people`. Snapshots
-    are taken before anything is scored, else every gain would be zero.
+
+class Day:
+    """One daily run over versioned tables: every stage reads the newest version and changes it in one step.
+
+    Tables: entity, metrics, person, link, assignment. ``found`` holds what was fetched: ``discovered``, ``refreshed``,
+    ``people`` as for :func:`persist_people`, ``profiles`` as for :func:`refresh_profiles`, ``external`` labels of
+    :func:`classify.merge_external`; what is missing skips its stage. Stages come in their one order, with one ``now``: a snapshot is taken before
+    anything that may fail, and scores come last. A run that was cut goes on behind its last stage, and the
+    same stages never count twice.
     """
-    entity = merge.upsert(tables["entity"], found["discovered"], ["github_id"], {"id": "keep", "status": "keep"}).select(*tables["entity"].columns)
-    fill = {c: "fill" for c in found["refreshed"].columns if c != "id"}
-    entity = materialize(merge.upsert(entity, found["refreshed"], ["id"], fill).where("not is_new").select(*entity.columns), "entity")
-
-    counts = [c for c in tables["metrics"].columns if c not in ("id", "recorded_on")]
-    current = entity.where("status = 'active'").select("id", *[F.col(c) if c in entity.columns else F.lit(None).cast("long").alias(c) for c in counts])
-    metrics = materialize(temporal.write_snapshot(tables["metrics"], temporal.changed_rows(current, tables["metrics"], now)), "metrics")
-
-    resolved = places.resolve(entity.select("id", F.col("owner_location").alias("location")), tables["alias"], tables["nowhere"])
-    entity = places.backfill(entity, resolved).select(*entity.columns)
-    person, link, entity = (materialize(t, "people") for t in persist_people(tables["person"], tables["link"], materialize(entity, "entity"), found["people"]))
-
-    marked = entity.withColumn("fingerprint", text.fingerprint(*[F.col(c) for c in ("name", "description", "topics", "language", "readme")]))
-    due = materialize(classify.pending(marked, tables["assignment"]), "due")
-    by_hand = tables["assignment"].where("source = 'manual'")
-    placed = classify.expand(classify.decide(classify.scores(classify.hits(due, rules))), due, by_hand).withColumn("source", F.lit("rule"))
-    assignment = materialize(merge.replace_automatic(tables["assignment"], placed, due.select(F.col("id").alias("entity_id"))), "assignment")
-    entity = classify.attempted(entity, due, now).select(*entity.columns)
-
-    gains = temporal.deltas(entity.select("id", "stars"), metrics, now)
-    velocity = scoring.fixed(F.col("stars_week") / F.greatest(F.lit(50), F.col("stars") - F.col("stars_week")), 5)
-    scores = gains.select("id", "stars_day", "stars_week", "stars_month", velocity.alias("trend_velocity"))
-    changed = merge.changed_only(entity, scores, "id", ["stars_day", "stars_week", "stars_month", "trend_velocity"])
-    entity = merge.upsert(entity, changed, ["id"]).select(*entity.columns)
-    return {"entity": entity, "metrics": metrics, "person": person, "link": link, "assignment": assignment}
+
+    def __init__(self, tables: Tables, found: dict[str, DataFrame], rules: DataFrame, aliases: DataFrame, nowhere: DataFrame, now: Column, run: str) -> None:
+        self.tables, self.found, self.rules, self.aliases, self.nowhere, self.now, self.run_name = tables, found, rules, aliases, nowhere, now, run
+        self.figures: dict[str, int] = {}
+
+    def run(self, stages: tuple[str, ...] = STAGES) -> dict[str, int]:
+        """All stages that are not done; the figures of the scoring pass, if it ran."""
+        done = self.tables.done(self.run_name)
+        for stage in stages:
+            if stage not in done:
+                changed = getattr(self, stage)()
+                rows, gone = changed if isinstance(changed, tuple) else (changed, None)
+                self.tables.change(self.run_name, stage, rows, gone)
+                if stage == "score":
+                    self.figures = self._figures.get()
+        return self.figures
+
+    def discover(self) -> dict[str, DataFrame]:
+        return {"entity": merge.discovered(self.tables.read("entity"), self.found["discovered"])} if "discovered" in self.found else {}
+
+    def sync(self) -> dict[str, DataFrame]:
+        if "refreshed" not in self.found:
+            return {}
+        entity, new = self.tables.read("entity"), self.found["refreshed"]
+        fill = {c: "fill" for c in new.columns if c != "id"}
+        return {"entity": merge.upsert(entity, new, ["id"], fill).where("touched and not is_new").select(*entity.columns)}
+
+    def snapshot(self) -> dict[str, DataFrame]:
+        entity, metrics = self.tables.read("entity"), self.tables.read("metrics")
+        counts = [F.col(c) if c in entity.columns else F.lit(None).cast("long").alias(c) for c in temporal.COUNTERS]
+        rows = temporal.changed_rows(entity.where("status = 'active'").select("id", *counts), metrics, self.now)
+        if "month" in metrics.columns:
+            rows = rows.withColumn("month", F.date_format("recorded_on", "yyyy-MM"))
+        return {"metrics": rows, "entity": scores.gained(entity, metrics, self.now)}
+
+    def countries(self) -> dict[str, DataFrame]:
+        entity = self.tables.read("entity")
+        found = places.resolve(entity.select("id", F.col("owner_location").alias("location")), self.aliases, self.nowhere)
+        new = entity.select("id", F.col("owner_country").alias("__was")).join(places.backfill(entity, found), "id")
+        return {"entity": new.where(~F.col("owner_country").eqNullSafe(F.col("__was"))).select(*entity.columns)}
+
+    def contributors(self) -> dict[str, DataFrame]:
+        if "people" not in self.found:
+            return {}
+        old = [self.tables.read(n) for n in ("person", "link", "entity")]
+        new = persist_people(*old, self.found["people"])
+        return {n: _unlike(before, after, keys) for n, before, after, keys in zip(("person", "link", "entity"), old, new, (["id"], ["entity_id", "person_id"], ["id"]), strict=True)}
+
+    def profiles(self) -> dict[str, DataFrame]:
+        if "profiles" not in self.found:
+            return {}
+        person = self.tables.read("person")
+        return {"person": _unlike(person, refresh_profiles(person, self.found["profiles"], self.aliases, self.nowhere, self.now), ["id"])}
+
+    def classify(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        entity, old = self.tables.read("entity"), self.tables.read("assignment")
+        marked = entity.withColumn("fingerprint", text.fingerprint(*[F.col(c) for c in ("name", "description", "topics", "language", "readme")]))
+        # both watermarks: never tried, or touched since
+        waits = F.col("classified_on").isNull() | F.col("synced_on").isNull() | (F.col("classified_on") <= F.col("synced_on"))
+        due = materialize(classify.pending(marked.where(waits & (F.col("status") == "active")), old), "due")
+        manual = old.where("source = 'manual'")
+        placed = classify.expand(classify.decide(classify.scores(classify.hits(due, self.rules))), due, manual).withColumn("source", F.lit("rule"))
+        if "external" in self.found:
+            placed = classify.with_external(placed, self.found["external"].join(due.select("id"), "id", "left_semi"), due, manual)
+        gone = old.where("source <> 'manual'").join(due.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+        tried = classify.attempted(entity.join(due.select("id"), "id", "left_semi"), due, self.now)
+        return {"assignment": placed.select(*old.columns), "entity": tried.select(*entity.columns)}, {"assignment": gone}
+
+    def score(self) -> dict[str, DataFrame]:
+        self._figures = scores.Figures()
+        return {"entity": scores.changed(self.tables.read("entity"), self.tables.read("metrics"), self.now, self._figures)}
+
+
+def _unlike(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``after`` that are new or unlike those of equal keys before."""
+    old = before.select(*keys, F.struct(*before.columns).alias("__old"))
+    new = after.select(*before.columns).withColumn("__new", F.struct(*before.columns)).join(old, keys, "left")
+    return new.where(~F.col("__new").eqNullSafe(F.col("__old"))).select(*before.columns)

@@ -37,6 +37,17 @@ def contributor_growth(current: DataFrame, metrics: DataFrame, cutoff: Column) -
     return current.join(before, "id", "left").select(*current.columns, F.coalesce(grown, F.lit(0)).alias("contributors_week"))
 
 
+def week_and_gains(current: DataFrame, metrics: DataFrame, today: Column) -> DataFrame:
+    """``current(id, stars, contributors_count, ...)`` with :func:`deltas` and :func:`contributor_growth`, by one pass over the metrics."""
+    before = as_of(metrics, {"d1": F.date_sub(today, 1), "d7": F.date_sub(today, 7), "d30": F.date_sub(today, 30)}, ["stars", "contributors_count"])
+    gain = lambda c: F.coalesce(F.col("stars") - F.col(c)["stars"], F.lit(0))
+    grown = F.greatest(F.col("contributors_count") - F.col("d7")["contributors_count"], F.lit(0))
+    grown = F.when(F.col("contributors_count").isNull() | F.col("d7")["contributors_count"].isNull(), 0).otherwise(grown)
+    more = {"stars_day": gain("d1"), "stars_week": gain("d7"), "stars_month": gain("d30"), "contributors_week": grown}
+    joined = current.drop(*more).join(before, "id", "left")
+    return joined.select(*[c for c in current.columns if c not in more], *[v.alias(k) for k, v in more.items()])
+
+
 def changed_rows(current: DataFrame, metrics: DataFrame, today: Column, force: bool = False) -> DataFrame:
     """Snapshot rows to write for ``today``: forced, first ones, or any counter unlike the newest before."""
     last = as_of(metrics, {"last": today}, COUNTERS, strict=True)
@@ -56,15 +67,17 @@ def write_snapshot(metrics: DataFrame, rows: DataFrame) -> DataFrame:
 def series(metrics: DataFrame, current: DataFrame, today: Column, days: int = 90) -> DataFrame:
     """Points of the last ``days`` with the anchor before them, and the current values as today's point.
 
-    Only entities with at least one row get a point for today, and only where there is none yet.
+    Only entities with at least one row get a point for today, and only where there is none yet. The metrics are
+    grouped once: older rows leave only the newest of them, the last ``days`` at most a row a day.
     """
-    start = F.date_sub(today, days)
-    anchor = F.max(F.when(F.col("recorded_on") < start, F.col("recorded_on"))).over(Window.partitionBy("id"))
-    points = metrics.withColumn("anchor", anchor).where((F.col("recorded_on") >= start) | (F.col("recorded_on") == F.col("anchor"))).drop("anchor")
-    newest = points.groupBy("id").agg(F.max("recorded_on").alias("newest"))
-    now = current.join(newest, "id").where(F.col("newest") < today)
-    now = now.select("id", today.alias("recorded_on"), *[F.col(c) if c != "contributors_count" and c in current.columns else F.lit(None).cast("long").alias(c) for c in COUNTERS])
-    return points.select("id", "recorded_on", *COUNTERS).unionByName(now)
+    start, row = F.date_sub(today, days), F.struct("recorded_on", *COUNTERS)
+    old = F.col("recorded_on") < start
+    own = metrics.groupBy("id").agg(F.max_by(F.when(old, row), F.when(old, F.col("recorded_on"))).alias("anchor"), F.collect_list(F.when(~old, row)).alias("recent"), F.max("recorded_on").alias("newest"))
+    values = [F.col(c).cast("long") if c != "contributors_count" and c in current.columns else F.lit(None).cast("long") for c in COUNTERS]
+    now = current.select("id", F.struct(today.alias("recorded_on"), *[v.alias(c) for v, c in zip(values, COUNTERS, strict=True)]).alias("now"))
+    both = own.join(now, "id", "left")
+    points = F.concat(F.array("anchor"), F.col("recent"), F.array(F.when(F.col("newest") < today, F.col("now"))))
+    return both.select("id", F.explode(F.array_compact(points)).alias("p")).select("id", "p.recorded_on", *[f"p.{c}" for c in COUNTERS])
 
 
 def series_summary(points: DataFrame, column: str = "stars") -> DataFrame:
@@ -79,6 +92,13 @@ def series_summary(points: DataFrame, column: str = "stars") -> DataFrame:
     return s.withColumn("span", F.when(span == 0, 1).otherwise(span)).withColumn("drawable", F.col("points") >= 2)
 
 
+def scaled(points: DataFrame, column: str = "stars") -> DataFrame:
+    """Points with their place between the entity's least (0) and most (1) value; 0 where all are equal."""
+    w = Window.partitionBy("id")
+    low, high = F.min(column).over(w), F.max(column).over(w)
+    return points.withColumn("at", (F.col(column) - low) / F.when(high == low, 1).otherwise(high - low))
+
+
 def dense(metrics: DataFrame, days: DataFrame) -> DataFrame:
     """A value for each entity and each day since its first row, carried forward from the sparse rows."""
     bounds = metrics.groupBy("id").agg(F.min("recorded_on").alias("first"))

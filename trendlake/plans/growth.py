@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendlake.functions import scoring
-from trendlake.operators import merge, temporal
+from trendlake.operators import scores, temporal
 from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
-from trendlake.storage import materialize
+from trendlake.storage import materialize, release
 from trendlake.streaming import observations
+from trendlake.versions import state_of
 
 _ASOF = (
     "earlier AS (SELECT id, arg_max(stars, recorded_on) FILTER (recorded_on <= now - 1) AS d1, arg_max(stars, recorded_on) FILTER (recorded_on <= now - 7) AS d7, "
@@ -59,36 +60,20 @@ def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.deltas(spark_view(spark, sf_dir, "entity"), spark_view(spark, sf_dir, "metrics"), now_of(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[str, tuple[str, DataFrame]] = {}
 
 
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored entities as the nightly run leaves them: written once for a session, read by every listing."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = materialize(scored(spark, sf_dir), "scored")
-    return _STORED[key]
+    """The scored entities as the scoring pass leaves them, made anew when a file of the tables behind them is another."""
+    state = spark.sparkContext.applicationId + state_of(spark, [f"{sf_dir}/{t}.parquet" for t in ("part", "lineitem", "nation")])
+    if _STORED.get(sf_dir, ("",))[0] != state:
+        _STORED[sf_dir] = state, materialize(scored(spark, sf_dir), "scored")
+    return _STORED[sf_dir][1]
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with deltas, growth, trend and quality columns."""
-    now, metrics = now_of(spark, sf_dir), spark_view(spark, sf_dir, "metrics")
-    df = gains(spark, sf_dir)
-    growth = temporal.contributor_growth(df.select("id", "contributors_count"), metrics, F.date_sub(now, 7)).drop("contributors_count")
-    df = df.join(growth, "id")
-    c = F.col
-    t = scoring.trend(c("stars"), c("stars_day"), c("stars_week"), c("contributors_week"), c("released_on"), c("pushed_on"), c("created_on"), c("is_archived"), now)
-    q = scoring.quality(
-        {
-            "stars": c("stars"), "open_issues": c("open_issues"), "contributors": c("contributors_count"), "share": c("top_contributor_share"),
-            "pushed": c("pushed_on"), "released": c("released_on"), "releases_last_year": c("releases_last_year"), "licence": c("license_spdx_id"),
-            "readme_length": c("readme_length"), "has_homepage": F.coalesce(c("homepage"), F.lit("")) != "", "has_description": c("description").isNotNull(),
-            "topics": c("topics_count"), "archived": c("is_archived"), "fork": c("is_fork"),
-        },
-        now,
-    )
-    df = df.withColumns({"t": t, "q": q})
-    return df.select("*", c("t.score").alias("trend_score"), c("t.velocity").alias("trend_velocity"), c("q.score").alias("quality_score"), c("q.grade").alias("quality_grade"))
+    return scores.scored(spark_view(spark, sf_dir, "entity"), spark_view(spark, sf_dir, "metrics"), now_of(spark, sf_dir))
 
 
 @query(GAINS_SQL + "v AS (SELECT *, FLOOR(stars_week / GREATEST(50, stars - stars_week)::DOUBLE * 100000 + 0.5) / 100000 AS velocity FROM gains) SELECT id, name, stars, stars_week, velocity FROM v ORDER BY stars_week DESC, id DESC LIMIT 24")
@@ -160,19 +145,29 @@ def quality_dimensions(spark, sf_dir):
     return scored(spark, sf_dir).select("id", *[F.round(F.col(f"q.{d}") * 1000000).alias(d) for d in scoring.DIMENSIONS])
 
 
-@query(SCORED_SQL + "SELECT id, CAST((CASE WHEN pushed_on IS NULL OR now - pushed_on > 180 THEN 1 ELSE 0 END) + (CASE WHEN released_on IS NULL OR now - released_on > 365 THEN 1 ELSE 0 END) + (CASE WHEN top_contributor_share IS NOT NULL AND cc > 0 THEN CASE WHEN top_contributor_share >= 0.9 AND cc > 1 THEN 1 ELSE 0 END WHEN cc = 1 THEN 1 ELSE 0 END) + (CASE WHEN stars > 0 AND open_issues / stars::DOUBLE > 0.12 AND open_issues > 100 THEN 1 ELSE 0 END) + (CASE WHEN rl < 500 THEN 1 ELSE 0 END) + (CASE WHEN license_class IN ('none', 'non-commercial', 'strong-copyleft') THEN 1 ELSE 0 END) + (CASE WHEN is_archived THEN 1 ELSE 0 END) + (CASE WHEN is_fork THEN 1 ELSE 0 END) AS INT) AS flags FROM scored")
+FLAGS_SQL = (
+    "concat_ws('; ', CASE WHEN pushed_on IS NULL THEN 'last commit unknown' WHEN now - pushed_on > 365 THEN 'idle for more than a year' WHEN now - pushed_on > 180 THEN 'idle for more than six months' END, "
+    "CASE WHEN released_on IS NULL THEN 'never released' WHEN now - released_on > 365 THEN 'last release over a year old' END, "
+    "CASE WHEN top_contributor_share IS NOT NULL AND cc > 1 AND top_contributor_share >= 0.9 THEN 'one person does nearly all work' WHEN cc = 1 AND top_contributor_share IS NULL THEN 'only one contributor' END, "
+    "CASE WHEN stars > 0 AND open_issues / stars::DOUBLE > 0.12 AND open_issues > 100 THEN 'many open issues for its audience' END, CASE WHEN rl < 500 THEN 'little or no readme' END, "
+    "CASE license_class WHEN 'none' THEN 'no licence: reuse is not allowed' WHEN 'non-commercial' THEN 'licence limits commercial use' WHEN 'strong-copyleft' THEN 'strong copyleft: derived work must be opened' END, "
+    "CASE WHEN is_archived THEN 'archived and read-only' END, CASE WHEN is_fork THEN 'is a fork' END)"
+)
+
+
+@query(SCORED_SQL + f"SELECT id, {FLAGS_SQL} AS flags FROM scored")
 def quality_flags(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", F.size("q.flags").alias("flags"))
+    return scored(spark, sf_dir).select("id", F.array_join("quality_flags", "; ").alias("flags"))
 
 
-@query(SCORED_SQL + "SELECT COUNT(*) AS scored, COUNT(*) FILTER (quality_score <> id % 101) AS changed, COUNT(*) FILTER (quality_grade = 'A') AS grade_a, COUNT(*) FILTER (quality_grade = 'F') AS grade_f FROM scored WHERE status = 'active'")
+@query(SCORED_SQL + f"SELECT COUNT(*) AS scored, COUNT(*) FILTER (quality_score <> id % 101) AS changed, COUNT(*) FILTER (quality_grade = 'A') AS grade_a, COUNT(*) FILTER (quality_grade = 'F') AS grade_f, COUNT(*) FILTER ({FLAGS_SQL} <> '') AS flagged FROM scored WHERE status = 'active'")
 def score_pass_stats(spark, sf_dir):
-    df = scored(spark, sf_dir).where("status = 'active'")
-    old = df.select("id", (F.col("id") % 101).cast("int").alias("quality_score"))
-    changed = merge.changed_only(old, df.select("id", "quality_score"), "id", ["quality_score"]).select("id", F.lit(1).alias("c"))
-    return df.join(changed, "id", "left").agg(
-        F.count("*").alias("scored"), F.count("c").alias("changed"), F.count_if(F.col("quality_grade") == "A").alias("grade_a"), F.count_if(F.col("quality_grade") == "F").alias("grade_f")
-    )
+    """Counted while the pass is written, without a second look at its rows."""
+    figures, entity = scores.Figures(), spark_view(spark, sf_dir, "entity")
+    new = scores.scored(entity, spark_view(spark, sf_dir, "metrics"), now_of(spark, sf_dir))
+    stored = materialize(new.withColumn("quality_score", (F.col("id") % 101).cast("int")).drop("t", "q"), "stored")
+    release(materialize(scores.changed(stored, spark_view(spark, sf_dir, "metrics"), now_of(spark, sf_dir), figures), "changed"))
+    return spark.createDataFrame([figures.get()], "scored long, changed long, grade_a long, grade_f long, flagged long")
 
 
 _SERIES = "pts AS (SELECT m.id, recorded_on, stars FROM metrics m, today WHERE recorded_on >= now - 90 UNION ALL SELECT id, recorded_on, stars FROM (SELECT m.*, row_number() OVER (PARTITION BY id ORDER BY recorded_on DESC) AS rn FROM metrics m, today WHERE recorded_on < now - 90) t WHERE rn = 1), ser AS (SELECT * FROM pts UNION ALL SELECT e.id, now, e.stars FROM entity e, today WHERE e.id IN (SELECT id FROM pts)) "

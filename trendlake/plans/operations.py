@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendlake.operators import listing, people, places, refresh, shards
+from trendlake.plans import growth
 from trendlake.plans.catalogue import ALL_SQL, stored_scores
 from trendlake.plans.growth import now_of
 from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
 from trendlake.sources import payloads
+from trendlake.storage import scratch_path
+from trendlake.versions import Tables
 
 
 @query(with_views("entity") + "SELECT id, CASE WHEN id % 4 = 1 THEN 'new/' || id ELSE full_name END AS found, id % 4 = 1 AS renamed FROM entity WHERE id % 4 <> 3 AND (id % 4 <> 2 OR full_name = lower(full_name) OR TRUE)")
@@ -210,28 +213,76 @@ def nested_payloads(spark, sf_dir):
 RULES = [("rings", 1, "phrase", "ring"), ("widgets", 2, "phrase", "widget"), ("bolts", 3, "phrase", "red bolt")]
 
 
-@query(
-    with_views("entity", "link").rstrip() + ", g AS (SELECT entity_id, COUNT(*) AS n FROM link GROUP BY entity_id) SELECT e.id, CASE WHEN e.id % 2 = 0 THEN stars + 5 ELSE stars END AS stars, CASE WHEN e.id % 2 = 0 THEN 5 ELSE 0 END AS stars_day, "
-    "CASE WHEN e.id % 10 = 0 AND g.n IS NOT NULL THEN g.n ELSE e.contributors_count END::BIGINT AS contributors_count, CASE WHEN e.id % 3 = 0 THEN 'NATION_5' ELSE owner_country END AS owner_country, "
-    "CASE WHEN e.id % 7 = 0 THEN 'by hand' WHEN name LIKE '%ring%' THEN 'rings' WHEN name LIKE '%widget%' THEN 'widgets' WHEN name = 'red bolt' THEN 'bolts' END AS category FROM entity e LEFT JOIN g ON g.entity_id = e.id"
+# The entities after a day's discovery, refresh, countries and people; then the scores of the active ones.
+_DAY = (
+    with_views("metrics", "today", "entity", "link").rstrip().replace(" entity AS (", " entity0 AS (")
+    + ", g AS (SELECT entity_id, COUNT(*) AS n, FLOOR(MAX(contributions) / SUM(contributions)::DOUBLE * 10000 + 0.5) / 10000 AS share FROM link WHERE entity_id % 10 = 0 GROUP BY entity_id), "
+    "entity AS (SELECT e.* REPLACE (CASE WHEN e.id % 10 = 5 AND n.id IS NOT NULL THEN e.full_name || '#superseded-' || e.id WHEN e.id % 10 = 6 THEN p.full_name WHEN e.id % 10 = 4 THEN 'new/' || e.id ELSE e.full_name END AS full_name, "
+    "CASE WHEN e.id % 10 = 5 AND n.id IS NOT NULL THEN 'rejected' ELSE e.status END AS status, CASE WHEN e.id % 2 = 0 THEN e.stars + 5 ELSE e.stars END AS stars, CASE WHEN e.id % 6 = 0 THEN 'changed' ELSE e.description END AS description, "
+    "CASE WHEN e.id % 8 = 0 THEN 9 ELSE e.releases_last_year END AS releases_last_year, CASE WHEN e.id % 3 = 0 THEN 'NATION_5' ELSE e.owner_country END AS owner_country, "
+    "CASE WHEN g.n IS NOT NULL THEN g.n ELSE e.contributors_count END AS contributors_count, CASE WHEN g.n IS NOT NULL THEN g.share ELSE e.top_contributor_share END AS top_contributor_share, "
+    "CASE WHEN e.id % 6 = 0 AND e.description IS DISTINCT FROM 'changed' THEN NULL ELSE e.classified_on END AS classified_on) "
+    "FROM entity0 e LEFT JOIN entity0 p ON p.id = e.id - 1 LEFT JOIN entity0 n ON n.id = e.id + 1 LEFT JOIN g ON g.entity_id = e.id), "
+    + growth._ASOF + growth._GROWTH + growth._TREND + growth._QUALITY
+    + ", day AS (SELECT s.*, now, status = 'active' AND id % 7 <> 0 AND (classified_on IS NULL OR synced_on IS NULL OR classified_on <= synced_on) AS due FROM scored s) "
 )
-def daily_run(spark, sf_dir):
-    """One day of all stages: five stars more for every second entity, people for every tenth, a new place for every third."""
-    e, now = spark_view(spark, sf_dir, "entity"), now_of(spark, sf_dir)
-    zero = F.lit(0).cast("long")
-    e = e.withColumns({"owner_location": F.when(F.col("id") % 3 == 0, "Nation 5"), "topics": F.array().cast("array<string>"), "readme": F.lit(None).cast("string"), "stars_day": zero, "stars_week": zero, "stars_month": zero, "trend_velocity": F.lit(None).cast("double")})
+
+
+def _day(spark, sf_dir) -> tuple[Tables, refresh.Day]:
+    """Versioned tables before a day, and the day: names that move, repeated rows, rows without an id, people, profiles, a new place for every third."""
+    now = now_of(spark, sf_dir)
+    null = lambda kind: F.lit(None).cast(kind)
+    e = spark_view(spark, sf_dir, "entity").withColumns({
+        "owner_location": F.when(F.col("id") % 3 == 0, "Nation 5"), "topics": F.array().cast("array<string>"), "readme": null("string"), "stars_day": null("long"), "stars_week": null("long"), "stars_month": null("long"),
+        "trend_score": null("double"), "trend_velocity": null("double"), "quality_score": null("int"), "quality_grade": null("string"), "quality_flags": null("array<string>"),
+    }).withColumn("contributors_count", F.col("contributors_count").cast("long"))
     p, found = _people(spark, sf_dir)
+    p = p.withColumns({"country": null("string"), "city": null("string"), "followers": null("long"), "synced_on": null("date")})
     alias, nowhere = _aliases(spark, sf_dir)
     by_hand = e.where("id % 7 = 0").select(F.col("id").alias("entity_id"), F.lit("by hand").alias("slug"), F.lit(True).alias("is_primary"), F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("evidence"), F.lit("manual").alias("source"))
-    tables = {
-        "entity": e, "metrics": spark_view(spark, sf_dir, "metrics"), "person": p, "link": people.ranked(spark_view(spark, sf_dir, "link")).limit(0),
-        "assignment": by_hand, "alias": alias, "nowhere": nowhere,
+    metrics = spark_view(spark, sf_dir, "metrics").withColumn("month", F.date_format("recorded_on", "yyyy-MM"))
+    tables = Tables(spark, scratch_path(spark, "tables"))
+    tables.create({
+        "entity": (e, ["id"], 4, None), "metrics": (metrics, ["id", "recorded_on"], 1, "month"), "person": (p, ["id"], 2, None),
+        "link": (people.ranked(spark_view(spark, sf_dir, "link")).limit(0), ["entity_id", "person_id"], 2, None), "assignment": (by_hand, ["entity_id", "slug"], 2, None),
+    })
+    other = e.select((F.col("id") + 1).alias("id"), F.col("full_name").alias("__before"))
+    name = F.when(F.col("id") % 10 == 6, F.coalesce("__before", "full_name")).when(F.col("id") % 10 == 4, F.concat(F.lit("new/"), F.col("id").cast("string"))).otherwise(F.col("full_name"))
+    seen = e.where("id % 2 = 0").join(other, "id", "left")
+    seen = seen.select("github_id", name.alias("full_name"), F.when(F.col("id") % 6 == 0, "changed").otherwise(F.col("description")).alias("description"), (F.col("stars") + 5).alias("stars"))
+    nobody = seen.limit(5).withColumn("github_id", F.lit(0).cast("long")).unionByName(seen.limit(5).withColumn("github_id", null("long")))
+    profiles = p.where("id % 3 = 0").select("login", F.lit("Town, Nation 3").alias("location"), F.col("id").alias("followers"))
+    fetched = {
+        "discovered": seen.unionByName(seen.withColumn("stars", F.col("stars") - 2)).unionByName(nobody), "refreshed": e.where("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, 9).alias("releases_last_year")),
+        "people": found.where("entity_id % 10 = 0"), "profiles": profiles.unionByName(profiles.withColumn("followers", F.col("followers") - 1)),
     }
-    more = e.where("id % 2 = 0")
-    seen = {
-        "discovered": more.select("github_id", (F.col("stars") + 5).alias("stars")), "refreshed": more.select("id", F.lit(None).cast("string").alias("description")),
-        "people": found.where("entity_id % 10 = 0"),
-    }
-    out = refresh.daily(tables, seen, spark.createDataFrame(RULES, "category string, ordinal int, kind string, term string"), now)
-    primary = out["assignment"].where("is_primary").select(F.col("entity_id").alias("id"), F.col("slug").alias("category"))
-    return out["entity"].join(primary, "id", "left").select("id", "stars", "stars_day", F.col("contributors_count").cast("long").alias("contributors_count"), "owner_country", "category")
+    rules = spark.createDataFrame(RULES, "category string, ordinal int, kind string, term string")
+    return tables, refresh.Day(tables, fetched, rules, alias, nowhere, now, "one day")
+
+
+@query(
+    _DAY + "SELECT id, full_name, status, stars, stars_day, stars_week, contributors_count::BIGINT AS contributors_count, owner_country, CASE WHEN due THEN now ELSE classified_on END::VARCHAR AS classified_on, "
+    "CASE WHEN status = 'active' THEN trend_score END AS trend_score, CASE WHEN status = 'active' THEN trend_velocity END AS trend_velocity, CASE WHEN status = 'active' THEN quality_score END AS quality_score, "
+    f"CASE WHEN status = 'active' THEN quality_grade END AS quality_grade, CASE WHEN status = 'active' THEN {growth.FLAGS_SQL} END AS flags, "
+    "CASE WHEN id % 7 = 0 THEN 'by hand' WHEN NOT due THEN NULL WHEN name LIKE '%ring%' THEN 'rings' WHEN name LIKE '%widget%' THEN 'widgets' WHEN name = 'red bolt' THEN 'bolts' END AS category FROM day"
+)
+def daily_run(spark, sf_dir):
+    """One day of all stages over versioned tables, cut behind the snapshot and taken up again."""
+    tables, day = _day(spark, sf_dir)
+    day.run(refresh.STAGES[:3])
+    day.run()
+    primary = tables.read("assignment").where("is_primary").select(F.col("entity_id").alias("id"), F.col("slug").alias("category"))
+    out = tables.read("entity").join(primary, "id", "left").withColumns({"flags": F.array_join("quality_flags", "; "), "classified_on": F.col("classified_on").cast("string")})
+    return out.select("id", "full_name", "status", "stars", "stars_day", "stars_week", "contributors_count", "owner_country", "classified_on", "trend_score", "trend_velocity", "quality_score", "quality_grade", "flags", "category")
+
+
+@query(
+    with_views("person", "link").rstrip() + ", f AS (SELECT DISTINCT person_id + 1050 AS github_id, 's' || person_id AS login, CASE WHEN person_id % 2 = 0 THEN 'new.png' END AS avatar_url FROM link WHERE entity_id % 10 = 0), top AS (SELECT MAX(id) AS top FROM person), "
+    "a AS (SELECT p.id, COALESCE(f.login, p.login) AS login, COALESCE(f.avatar_url, 'old.png') AS avatar_url, p.login AS was FROM person p LEFT JOIN f ON f.github_id = p.id + 1000 UNION ALL SELECT top + github_id + 1, login, avatar_url, NULL FROM f, top WHERE github_id NOT IN (SELECT id + 1000 FROM person)) "
+    "SELECT a.id, a.login, avatar_url, CASE WHEN q.id IS NOT NULL THEN 'NATION_3' END AS country, CASE WHEN q.id IS NOT NULL THEN 'Town' END AS city, q.id AS followers FROM a LEFT JOIN (SELECT id, s_name FROM person JOIN supplier ON s_suppkey = id WHERE id % 3 = 0) q ON q.s_name = a.login"
+)
+def daily_people(spark, sf_dir):
+    """The people after the same day: new ones, new logins, avatars and profiles of the logins that stayed."""
+    tables, day = _day(spark, sf_dir)
+    day.run(("contributors", "profiles"))
+    return tables.read("person").select("id", "login", "avatar_url", "country", "city", "followers")
