@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 BLOCK = ["__i", "__j", "__side"]
 
 
-def block_pairs(rows: DataFrame, keys: list[str], salt: Column, limit: int, weight: Column | None = None) -> DataFrame:
+def block_pairs(rows: DataFrame, keys: list[str], salt: Column, limit: int, sizes: DataFrame | None = None) -> DataFrame:
     """Copies of ``rows`` with columns ``__i, __j, __side`` for comparing all rows of a key.
 
-    A key of at most ``limit`` rows (or sum of ``weight``) is one block (0, 0). A larger one is dealt by ``salt`` into
+    A key of at most ``limit`` rows is one block (0, 0). A larger one is dealt by ``salt`` into
     n blocks, and every pair of blocks i <= j becomes a group of its own of about two limits at
-    most: all pairs of the key meet in some group, and no task holds the whole key.
+    most: all pairs of the key meet in some group, and no task holds the whole key. ``sizes`` gives the rows of
+    keys in ``__rows`` where they are known or not what counts.
     """
-    sizes = rows.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).alias("__rows")).where(F.col("__rows") > limit)
-    hot = sizes.select(*keys, F.ceil(F.col("__rows") / F.lit(limit)).cast("int").alias("__n"))
+    if sizes is None:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    hot = sizes.where(F.col("__rows") > limit).select(*keys, F.ceil(F.col("__rows") / F.lit(limit)).cast("int").alias("__n"))
     n = F.coalesce("__n", F.lit(1))
     dealt = rows.join(hot, keys, "left").withColumn("__k", F.pmod(salt, n).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), n - 1)))

@@ -214,11 +214,20 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved(held)
 
 
-_SENT = "shard int, block long, n int, ids binary, firsts binary, counts binary, text binary"
+_SENT = "bucket int, shard int, block long, n int, ids binary, firsts binary, counts binary, text binary"
 
 
-def _send(buckets: int, shards: int, span: int, gram: int):
-    """The strings of each block's repeated anchors, joined where they overlap, by shard."""
+def _small(values: bytes) -> bytes:
+    """Compressed, with the size in front; the strings of one shard share little, but each holds common words."""
+    return len(values).to_bytes(8, "little") + pa.compress(values, "zstd", asbytes=True)
+
+
+def _large(values: bytes) -> bytes:
+    return pa.decompress(values[8:], int.from_bytes(values[:8], "little"), "zstd", asbytes=True)
+
+
+def _send(buckets: int, each: int, span: int, gram: int):
+    """The strings of each block's repeated anchors, joined where they overlap, by shard, of which each bucket has ``each``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -234,7 +243,7 @@ def _send(buckets: int, shards: int, span: int, gram: int):
             hashes, first, count, doc = hashes[keep], first[keep], count[keep], doc[keep]
             if not len(hashes):
                 continue
-            shard = _dealt(hashes, shards)
+            shard = _dealt(hashes, buckets * each)
             order = np.argsort(shard, kind="stable")
             shard, first, count, doc = shard[order], first[order], count[order], doc[order]
             ids = np.array(block.ids, np.int64)[doc]
@@ -244,11 +253,11 @@ def _send(buckets: int, shards: int, span: int, gram: int):
             ends = np.cumsum(sizes)
             text = block.data[np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(first, sizes)]
             parts = list(zip(edges[:-1], edges[1:], strict=True))
-            blob = lambda x: [np.ascontiguousarray(x[a:b]).tobytes() for a, b in parts]
+            blob = lambda x: [_small(np.ascontiguousarray(x[a:b]).tobytes()) for a, b in parts]
             yield _out({
-                "shard": ([int(shard[a]) for a, _ in parts], pa.int32()), "block": ([block.number] * len(parts), pa.int64()), "n": ([b - a for a, b in parts], pa.int32()),
+                "bucket": ([int(shard[a]) // each for a, _ in parts], pa.int32()), "shard": ([int(shard[a]) for a, _ in parts], pa.int32()), "block": ([block.number] * len(parts), pa.int64()), "n": ([b - a for a, b in parts], pa.int32()),
                 "ids": (blob(ids), pa.binary()), "firsts": (blob(first), pa.binary()), "counts": (blob(count.astype(np.int16)), pa.binary()),
-                "text": ([text[ends[a] - sizes[a] : ends[b - 1]].tobytes() for a, b in parts], pa.binary()),
+                "text": ([_small(text[ends[a] - sizes[a] : ends[b - 1]].tobytes()) for a, b in parts], pa.binary()),
             })
 
     return run
@@ -281,11 +290,11 @@ def _remove(span: int, gram: int, part: int):
     names = ["shard", "__i", "__j"]
 
     def solved(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        of = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        of = lambda name, kind: np.concatenate([np.frombuffer(_large(r[name]), kind) for r in rows])
         ids, firsts, counts = of("ids", np.int64), of("firsts", np.int64), of("counts", np.int16).astype(np.int64)
         sizes = counts + span - 1
         texts = np.zeros((len(ids), width), np.uint8)
-        texts[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
+        texts[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(_large(r["text"]) for r in rows), np.uint8)
         kept, number = _distinct(texts, sizes)
         low = np.full(len(kept), _FAR)
         np.minimum.at(low, number, ids)
@@ -355,7 +364,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     name = f"trendlake_{uuid.uuid4().hex}"
     files = min(50_000, max(spark.sparkContext.defaultParallelism, math.ceil(total / FILE_BYTES)))
     packed = chosen.mapInArrow(frugal(_pack), _BLOCK)
-    packed.write.format("parquet").bucketBy(files, "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    packed.write.format("parquet").option("compression", "zstd").bucketBy(files, "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     blocks = spark.table(name)
 
     # of equal texts only the smallest id goes on
@@ -371,18 +380,19 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_answer), "block long, bucket int, bits binary, hits long")
     answers = materialize(answers, "answers")
     hits = answers.agg(F.sum("hits")).first()[0] or 0
-    shards = max(16, math.ceil(2 * hits / SHARD_ROWS))
+    each_bucket = max(1, math.ceil(2 * hits / SHARD_ROWS / buckets))
     told = answers.where("hits > 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
-    sent = materialize(whole.join(told, "block").mapInArrow(frugal(_send(buckets, shards, span, gram)), _SENT), "strings")
-    pieces = block_pairs(sent, ["shard"], F.xxhash64("block", F.xxhash64("firsts")), SHARD_ROWS, F.col("n"))
+    sent = whole.join(told, "block").mapInArrow(frugal(_send(buckets, each_bucket, span, gram)), _SENT)
+    sizes = answers.groupBy("bucket").agg((F.sum("hits") / each_bucket).alias("__rows"))
+    pieces = block_pairs(sent, ["bucket"], F.xxhash64("block", "firsts"), SHARD_ROWS, sizes)
     spans = gather(pieces, ["shard"]).mapInArrow(frugal(_remove(span, gram, PART_ROWS)), _SPANS)
     spans = materialize(spans, "spans")
     gone = spans.groupBy("block").agg(F.collect_list(F.struct("froms", "tos")).alias("spans"))
 
     found = whole.join(gone, "block", "left").mapInArrow(frugal(_cut(span)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     found = materialize(found, "removed")
-    for done in (blocks, each, copies, answers, sent, spans):
+    for done in (blocks, each, copies, answers, spans):
         release(done)
     spark.sql(f"DROP TABLE {name}")
     return found.withColumnRenamed("id", key)
