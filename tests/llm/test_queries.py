@@ -49,6 +49,8 @@ def tables(spark, tmp_path_factory):
     x[10:20] = x[0] + 0.05 * rng.normal(size=(10, 8))
     vectors = [(int(k), [float(v) for v in x[k]], f"l{k % 2}" if k < 10 else "l0") for k in range(40)] + [(5, [0.0] * 8, "l0"), (None, None, None), (HUGE, [float(v) for v in x[0]], "l0")]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label string").withColumn("my col", F.lit(1)).write.parquet(f"{folder}/embeddings.parquet")
+    talk = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (2, None, None, None), (None, 0, "user", "Who?"), (None, 0, "user", "Who?"), (HUGE, 5, "", "x" * 100_000)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").withColumn("my col", F.lit(1)).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -60,7 +62,7 @@ def rows(spark, tables):
 @pytest.fixture(scope="module")
 def empty(spark, tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 

@@ -126,32 +126,47 @@ def normal_form(raw: Column, kind: Column) -> Column:
     )
 
 
-def _stream(secret: str, blocks: int, *parts: Column) -> Column:
-    """Keyed bytes, two hex digits each, 32 to a block."""
-    seed = F.concat_ws("\u0001", F.lit(secret), *parts)
-    return F.concat(*[F.sha2(F.concat_ws("\u0002", seed, F.lit(str(k))), 256) for k in range(blocks)])
+def _seed(secret: str, *parts: Column) -> Column:
+    return F.concat_ws("\u0001", F.lit(secret), *parts)
+
+
+def _stream(secret: str, *parts: Column) -> Column:
+    """A block of 32 keyed bytes, two hex digits each."""
+    return F.sha2(F.concat_ws("\u0002", _seed(secret, *parts), F.lit("0")), 256)
 
 
 def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substring(stream, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _redrawn(text: Column, stream: Column, keep: Column | int = 0) -> Column:
-    """``text`` with letters and digits behind the first ``keep`` characters drawn anew."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _redrawn(text: Column, seed: Column, keep: Column | int = 0) -> Column:
+    """``text`` of any length with letters and digits behind the first ``keep`` characters drawn anew, 32 of them from each keyed block."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
 
-    def one(i: Column) -> Column:
-        c, b = F.substring(text, i, F.lit(1)), _byte(stream, i)
-        drawn = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike(_LETTER), F.substring(letters, b % 26 + 1, F.lit(1)))
-        return F.when(i <= keep, c).otherwise(F.coalesce(drawn, c))
+    def block(own: Column, k: Column) -> Column:
+        def drawn(bytes_: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                b = _byte(bytes_, i + 1)
+                new = F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike(_LETTER), F.substring(letters, b % 26 + 1, F.lit(1)))
+                return F.when(k * 32 + i < keep, c).otherwise(F.coalesce(new, c))
+
+            return F.array_join(F.transform(F.split(F.substring(text, k * 32 + 1, F.lit(32)), ""), one), "")
+
+        return _bound(F.sha2(F.concat_ws("\u0002", own, k.cast("string")), 256), drawn)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / 32).cast("int"), F.lit(0)))
+    return _bound(seed, lambda own: F.array_join(F.transform(blocks, lambda k: block(own, k)), ""))
 
 
 def _word(secret: str, word: Column, role: Column, attempt: Column) -> Column:
     """A given name of gender ``m``, ``f`` or unknown ``n``, or a surname ``s``, in lower case, longer by a syllable with each attempt."""
     script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    stream = _stream(secret, 1, F.lit("name"), role, word, attempt.cast("string"))
+    stream = _stream(secret, F.lit("name"), role, word, attempt.cast("string"))
     syllables_drawn = F.least(attempt, F.lit(8)) + F.when(role == "s", 3).otherwise(2)
 
     def pick(table: list[str], b: Column) -> Column:
@@ -181,12 +196,13 @@ def _kept(norm: Column) -> Column:
 
 def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The normal form of an entity's replacement at the given attempt; names come as their words."""
-    stream = _stream(secret, 3, kind, norm, attempt.cast("string"))
+    drawn_by = (kind, norm, attempt.cast("string"))
+    stream, seed = _stream(secret, *drawn_by), _seed(secret, *drawn_by)
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     body = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld) - 1)
-    by_domain = _stream(secret, 10, F.lit("domain"), domain)
-    email = F.concat(_redrawn(local, stream), F.lit("@"), _redrawn(body, by_domain), F.lit("."), tld)
+    by_domain = _seed(secret, F.lit("domain"), domain)
+    email = F.concat(_redrawn(local, seed), F.lit("@"), _redrawn(body, by_domain), F.lit("."), tld)
 
     octets = F.split(norm, r"\.")
     drawn = [_byte(stream, F.lit(k)) for k in range(1, 5)]
@@ -195,11 +211,11 @@ def surrogate(secret: str, kind: Column, norm: Column, attempt: Column) -> Colum
     second = F.when(private > 1, octets[1]).otherwise(drawn[1].cast("string"))
     ip = F.concat_ws(".", first, second, drawn[2].cast("string"), drawn[3].cast("string"))
 
-    phone, redrawn = _redrawn(norm, stream, _kept(norm)), _redrawn(norm, stream, F.lit(1))
+    phone, redrawn = _redrawn(norm, seed, _kept(norm)), _redrawn(norm, seed, F.lit(1))
     head = F.substring(redrawn, F.lit(1), F.length(redrawn) - 1)
     check = (F.lit(10) - _luhn(F.concat(head, F.lit("0"))) % 10) % 10
     card = F.concat(head, check.cast("string"))
-    ssn = F.concat(F.lit("9"), F.substring(_redrawn(norm, stream), F.lit(2), F.length(norm) - 1))  # area numbers from 900 are never given out
+    ssn = F.concat(F.lit("9"), F.substring(_redrawn(norm, seed), F.lit(2), F.length(norm) - 1))  # area numbers from 900 are never given out
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trendlake.llm import decontaminate, language, negatives, packing, pii, pivots, repair, secrets, sharding, simhash, substrings, token_counts, toxicity, vocab
 from trendlake.llm.common import unpack
@@ -79,8 +80,9 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every hundredth vector and each of its five nearest of its label, ten hard negatives."""
     vectors = _table(spark, sf_dir, "embeddings")
-    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+    if isinstance(vectors.schema["label"].dataType, IntegralType):
+        vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

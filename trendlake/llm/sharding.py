@@ -16,7 +16,7 @@ from trendlake.storage import materialize
 
 SHARDS = 16
 #: Mean rows that are numbered together, and slots that one row is laid out to at once.
-BLOCK_ROWS, RUN = 50_000, 10_000
+BLOCK_ROWS, RUN, LEAST_BLOCKS = 50_000, 10_000, 8
 # Fixed value: the multiplier of the published algorithm's generator.
 _MULTIPLIER = 2862933555777941757
 _LIMB = 22
@@ -81,8 +81,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     same = rows.groupBy("id", "size", "crc").agg(F.count("*").alias("n"))
     same = same.withColumn("shard", jump(F.col("id"), shards)).withColumn("grown", jump(F.col("id"), shards + 1))
     same = materialize(same, "sharded")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, tasks // shards, -(-same.count() // (BLOCK_ROWS * shards)))
+    blocks = max(LEAST_BLOCKS, -(-same.count() // (BLOCK_ROWS * shards)))
     same = same.withColumn("block", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(blocks)))
 
     offsets = _running(same.groupBy("shard", "block").agg(F.sum("n").alias("n")), ["shard"], "block", blocks)

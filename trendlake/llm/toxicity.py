@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import byte_values, frugal
+from trendlake.llm.common import byte_values, column, frugal
 from trendlake.llm.decontaminate import words_of
 from trendlake.storage import materialize
 
@@ -146,11 +146,12 @@ def fit(positive: np.ndarray, at: list[np.ndarray], rates: list[np.ndarray], n_f
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the folds that are not held out; without confirmed toxic rows it scores 0.
 
-    The sample is the ids with the lowest hashes, so it is the same in every run. Of several labels of
-    one id the highest counts; rows with a null id train nothing; copies of one text are one example.
+    The sample is the ids with the lowest hashes, one text of each, so it is the same in every run and has at most
+    ``POSITIVES`` and ``UNLABELLED`` texts. Of several labels of one id the highest counts, of several texts the greatest;
+    rows with a null id train nothing; copies of one text are one example.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("id")) & F.col("id").isNotNull())
+    known = labels.select(column(key).alias("id"), column(label).cast("int").alias("y")).where(~held_out(F.col("id")) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     share = known.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     hashed = (F.xxhash64("id"), F.col("id"))
@@ -158,12 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not ids_p or not share:
         return Model({}, -30.0)
     prior = min(0.95, max(0.001, float(share)))
-    pool = docs.select(F.col(key).alias("id")).where(~held_out(F.col("id")) & F.col("id").isNotNull())
-    ids_u = [r[0] for r in pool.orderBy(*hashed).limit(UNLABELLED).collect()]
+    pool = docs.select(column(key).alias("id")).where(~held_out(F.col("id")) & F.col("id").isNotNull())
+    ids_u = [r[0] for r in pool.distinct().orderBy(*hashed).limit(UNLABELLED).collect()]
 
     def chosen(ids: list[int], positive: bool) -> DataFrame:
-        rows = docs.where(F.col(key).isin(ids) & F.col(text).isNotNull())
-        return rows.select(F.lit(positive).alias("positive"), F.col(text).cast("string").alias("text"))
+        rows = docs.where(column(key).isin(ids) & column(text).isNotNull()).groupBy(column(key)).agg(F.max(column(text).cast("string")).alias("text"))
+        return rows.select(F.lit(positive).alias("positive"), "text")
 
     # copies of one text are one example
     sample = chosen(ids_p, True).unionByName(chosen(ids_u, False)).dropDuplicates(["positive", "text"])
@@ -204,6 +205,6 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     an empty table gives no rows.
     """
     handle = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("text"))
+    chosen = docs.select(column(key).cast("long").alias("doc_id"), held_out(column(key)).alias("held_out"), column(text).cast("string").alias("text"))
     scored = chosen.mapInArrow(frugal(_score_batches(handle)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
