@@ -8,7 +8,7 @@ Sorting all suffixes of a corpus would move every text many times, so the arrays
 2. Every string of ``SPAN`` bytes has an anchor, the ``GRAM`` bytes in it with the smallest hash. Equal strings have equal
    anchors, so a string whose anchor is in no second document cannot repeat. Blocks send the hash of each anchor once to
    buckets, and buckets answer with a bit for each.
-3. Strings of the anchors that are left go, joined where they overlap, to the shard of their anchor's hash. A shard is cut
+3. Strings of the anchors that are left go, but for those that a document of a smaller id in the block has too, joined where they overlap, to the shard of their anchor's hash. A shard is cut
    into parts; each part has its suffix array (Larsson-Sadakane), common prefixes (Kasai) and so its distinct
    strings in order with their smallest id; parts are merged by binary search. A shard that one anchor's many
    variants make too large is dealt into pieces, and every two pieces meet.
@@ -35,7 +35,7 @@ from trendlake.storage import materialize, release, scratch_path
 
 GRAM = 20
 #: Bytes of a block, of text a bucket of anchors and of a bucketed file, texts a part and a shard, texts in a row that is sent.
-BLOCK_BYTES, BUCKET_BYTES, FILE_BYTES, PART_ROWS, SHARD_ROWS, SENT_ROWS = 2 << 20, 16 << 20, 64 << 20, 8_000, 32_000, 16_000
+BLOCK_BYTES, BUCKET_BYTES, FILE_BYTES, PART_ROWS, SHARD_ROWS, SENT_ROWS = 4 << 20, 16 << 20, 64 << 20, 8_000, 32_000, 16_000
 #: Places of a text worked on at a time: few enough for a processor's cache, and a place must fit the low bits of an anchor's hash.
 SLICE = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
@@ -94,6 +94,15 @@ def _rolled(data: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes, one for one: those of anchors are the smallest of their neighbours, and would be dealt unevenly."""
+    with np.errstate(over="ignore"):
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(31)
+        hashes *= np.uint64(_BASE)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` neighbours."""
     have = 1
@@ -122,7 +131,7 @@ def anchored(data: np.ndarray, sizes: np.ndarray, span: int = SPAN, gram: int =
         count = np.diff(np.append(at, len(place)))
         kept = place[at] >= 0
         at, count = at[kept], count[kept]
-        out.append((hashes[place[at]], at + a, count, doc[at]))
+        out.append((_mixed(hashes[place[at]]), at + a, count, doc[at]))
     if not out:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -148,6 +157,33 @@ class _Block:
             hashes, first, count, doc = hashes[kept], first[kept], count[kept], doc[kept]
         return hashes, first, count, doc
 
+    def settled(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, span: int, gram: int) -> np.ndarray:
+        """Which runs a document of a smaller id in this very block has too, whole: they go, and need not be sent."""
+        order = np.argsort(hashes)
+        same = hashes[order][1:] == hashes[order][:-1]
+        at = order[np.append(False, same) | np.append(same, False)] if len(order) else order
+        sizes, out = count[at] + span - 1, np.zeros(len(hashes), bool)
+        if len(at):
+            ids = np.array(self.ids, np.int64)[doc[at]]
+            kept, number = _distinct(_rows_of(self.data, first[at], sizes, 2 * span - gram), sizes)
+            low = np.full(len(kept), _FAR)
+            np.minimum.at(low, number, ids)
+            out[at] = ids > low[number]
+        return out
+
+
+def _joined(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of all ranges one behind the other."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(ends[-1]) - np.repeat(ends - sizes - first, sizes)]
+
+
+def _rows_of(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``width`` bytes for each range, zeros behind it."""
+    out = np.zeros((len(first), width), np.uint8)
+    out[np.arange(width) < sizes[:, None]] = _joined(data, first, sizes)
+    return out
+
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
@@ -239,7 +275,7 @@ def _send(buckets: int, each: int, span: int, gram: int):
             for answer in row["answers"]:
                 a, b = np.searchsorted(bucket, answer["bucket"]), np.searchsorted(bucket, answer["bucket"], "right")
                 hit[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8))[: b - a]
-            keep = hit[np.searchsorted(keys, hashes)]
+            keep = hit[np.searchsorted(keys, hashes)] & ~block.settled(hashes, first, count, doc, span, gram)
             hashes, first, count, doc = hashes[keep], first[keep], count[keep], doc[keep]
             if not len(hashes):
                 continue
@@ -251,7 +287,7 @@ def _send(buckets: int, each: int, span: int, gram: int):
             edges = sorted({*edges, *range(0, len(shard), SENT_ROWS), len(shard)})
             sizes = count + span - 1
             ends = np.cumsum(sizes)
-            text = block.data[np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(first, sizes)]
+            text = _joined(block.data, first, sizes)
             parts = list(zip(edges[:-1], edges[1:], strict=True))
             blob = lambda x: [_small(np.ascontiguousarray(x[a:b]).tobytes()) for a, b in parts]
             yield _out({
@@ -325,7 +361,7 @@ def _remove(span: int, gram: int, part: int):
     return run
 
 
-def _cut(span: int):
+def _cut(span: int, gram: int):
     """Every document of each block with what goes taken out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +371,10 @@ def _cut(span: int):
             for piece in row["spans"] or []:
                 np.add.at(gone, np.frombuffer(piece["froms"], np.int64), 1)
                 np.add.at(gone, np.frombuffer(piece["tos"], np.int64), -1)
+            hashes, first, count, doc = block.runs(span, gram)
+            own = block.settled(hashes, first, count, doc, span, gram)
+            np.add.at(gone, first[own], 1)
+            np.add.at(gone, first[own] + count[own] + span - 1, -1)
             mask = np.cumsum(gone[:-1]) > 0
             ends = np.cumsum(block.sizes)
             for k in block.copies:
@@ -362,7 +402,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     chosen = docs.select(column(key).cast("long").alias("id"), column(text).cast("string").alias("text"))
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     name = f"trendlake_{uuid.uuid4().hex}"
-    files = min(50_000, max(spark.sparkContext.defaultParallelism, math.ceil(total / FILE_BYTES)))
+    # fewer files than a shuffle has partitions would be shuffled in every join
+    files = min(50_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / FILE_BYTES)))
     packed = chosen.mapInArrow(frugal(_pack), _BLOCK)
     packed.write.format("parquet").option("compression", "zstd").bucketBy(files, "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     blocks = spark.table(name)
@@ -390,7 +431,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     spans = materialize(spans, "spans")
     gone = spans.groupBy("block").agg(F.collect_list(F.struct("froms", "tos")).alias("spans"))
 
-    found = whole.join(gone, "block", "left").mapInArrow(frugal(_cut(span)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = whole.join(gone, "block", "left").mapInArrow(frugal(_cut(span, gram)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     found = materialize(found, "removed")
     for done in (blocks, each, copies, answers, spans):
         release(done)
