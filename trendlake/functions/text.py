@@ -19,16 +19,10 @@ def parse_date(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
-def phrase_pattern(phrase: str) -> str:
-    """Matches a phrase that no letter or digit touches; blanks, hyphens and underscores are one."""
-    parts = [re.escape(p) for p in re.split(r"[\s\-]+", phrase.lower()) if p]
-    return r"(?i)(?<![a-z0-9])" + r"[\s\-_]+".join(parts) + r"(?![a-z0-9])"
-
-
 def phrase_pattern_column(phrase: Column) -> Column:
-    """:func:`phrase_pattern` for a column of phrases."""
+    """Patterns that match a phrase which no Latin letter or digit touches; blanks, hyphens and underscores are one, and case does not count."""
     escaped = F.regexp_replace(F.lower(phrase), r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit(r"(?i)(?<![a-z0-9])"), F.regexp_replace(escaped, r"[\s\-]+", r"[\\s\\-_]+"), F.lit(r"(?![a-z0-9])"))
+    return F.concat(F.lit(r"(?iu)(?<![a-z0-9])"), F.regexp_replace(escaped, r"[\s\-]+", r"[\\s\\-_]+"), F.lit(r"(?![a-z0-9])"))
 
 
 def fingerprint(name: Column, description: Column, topics: Column, language: Column, readme: Column) -> Column:

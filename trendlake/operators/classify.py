@@ -1,9 +1,9 @@
 """Rule-based classification with evidence, confidence and an incremental cache.
 
-Rules are a table (category, ordinal, kind, term). Runs of words that are a phrase are joined to the
-rules by equality, and only those candidates are confirmed by pattern. Up to ``LITERALS`` phrases are
-literals of the plan, so that runs are only built where a phrase may begin and dropped before they
-become rows; beyond that all runs are joined (by shuffle where the rules exceed ``RULES_LIMIT`` rows).
+Rules are a table (category, ordinal, kind, term). A phrase is keyed by its first word, or where it has no Latin word by
+its first two characters, and meets the texts that hold this key by equality; of those, the texts that hold its words in
+a row are confirmed by pattern. Phrases of any length, script and number take this one way; up to ``LITERALS`` keys are
+literals of the plan as well, so that other words never become rows.
 """
 
 from __future__ import annotations
@@ -17,31 +17,32 @@ from trendlake.functions.text import phrase_pattern_column, topic_set
 # Points of a hit, README hits that count, the routing threshold.
 POINTS = {"topic": 10, "name": 6, "desc": 3, "readme": 1}
 README_CAP, ACCEPT = 4, 0.5
-RULES_LIMIT, LITERALS, WORDS = 100_000, 5_000, 5
+RULES_LIMIT, LITERALS = 100_000, 5_000
+#: Characters of a piece of evidence.
+EVIDENCE = 500
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def shingles(w: Column, words: int = WORDS) -> Column:
-    """Distinct runs of 1 to ``words`` words, blank-joined; ``w`` must be a column of words, not an expression."""
+def other_runs(text: Column) -> Column:
+    """Runs of characters that are not ASCII, in lower case."""
+    return F.filter(F.split(F.lower(text), r"[\x00-\x7F]+"), lambda t: t != "")
 
-    def runs(k: int) -> Column:
-        return F.transform(w, lambda _, i: F.when(i + k <= F.size(w), F.array_join(F.slice(w, i + 1, F.lit(k)), " ")))
 
-    return F.array_distinct(F.array_compact(F.concat(*[runs(k) for k in range(1, words + 1)])))
+def phrase_key(term: Column) -> Column:
+    """What a text must hold to hold the phrase: its first Latin word, else two other characters, else nothing."""
+    return F.coalesce(F.get(words_of(term), F.lit(0)), F.substring(F.get(other_runs(term), F.lit(0)), 1, 2), F.lit(""))
 
 
-def known_runs(w: Column, phrases: list[str]) -> Column:
-    """Those of the blank-joined ``phrases`` that are runs of the words ``w``."""
-    firsts, sizes = sorted({p.split(" ")[0] for p in phrases}), sorted({p.count(" ") + 1 for p in phrases})
-    begins = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(firsts), i)))
-
-    def of_size(k: int) -> Column:
-        return F.transform(begins, lambda i: F.when(i + k <= F.size(w), F.array_join(F.slice(w, i + 1, F.lit(k)), " ")))
-
-    return F.array_distinct(F.filter(F.concat(*[of_size(k) for k in sizes]), lambda run: run.isin(phrases)))
+def text_keys(text: Column, others: bool) -> Column:
+    """All keys of phrases that a text may hold; ``others``: those without Latin words too."""
+    if not others:
+        return F.array_distinct(words_of(text))
+    pairs = F.transform(other_runs(text), lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.lit(2))))
+    singles = F.transform(other_runs(text), lambda r: F.split(r, ""))
+    return F.array_distinct(F.concat(words_of(text), F.flatten(pairs), F.flatten(singles), F.array(F.lit(""))))
 
 
 def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
@@ -50,9 +51,11 @@ def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
     topic_rules = rules.where("kind = 'topic'").select("category", "ordinal", "term", F.lower("term").alias("topic"))
     by_topic = entities.select("id", F.explode(topic_set(F.col("topics"))).alias("topic")).join(hint(topic_rules), "topic")
     by_topic = by_topic.select("id", "category", "ordinal", F.lit("topic").alias("field"), "term")
-    phrases = rules.where("kind = 'phrase'").select(
-        "category", "ordinal", "term", F.array_join(words_of(F.col("term")), " ").alias("shingle"), phrase_pattern_column(F.col("term")).alias("pattern")
-    )
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    phrases = rules.where("kind = 'phrase' and trim(term) <> ''").select(
+        "category", "ordinal", "term", phrase_key(F.col("term")).alias("key"), phrase_pattern_column(F.col("term")).alias("pattern"),
+        F.when(F.size(words_of(F.col("term"))) > 0, spaced(words_of(F.col("term")))).otherwise("").alias("run"),
+    )
     fields = F.array(
         *[
             F.struct(F.lit(n).alias("field"), F.coalesce(c, F.lit("")).alias("text"))
@@ -60,10 +63,13 @@ def hits(entities: DataFrame, rules: DataFrame) -> DataFrame:
         ]
     )
     texts = entities.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.text")
-    texts = texts.withColumn("words", words_of(F.col("text")))
-    known = sorted(r[0] for r in phrases.select("shingle").distinct().limit(LITERALS + 1).collect())
-    runs = known_runs(F.col("words"), known) if 0 < len(known) <= LITERALS else shingles(F.col("words"))
-    found = texts.withColumn("shingle", F.explode(runs)).join(hint(phrases), "shingle").where(F.expr("text rlike pattern"))
+    known = sorted(r[0] for r in phrases.select("key").distinct().limit(LITERALS + 1).collect())
+    others = phrases.where(~F.col("key").rlike("^[a-z0-9]")).limit(1).count() > 0
+    keys = text_keys(F.col("text"), others)
+    if len(known) <= LITERALS:
+        keys = F.filter(keys, lambda k: k.isin(known) if known else F.lit(False))
+    texts = texts.withColumn("keys", keys).where(F.size("keys") > 0).withColumn("words", spaced(words_of(F.col("text"))))
+    found = texts.withColumn("key", F.explode("keys")).join(hint(phrases), "key").where(F.expr("contains(words, run) and text rlike pattern"))
     return by_topic.unionByName(found.select("id", "category", "ordinal", "field", "term"))
 
 
@@ -71,7 +77,7 @@ def scores(found: DataFrame) -> DataFrame:
     """Points of each entity and category, and the evidence in a fixed order."""
     counts = found.groupBy("id", "category", "ordinal").agg(
         *[F.count_if(F.col("field") == f).alias(f) for f in POINTS],
-        F.array_sort(F.collect_set(F.concat_ws(":", "field", "term"))).alias("matched"),
+        F.array_sort(F.collect_set(F.substring(F.concat_ws(":", "field", "term"), 1, EVIDENCE))).alias("matched"),
     )
     total = F.least("readme", F.lit(README_CAP)) * POINTS["readme"]
     for f in ("topic", "name", "desc"):

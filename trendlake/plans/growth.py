@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trendlake.functions import scoring
 from trendlake.operators import scores, temporal
 from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
-from trendlake.storage import materialize, release
+from trendlake.storage import materialize, release, scratch_path
 from trendlake.streaming import observations
 from trendlake.versions import state_of
 
@@ -189,3 +192,46 @@ def series_summary(spark, sf_dir):
 def daily_gain(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("key"), "value")
     return observations.daily_gain(df).select(F.col("day").cast("string").alias("day"), "key", "n", scoring.fixed(F.col("gained"), 2).alias("gained"))
+
+
+_LATE = "user_id % 10 = 3 AND CAST(ts AS DATE) < (SELECT MAX(CAST(ts AS DATE)) FROM events) - 5"
+
+
+def _in_files(spark, sf_dir, *parts) -> tuple[str, StructType]:
+    """Events as a folder of files that come one by one: key, ts and value of the rows of each condition."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    folder = scratch_path(spark, "events")
+    for part in parts:
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken by the time of their writing
+    return folder, events.schema
+
+
+@query(
+    "WITH closed AS (SELECT MAX(CAST(ts AS DATE)) - 1 AS last FROM events) "
+    f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id AS key, COUNT(*) AS n, FLOOR(SUM(value) * 100 + 0.5) / 100 AS gained FROM events, closed WHERE NOT ({_LATE}) AND CAST(ts AS DATE) < last GROUP BY 1, 2"
+)
+def streamed_gain(spark, sf_dir):
+    """Days of a started stream that the watermark has closed; the rows of one file come days late and are left out."""
+    last = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("date"))).first()[0]
+    late = (F.col("key") % 10 == 3) & (F.col("ts").cast("date") < F.date_sub(F.lit(last), 5))
+    few = (F.col("key") % 10 == 7) & (F.col("ts").cast("date") == F.lit(last))
+    folder, schema = _in_files(spark, sf_dir, ~late & ~few, few, late)  # a batch is held against the watermark of the one before
+    work = scratch_path(spark, "stream")
+    observations.run_files(spark, folder, schema, work, observations.daily_gain)
+    out = spark.read.parquet(f"{work}/rows")
+    return out.select(F.col("day").cast("string").alias("day"), "key", "n", scoring.fixed(F.col("gained"), 2).alias("gained"))
+
+
+@query("SELECT user_id AS key, CAST(ts AS VARCHAR)[:19] AS ts, value FROM (SELECT *, LAG(value) OVER (PARTITION BY user_id ORDER BY ts, value) AS was FROM (SELECT user_id, ts, FLOOR(value / 40)::DOUBLE AS value FROM events) e) t WHERE was IS DISTINCT FROM value")
+def streamed_changes(spark, sf_dir):
+    """Values unlike the key's last, by a stream that is stopped behind the first file and started again."""
+    middle = table(spark, sf_dir, "events").select(F.expr("percentile_approx(ts, 0.5)").alias("m")).first()["m"]
+    work, shape = scratch_path(spark, "stream"), lambda rows: observations.changes(rows.withColumn("value", F.floor(F.col("value") / 40).cast("double")))
+    folder, schema = _in_files(spark, sf_dir, F.col("ts") <= F.lit(middle))
+    observations.run_files(spark, folder, schema, work, shape)
+    events = table(spark, sf_dir, "events").where(F.col("ts") > F.lit(middle))
+    events.select(F.col("user_id").cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value")).coalesce(1).write.mode("append").parquet(folder)
+    observations.run_files(spark, folder, schema, work, shape)
+    out = spark.read.parquet(f"{work}/rows")
+    return out.select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "value")

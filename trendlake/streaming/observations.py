@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def daily_gain(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -19,7 +20,7 @@ def daily_gain(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    frame = pd.concat(list(frames)).sort_values("ts", kind="stable")  # all chunks of the key in this batch
+    frame = pd.concat(list(frames)).sort_values(["ts", "value"], kind="stable")  # all chunks of the key in this batch
     if len(frame):
         before = frame["value"].shift()
         before.iloc[0:1] = last
@@ -33,3 +34,21 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").applyInPandasWithState(
         _changed, "key long, ts timestamp, value double", "value double", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def run_files(spark: SparkSession, folder: str, schema: StructType, work: str, shape: Callable[[DataFrame], DataFrame], mode: str = "append") -> list[dict]:
+    """Read the files of ``folder`` that no earlier call has, one a batch, and append what ``shape`` makes of them to ``work``.
+
+    Offsets, state and the list of written files lie in ``work``, so a call after a stop, planned or not, goes on where the
+    last finished batch ended. Returns the progress of each batch.
+    """
+    stream = shape(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    out = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{work}/rows").option("checkpointLocation", f"{work}/state")
+    started = out.trigger(availableNow=True).start()
+    started.awaitTermination()
+    return list(started.recentProgress)
+
+
+def dropped(progress: list[dict]) -> int:
+    """Rows that came behind the watermark and were left out."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
