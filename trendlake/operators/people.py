@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.functions.scoring import fixed
+from trendlake.operators import listing
+from trendlake.storage import materialize
 
 DENOMINATOR, STORED, SHOWN = 100, 30, 20
 
@@ -39,6 +41,17 @@ def ranking(people: DataFrame, links: DataFrame, entities: DataFrame) -> DataFra
     return people.join(g.withColumnRenamed("person_id", "id"), "id")
 
 
+def order() -> list[Column]:
+    """Most entities first, then most contributions, then most followers."""
+    return [F.desc("entities"), F.desc("contributions"), F.desc("followers"), F.col("id")]
+
+
+def page(people: DataFrame, links: DataFrame, entities: DataFrame, number: int, per_page: int) -> DataFrame:
+    """One page of the ranking with the number of all people in it beside each row; the grouped links are read once."""
+    ranked_ = materialize(ranking(people, links, entities), "ranking")
+    return listing.page(ranked_, order(), number, per_page)
+
+
 def enrichment_queue(people: DataFrame, links: DataFrame, limit: int) -> DataFrame:
     """People never enriched, those with most links first."""
     counts = links.groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("links"))

@@ -6,9 +6,13 @@ A missing row means "unchanged since the last one". As-of reads are one grouped
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendlake.versions import Tables
+
 COUNTERS = ["stars", "forks", "open_issues", "watchers", "contributors_count"]
 
 
@@ -30,6 +34,36 @@ def deltas(current: DataFrame, metrics: DataFrame, today: Column) -> DataFrame:
     return joined.select(*current.columns, gain("d1").alias("stars_day"), gain("d7").alias("stars_week"), gain("d30").alias("stars_month"))
 
 
+def months_back(today: date, days: int = 30) -> list[str]:
+    """The months, as ``yyyy-MM``, that the last ``days`` and ``today`` fall into."""
+    at, out = (today - timedelta(days=days)).replace(day=1), []
+    while at <= today:
+        out.append(f"{at:%Y-%m}")
+        at = (at + timedelta(days=32)).replace(day=1)
+    return out
+
+
+def anchors(month: str, metrics: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The newest row of each entity before ``month``: of ``metrics``, or of the one month before it and that month's anchors ``before``.
+
+    With anchors kept for each month a reading of the last days never goes further back, however long the history is.
+    """
+    first = F.lit(f"{month}-01").cast("date")
+    rows = metrics.where(F.col("recorded_on") < first).drop("month")
+    if before is not None:
+        rows = rows.unionByName(before.drop("month"))
+    newest = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "recorded_on").alias("r"))
+    return newest.select("r.*").withColumn("month", F.lit(month))
+
+
+def stored_deltas(tables: Tables, current: DataFrame, today: date) -> DataFrame:
+    """:func:`deltas` from the stored tables ``metrics`` and ``anchor``: the months of the last 30 days and one anchor an entity are read."""
+    months = months_back(today)
+    recent = tables.read("metrics", only={"month": months}).drop("month")
+    anchor = tables.read("anchor", only={"month": months[:1]}).drop("month")
+    return deltas(current, recent.unionByName(anchor.select(*recent.columns)), F.lit(today))
+
+
 def contributor_growth(current: DataFrame, metrics: DataFrame, cutoff: Column) -> DataFrame:
     """``current(id, contributors_count)`` with the week's growth; an unknown side counts as none."""
     before = as_of(metrics, {"then": cutoff}, ["contributors_count"])

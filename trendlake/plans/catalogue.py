@@ -152,8 +152,18 @@ def latest_ok_run(spark, sf_dir):
 @query(with_views("entity", "person", "link") + "SELECT p.id, p.login, COUNT(DISTINCT l.entity_id) AS entities, SUM(l.contributions)::BIGINT AS contributions, SUM(e.stars)::BIGINT AS stars_reached FROM person p JOIN link l ON l.person_id = p.id JOIN entity e ON e.id = l.entity_id WHERE e.status = 'active' GROUP BY p.id, p.login, p.followers ORDER BY entities DESC, contributions DESC, p.followers DESC, p.id LIMIT 50")
 def top_people(spark, sf_dir):
     df = people.ranking(*_views(spark, sf_dir, "person", "link", "entity"))
-    order = [F.desc("entities"), F.desc("contributions"), F.desc("followers"), F.col("id")]
-    return listing.page(df, order, 1, 50).select("id", "login", "entities", "contributions", "stars_reached")
+    return df.orderBy(*people.order()).limit(50).select("id", "login", "entities", "contributions", "stars_reached")
+
+
+@query(
+    with_views("entity", "person", "link", "category", "assignment").rstrip() + ", k AS (SELECT l.* FROM link l JOIN entity e ON e.id = l.entity_id WHERE e.status = 'active' AND EXISTS (SELECT 1 FROM assignment a JOIN category c USING (slug) WHERE a.entity_id = e.id AND a.is_primary AND c.group_slug = 'group-S')), "
+    "r AS (SELECT p.id, p.login, p.country, COUNT(DISTINCT k.entity_id) AS entities, SUM(k.contributions)::BIGINT AS contributions, SUM(e.stars)::BIGINT AS stars_reached, p.followers FROM person p JOIN k ON k.person_id = p.id JOIN entity e ON e.id = k.entity_id WHERE p.country IS NOT NULL GROUP BY ALL) "
+    "SELECT id, login, country, entities, contributions, (SELECT COUNT(*) FROM r) AS total FROM r ORDER BY entities DESC, contributions DESC, followers DESC, id LIMIT 20 OFFSET 20"
+)
+def people_page(spark, sf_dir):
+    """The second page of people with a country over one group of categories, with the number of all of them."""
+    e, a, c, p, k = _views(spark, sf_dir, "entity", "assignment", "category", "person", "link")
+    return people.page(p.where("country is not null"), k, listing.in_category(e, a, c, group="group-S"), 2, 20).select("id", "login", "country", "entities", "contributions", "total")
 
 
 @query(ALL_SQL + "SELECT p.country, COUNT(DISTINCT p.id) AS people, SUM(l.contributions)::BIGINT AS contributions FROM person p JOIN link l ON l.person_id = p.id JOIN scored s ON s.id = l.entity_id WHERE s.status = 'active' AND EXISTS (SELECT 1 FROM assignment a JOIN category c USING (slug) WHERE a.entity_id = s.id AND a.is_primary AND c.group_slug = 'group-S') AND p.country IS NOT NULL GROUP BY p.country")

@@ -14,7 +14,7 @@ from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
 from trendlake.storage import materialize, release, scratch_path
 from trendlake.streaming import observations
-from trendlake.versions import state_of
+from trendlake.versions import Tables, state_of
 
 _ASOF = (
     "earlier AS (SELECT id, arg_max(stars, recorded_on) FILTER (recorded_on <= now - 1) AS d1, arg_max(stars, recorded_on) FILTER (recorded_on <= now - 7) AS d7, "
@@ -91,6 +91,21 @@ def star_deltas(spark, sf_dir):
     return gains(spark, sf_dir).select("id", "stars", "stars_day", "stars_week", "stars_month")
 
 
+@query(GAINS_SQL + "z AS (SELECT 1) SELECT id, stars, stars_day, stars_week, stars_month FROM gains")
+def stored_star_deltas(spark, sf_dir):
+    """The same gains from metrics stored by month, with anchors carried from month to month; history is not read again."""
+    today = spark_view(spark, sf_dir, "today").first()["now"]
+    metrics = spark_view(spark, sf_dir, "metrics").withColumn("month", F.date_format("recorded_on", "yyyy-MM"))
+    earlier, *months = temporal.months_back(today, 62)
+    tables = Tables(spark, scratch_path(spark, "metrics"))
+    tables.create({"metrics": (metrics, ["id", "recorded_on"], 1, "month"), "anchor": (temporal.anchors(earlier, metrics), ["id", "month"], 1, "month")})
+    for month in months:
+        before = tables.read("anchor", only={"month": [earlier]})
+        tables.change(month, "anchors", {"anchor": temporal.anchors(month, tables.read("metrics", only={"month": [earlier]}), before)})
+        earlier = month
+    return temporal.stored_deltas(tables, spark_view(spark, sf_dir, "entity").select("id", "stars"), today)
+
+
 @query(with_views("metrics", "today") + "SELECT id, CAST(recorded_on AS VARCHAR) AS last_day, stars, contributors_count FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_on DESC) AS rn FROM metrics, today WHERE recorded_on < now - 30) t WHERE rn = 1")
 def as_of_strict(spark, sf_dir):
     cutoff = F.date_sub(now_of(spark, sf_dir), 30)
@@ -182,6 +197,12 @@ def metric_series(spark, sf_dir):
     return points.select("id", F.col("recorded_on").cast("string").alias("day"), "stars")
 
 
+@query(with_views("metrics", "today", "entity").rstrip() + ", " + _SERIES + "SELECT id, CAST(recorded_on AS VARCHAR) AS day, FLOOR((stars - MIN(stars) OVER (PARTITION BY id)) / CASE WHEN MAX(stars) OVER (PARTITION BY id) = MIN(stars) OVER (PARTITION BY id) THEN 1 ELSE MAX(stars) OVER (PARTITION BY id) - MIN(stars) OVER (PARTITION BY id) END::DOUBLE * 1000000 + 0.5) AS at FROM ser")
+def series_places(spark, sf_dir):
+    points = temporal.series(spark_view(spark, sf_dir, "metrics"), spark_view(spark, sf_dir, "entity"), now_of(spark, sf_dir))
+    return temporal.scaled(points).select("id", F.col("recorded_on").cast("string").alias("day"), F.floor(F.col("at") * 1000000 + 0.5).cast("double").alias("at"))
+
+
 @query(with_views("metrics", "today", "entity").rstrip() + ", " + _SERIES + "SELECT id, MIN(stars) AS least, MAX(stars) AS most, arg_max(stars, recorded_on) - arg_min(stars, recorded_on) AS gained, COUNT(*) AS points, CASE WHEN MAX(stars) = MIN(stars) THEN 1 ELSE MAX(stars) - MIN(stars) END AS span, COUNT(*) >= 2 AS drawable FROM ser GROUP BY id")
 def series_summary(spark, sf_dir):
     points = temporal.series(spark_view(spark, sf_dir, "metrics"), spark_view(spark, sf_dir, "entity"), now_of(spark, sf_dir))

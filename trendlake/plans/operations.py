@@ -15,11 +15,12 @@ from trendlake.storage import scratch_path
 from trendlake.versions import Tables
 
 
-@query(with_views("entity") + "SELECT id, CASE WHEN id % 4 = 1 THEN 'new/' || id ELSE full_name END AS found, id % 4 = 1 AS renamed FROM entity WHERE id % 4 <> 3 AND (id % 4 <> 2 OR full_name = lower(full_name) OR TRUE)")
+@query(with_views("entity") + "SELECT id, CASE WHEN id % 4 = 1 THEN 'new/' || id WHEN id % 4 = 2 THEN upper(full_name) ELSE full_name END AS found, id % 4 IN (1, 2) AS renamed FROM entity WHERE id % 4 <> 3 AND id % 8 <> 6")
 def resolved_entities(spark, sf_dir):
-    """By stable id, renamed by stable id, by name in other letters, not fetched."""
+    """By stable id, renamed by stable id, by name in capitals, not fetched, by a name that none has."""
     e = spark_view(spark, sf_dir, "entity").select("id", "github_id", "full_name")
-    name = F.when(F.col("id") % 4 == 1, F.concat(F.lit("new/"), F.col("id").cast("string"))).otherwise(F.col("full_name"))
+    text_id = F.col("id").cast("string")
+    name = F.when(F.col("id") % 4 == 1, F.concat(F.lit("new/"), text_id)).when(F.col("id") % 8 == 6, F.concat(F.lit("none/"), text_id)).when(F.col("id") % 4 == 2, F.upper("full_name")).otherwise(F.col("full_name"))
     stable = F.when(F.col("id") % 4 != 2, F.col("github_id"))
     fetched = e.where("id % 4 <> 3").select(stable.alias("github_id"), name.alias("full_name"))
     return refresh.resolve(e, fetched).select("id", F.col("fetched.full_name").alias("found"), "renamed")

@@ -112,7 +112,7 @@ class Tables:
             entry = manifest["tables"][name]
             schema = StructType.fromJson(entry["schema"])
             where = [*entry["keys"], *([entry["by"]] if entry["by"] and entry["by"] not in entry["keys"] else [])]
-            new = materialize(rows[name].select(*schema.names), name) if name in rows else self.spark.createDataFrame([], schema)
+            new = materialize(rows[name].select(*[F.col(f.name).cast(f.dataType) for f in schema]), name) if name in rows else self.spark.createDataFrame([], schema)
             keys = new.select(*where)
             if gone and name in gone:
                 keys = keys.unionByName(gone[name].select(*where))
