@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from trendlake.operators import classify, merge, refresh
+from trendlake.operators import classify, merge, refresh, search
 from trendlake.plans import operations
 from trendlake.streaming import observations
 from trendlake.versions import Tables
@@ -130,3 +130,18 @@ def test_late_rows_are_counted_apart(spark, tmp_path):
         progress = observations.run_files(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, f"{tmp_path}/work", observations.daily_gain)
     assert observations.dropped(progress) == 1
     assert rows(spark.read.parquet(f"{tmp_path}/work/rows").select("key", "n", "gained")) == [(1, 1, 1.0)]
+
+
+def test_search_reads_its_own_terms(spark, tmp_path):
+    names = {1: "red bolts of steel", 2: "the red bolt", 3: "bolt red", 4: "widgets boxes", 5: "running stories", 6: "of the"}
+    e = spark.createDataFrame([(k, v, None) for k, v in names.items()], "id long, name string, description string")
+    tables = Tables(spark, str(tmp_path))
+    tables.create({"posting": (search.postings(e), search.KEYS, 8, None)})
+    found = lambda q, all_=None: sorted(r.id for r in search.search(tables, q, all_).collect())
+    assert found("red bolt") == [1, 2, 3] and found('"red bolt"') == [1, 2] and found('"red bolt" -steel') == [2]
+    assert found("widget or story") == [4, 5] and found("run") == [5] and found("box") == [4]
+    assert found("of the") == [] and found("") == [] and found('"bolt of steel"') == [1] and found("missing") == []
+    assert found("-red", e) == [4, 5, 6]
+    search.refresh(tables, "edit", e.where("id = 2"), e.where("id = 2").withColumn("name", F.lit("green lamp")))
+    assert found("red bolt") == [1, 3] and found("lamps") == [2]
+    assert {p["folder"].split("/")[2] for p in tables.manifest()["tables"]["posting"]["parts"]} != {p["folder"].split("/")[2] for p in tables.manifest(1)["tables"]["posting"]["parts"]}

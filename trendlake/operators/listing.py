@@ -156,12 +156,22 @@ def page_frame(df: DataFrame, order: list[Column], number: int, per_page: int, m
 
 
 def facets(entities: DataFrame, assignment: DataFrame) -> DataFrame:
-    """facet, value, n over active entities: their languages, countries and primary categories, and all of them."""
-    active = entities.where("status = 'active'")
-    one = active.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), c.alias("value")) for f, c in (("all", F.lit("all")), ("language", F.col("language")), ("country", F.col("owner_country")))])).alias("f"))
-    primary = assignment.where("is_primary").join(active.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    both = one.select("f.facet", "f.value").unionByName(primary.select(F.lit("category").alias("facet"), F.col("slug").alias("value")))
-    return both.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    """facet, value, n over active entities: their languages, countries and primary categories, and all of them.
+
+    One reading of the entities, each with its primary category, and one grouping by four sets.
+    """
+    primary = assignment.where("is_primary").groupBy(F.col("entity_id").alias("id")).agg(F.collect_set("slug").alias("slugs"))
+    active = entities.where("status = 'active'").select("id", "language", F.col("owner_country").alias("country")).join(primary, "id", "left")
+    # an entity of several primaries counts once but in each of them
+    each = active.select("language", "country", F.posexplode_outer("slugs").alias("nth", "category"))
+    once = F.count_if(F.coalesce(F.col("nth"), F.lit(0)) == 0)
+    g = each.groupingSets([["language"], ["country"], ["category"], []], "language", "country", "category").agg(F.grouping_id().alias("set"), once.alias("once"), F.count("*").alias("rows"))
+    names = {3: ("language", F.col("language")), 5: ("country", F.col("country")), 6: ("category", F.col("category")), 7: ("all", F.lit("all"))}
+    facet, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for number, (name, c) in names.items():
+        facet, value = F.when(F.col("set") == number, name).otherwise(facet), F.when(F.col("set") == number, c).otherwise(value)
+    out = g.select(facet.alias("facet"), value.alias("value"), F.when(F.col("set") == 6, F.col("rows")).otherwise(F.col("once")).alias("n"))
+    return out.where("value is not null and n > 0")
 
 
 def home(entities: DataFrame, rows: int = 8) -> DataFrame:

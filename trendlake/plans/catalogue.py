@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trendlake.operators import aggregates, listing, merge, people, shards
+from trendlake.operators import aggregates, listing, merge, people, search, shards
 from trendlake.functions.scoring import licence_class
 from trendlake.plans.growth import SCORED_SQL, now_of, stored_scores
 from trendlake.plans.registry import query
 from trendlake.plans.views import TABLES, spark_view, table, with_views
 from trendlake.sources import exports
+from trendlake.storage import scratch_path
+from trendlake.versions import Tables
 
 _L = "EXISTS (SELECT 1 FROM assignment a JOIN category c USING (slug) WHERE a.entity_id = s.id AND a.is_primary AND c.group_slug = 'group-S')"
 ALL_SQL = SCORED_SQL.rstrip() + ", " + with_views("category", "assignment", "person", "link").removeprefix("WITH ")
@@ -65,6 +67,37 @@ def search_relevance(spark, sf_dir):
     return _list(spark, sf_dir, q="Widget", sort="relevance", per_page=50).select("id", F.round(F.col("relevance") * 1000).alias("relevance"))
 
 
+def _postings(spark, sf_dir) -> Tables:
+    e = spark_view(spark, sf_dir, "entity").select("id", "name", "description")
+    tables = Tables(spark, scratch_path(spark, "postings"))
+    tables.create({"posting": (search.postings(e), search.KEYS, 16, None)})
+    return tables
+
+
+_WORDS = "w AS (SELECT id, ' ' || lower(name) || ' ' AS name, ' ' || lower(COALESCE(description, '')) || ' ' AS d FROM entity), "
+
+
+def _weight(word: str) -> str:
+    return f"CASE WHEN name LIKE '% {word} %' THEN 1.0 WHEN d LIKE '% {word} %' THEN 0.4 ELSE 0 END::DOUBLE"
+
+
+@query(
+    with_views("entity").rstrip() + ", " + _WORDS + f"h AS (SELECT id, {_weight('red')} + {_weight('bolt')} + {_weight('widget')} AS text_rank FROM w "
+    "WHERE (name LIKE '% red bolt %' AND NOT (d LIKE '% steel %' OR name LIKE '% steel %')) OR name LIKE '% widget %' OR d LIKE '% widget %') SELECT id, ROUND(text_rank * 10) AS text_rank FROM h"
+)
+def search_syntax(spark, sf_dir):
+    """A phrase, an excluded word and an alternative in another form of its word, over stored postings."""
+    return search.search(_postings(spark, sf_dir), '"Red bolts" -steel or widgets').select("id", F.round(F.col("text_rank") * 10).alias("text_rank"))
+
+
+@query(with_views("entity").rstrip() + ", " + _WORDS + "n AS (SELECT id, CASE WHEN id % 5 = 0 THEN ' green lamp ' ELSE name END AS name, d FROM w) SELECT id, CASE WHEN name LIKE '% lamp %' THEN 10 ELSE 4 END::DOUBLE AS text_rank FROM n WHERE name LIKE '% lamp %' OR d LIKE '% lamp %'")
+def search_after_edits(spark, sf_dir):
+    """Postings in step with entities that got another name."""
+    tables, e = _postings(spark, sf_dir), spark_view(spark, sf_dir, "entity").select("id", "name", "description").where("id % 5 = 0")
+    search.refresh(tables, "edits", e, e.withColumn("name", F.lit("green lamps")))
+    return search.search(tables, "lamp").select("id", F.round(F.col("text_rank") * 10).alias("text_rank"))
+
+
 @query("SELECT n_nationkey AS id FROM nation WHERE n_name ILIKE '%n\\_1%' ESCAPE '\\' OR n_name ILIKE '%n\\%2%' ESCAPE '\\'")
 def substring_match(spark, sf_dir):
     """Signs of patterns in a query stand for themselves."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendlake.functions import text
-from trendlake.operators import classify, listing, merge, places
+from trendlake.operators import classify, listing, merge, people, places, temporal
 from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
 from trendlake.sources import payloads
@@ -226,12 +226,29 @@ def missing_set(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(c, "o_custkey", "left_anti").select(F.col("o_orderkey").alias("id"))
 
 
-def entity_detail(spark, sf_dir, name: str):
-    """One entity by name with its categories and people, as one row."""
-    from trendlake.operators.people import shares
-
+def detail(spark, sf_dir, name: str):
+    """One entity by name with its categories, the people shown and its series, as one row."""
     one = listing.by_name(spark_view(spark, sf_dir, "entity"), name)
+    own = one.select(F.col("id").alias("entity_id"))
     chips = listing.chips(spark_view(spark, sf_dir, "assignment"), spark_view(spark, sf_dir, "category"), one)
-    links = spark_view(spark, sf_dir, "link").join(one.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    people = shares(links).groupBy(F.col("entity_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "person_id", "share"))).alias("people"))
-    return one.join(chips, "id", "left").join(people, "id", "left")
+    links = spark_view(spark, sf_dir, "link").join(own, "entity_id", "left_semi")
+    shown = people.shares(links).groupBy(F.col("entity_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "person_id", "share"))).alias("people"))
+    now = F.lit(spark_view(spark, sf_dir, "today").first()["now"])
+    metrics = spark_view(spark, sf_dir, "metrics").join(one.select("id"), "id", "left_semi")
+    points = temporal.series(metrics, one, now).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("recorded_on", "stars"))).alias("series"))
+    return one.join(chips, "id", "left").join(shown, "id", "left").join(points, "id", "left")
+
+
+@query(
+    with_views("metrics", "today", "entity", "assignment", "category", "link").rstrip() + ", one AS (SELECT * FROM entity ORDER BY id LIMIT 1), "
+    "pts AS (SELECT recorded_on, stars FROM metrics m, today WHERE m.id = (SELECT id FROM one) AND (recorded_on >= now - 90 OR recorded_on = (SELECT MAX(recorded_on) FROM metrics x, today t WHERE x.id = m.id AND x.recorded_on < t.now - 90)) UNION ALL SELECT now, stars FROM one, today WHERE id IN (SELECT id FROM metrics)), "
+    "k AS (SELECT person_id, contributions, row_number() OVER (ORDER BY contributions DESC, person_id) AS rn FROM link WHERE entity_id = (SELECT id FROM one)) "
+    "SELECT id, full_name, (SELECT string_agg(slug, ',' ORDER BY is_primary DESC, confidence DESC, slug) FROM assignment JOIN category USING (slug) WHERE entity_id = one.id) AS categories, "
+    "(SELECT string_agg(person_id, ',' ORDER BY rn) FROM k WHERE rn <= 20) AS people, (SELECT string_agg(CAST(recorded_on AS VARCHAR) || '=' || stars, ',' ORDER BY recorded_on) FROM pts) AS series FROM one"
+)
+def entity_detail(spark, sf_dir):
+    """The detail of the first entity, asked for in capitals."""
+    name = spark_view(spark, sf_dir, "entity").orderBy("id").limit(1).first()["full_name"]
+    out = detail(spark, sf_dir, name.upper())
+    series = F.transform("series", lambda p: F.concat_ws("=", p["recorded_on"].cast("string"), p["stars"].cast("string")))
+    return out.select("id", "full_name", F.array_join("categories", ",").alias("categories"), F.array_join(F.col("people.person_id").cast("array<string>"), ",").alias("people"), F.array_join(series, ",").alias("series"))
