@@ -81,7 +81,7 @@ def persisted_links(spark, sf_dir):
 def people_aggregates(spark, sf_dir):
     """Full lists of a hundred people and more take the measured lower bound."""
     li = table(spark, sf_dir, "lineitem")
-    f = li.groupBy((F.col("l_orderkey") % 50).alias("entity_id"), F.col("l_orderkey").alias("github_id")).agg(F.sum("l_linenumber").alias("contributions"))
+    f = li.groupBy((F.col("l_orderkey") % 50).alias("entity_id"), (F.col("l_orderkey") + 1).alias("github_id")).agg(F.sum("l_linenumber").alias("contributions"))
     f = f.withColumns({"login": F.concat(F.lit("o"), "github_id"), "avatar_url": F.lit(None).cast("string")})
     p = spark.createDataFrame([], "id long, github_id long, login string, avatar_url string")
     k = spark.createDataFrame([], "entity_id long, person_id long, contributions long, rank int")
