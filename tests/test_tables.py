@@ -145,3 +145,22 @@ def test_search_reads_its_own_terms(spark, tmp_path):
     search.refresh(tables, "edit", e.where("id = 2"), e.where("id = 2").withColumn("name", F.lit("green lamp")))
     assert found("red bolt") == [1, 3] and found("lamps") == [2]
     assert {p["folder"].split("/")[2] for p in tables.manifest()["tables"]["posting"]["parts"]} != {p["folder"].split("/")[2] for p in tables.manifest(1)["tables"]["posting"]["parts"]}
+
+
+def test_submissions_by_address(spark):
+    raw = [("https://github.com/o/n", "b"), ("o/n", None), ("o/n", None), ("github.com/o/m.git", "x"), ("O/N", "x"), (None, None), ("no", "y"), ("no", "y")]
+    before = spark.createDataFrame([("https://github.com/o/m",), (None,)], "url string")
+    got = merge.submissions(before, spark.createDataFrame(raw, "url string, note string"))
+    assert rows(got.select("raw", "note", "url", "outcome", "n")) == sorted([
+        ("https://github.com/o/n", "b", "https://github.com/o/n", "new", 1), ("o/n", None, "https://github.com/o/n", "repeated", 2), ("O/N", "x", "https://github.com/O/N", "new", 1),
+        ("github.com/o/m.git", "x", "https://github.com/o/m", "repeated", 1), (None, None, None, "faulty", 1), ("no", "y", None, "faulty", 2),
+    ], key=repr)
+    assert merge.submissions(before.limit(0), spark.createDataFrame(raw[:3], "url string, note string")).agg(F.sum("n")).first()[0] == 3
+
+
+def test_intake_names_and_reasons(spark):
+    raw = spark.createDataFrame([("HTTPS://github.com/O/A",), ("o/a",), ("o/gone",), ("",), (None,)], "raw string")
+    fetched = spark.createDataFrame([(7, "o/A", 5, dt.date(2024, 1, 1)), (8, "o/other", 1, None), (None, None, None, None)], "github_id long, full_name string, stars long, synced_on date")
+    found, left = refresh.intake(raw, fetched)
+    assert rows(found.select("github_id", "full_name", "stars", "discovery_source")) == [(7, "o/A", 5, "manual:add")] and "synced_on" not in found.columns
+    assert sorted(r.error for r in left.collect()) == ["empty reference", "empty reference", "not found"]

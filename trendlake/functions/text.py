@@ -8,6 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HOST = "github.com"
+# Forms of a reference and of its parts, edges of a phrase, and what a location is read without.
+SSH = rf"(?i)^(?:git\+)?(?:ssh://)?git@{re.escape(HOST)}[:/](.+)$"
+OWNER = r"^[A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){0,38}$"
+NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$"
+LONGEST = 300
+BEFORE_PHRASE, WITHIN_PHRASE, AFTER_PHRASE = r"(?<![a-z0-9])", r"[\\s\\-_]+", r"(?![a-z0-9])"
+PICTOGRAPHS = "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\x{200D}]"
+MARKS = r"[()\[\]{}\"'`*_~]"
 
 
 def trimmed(text: Column) -> Column:
@@ -22,7 +30,7 @@ def parse_date(text: Column) -> Column:
 def phrase_pattern_column(phrase: Column) -> Column:
     """Patterns that match a phrase which no Latin letter or digit touches; blanks, hyphens and underscores are one, and case does not count."""
     escaped = F.regexp_replace(F.lower(phrase), r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit(r"(?iu)(?<![a-z0-9])"), F.regexp_replace(escaped, r"[\s\-]+", r"[\\s\\-_]+"), F.lit(r"(?![a-z0-9])"))
+    return F.concat(F.lit("(?iu)" + BEFORE_PHRASE), F.regexp_replace(escaped, r"[\s\-]+", WITHIN_PHRASE), F.lit(AFTER_PHRASE))
 
 
 def fingerprint(name: Column, description: Column, topics: Column, language: Column, readme: Column) -> Column:
@@ -54,7 +62,7 @@ def escape_like(text: str) -> str:
 def reference(raw: Column) -> Column:
     """Struct ok, owner, name, full_name, url, error for whatever may name a repository."""
     text = trimmed(F.coalesce(raw, F.lit("")))
-    ssh = F.regexp_extract(text, rf"(?i)^(?:git\+)?(?:ssh://)?git@{re.escape(HOST)}[:/](.+)$", 1)
+    ssh = F.regexp_extract(text, SSH, 1)
     scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     hosted = text.rlike(rf"(?i)^(?:www\.)?{re.escape(HOST)}/")
     address = F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -67,14 +75,14 @@ def reference(raw: Column) -> Column:
     name = F.regexp_replace(F.get(parts, F.lit(1)), r"(?i)\.git$", "")
     error = (
         F.when(text == "", "empty reference")
-        .when(F.length(text) > 300, "reference too long")
+        .when(F.length(text) > LONGEST, "reference too long")
         .when((ssh == "") & (scheme != "") & ~scheme.isin("http", "https", "git"), "scheme not supported")
         .when((ssh == "") & is_url & (host != HOST), "host not supported")
         .when((ssh == "") & ~is_url & text.rlike(r"[:\\]|^//"), "not a reference")
         .when(F.size(parts) > 2, "page inside a repository")
         .when(F.size(parts) < 2, "owner or name missing")
-        .when(~owner.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9]|-(?=[A-Za-z0-9])){0,38}$"), "bad owner")
-        .when(~name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$"), "bad name")
+        .when(~owner.rlike(OWNER), "bad owner")
+        .when(~name.rlike(NAME), "bad name")
     )
     ok = error.isNull()
     full = F.concat(owner, F.lit("/"), name)
@@ -94,8 +102,8 @@ def flag_code(text: Column) -> Column:
 
 def plain_location(text: Column) -> Column:
     """Without pictographs, brackets and quotes, blanks collapsed."""
-    out = F.regexp_replace(text, "[\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\x{200D}]", " ")
-    out = F.regexp_replace(out, r"[()\[\]{}\"'`*_~]", " ")
+    out = F.regexp_replace(text, PICTOGRAPHS, " ")
+    out = F.regexp_replace(out, MARKS, " ")
     return trimmed(F.regexp_replace(out, r"\s+", " "))
 
 

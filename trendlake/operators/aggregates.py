@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlake.functions.scoring import grade
@@ -25,6 +25,18 @@ def group_stats(stats: DataFrame) -> DataFrame:
     return stats.groupBy("group_slug").agg(F.count("*").alias("categories"), F.sum("n").alias("n"), F.sum("stars").alias("stars"), F.sum("week").alias("week"))
 
 
+def ordered_groups(stats: DataFrame, groups: DataFrame) -> DataFrame:
+    """:func:`group_stats` of every group in ``groups(group_slug, place)``, with its place from 1 and zeros where it has no category.
+
+    Groups that only categories know come behind them, by the least order of their categories. Groups are few, so one task may number them.
+    """
+    own = group_stats(stats).join(stats.groupBy("group_slug").agg(F.min("sort_order").alias("__order")), "group_slug")
+    both = own.join(groups.groupBy("group_slug").agg(F.min("place").alias("__place")), "group_slug", "full_outer")
+    w = Window.orderBy(F.asc_nulls_last("__place"), "__order", "group_slug")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select("group_slug", F.row_number().over(w).alias("place"), *[zero(c) for c in ("categories", "n", "stars", "week")])
+
+
 def country_stats(entities: DataFrame, people: DataFrame) -> DataFrame:
     """Entities, stars and people of each country that either side knows; a missing side counts zero."""
     e = entities.where("status = 'active' and owner_country is not null").groupBy(F.col("owner_country").alias("country")).agg(F.count("*").alias("entities"), F.sum("stars").alias("stars"))

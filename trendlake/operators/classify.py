@@ -187,8 +187,20 @@ def with_external(placed: DataFrame, labels: DataFrame, due: DataFrame, manual:
     return kept.unionByName(made.select(*kept.columns))
 
 
-def rule_faults(rules: DataFrame) -> DataFrame:
-    """Rules that no classification should run with: blank terms, one slug under two ordinals."""
+def rule_faults(rules: DataFrame, category: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Rules that no classification should run with: blank terms, one slug under two ordinals.
+
+    With ``category(slug, group_slug)`` and ``groups(group_slug)`` also rules of no category, slugs that come twice, and
+    categories of no group.
+    """
     blank = rules.where(F.trim("term") == "").select("category", F.lit("blank term").alias("fault"))
     twice = rules.groupBy("category").agg(F.countDistinct("ordinal").alias("n")).where("n > 1").select("category", F.lit("two ordinals").alias("fault"))
-    return blank.unionByName(twice)
+    out = blank.unionByName(twice)
+    if category is not None:
+        strange = rules.select("category").distinct().join(category.select(F.col("slug").alias("category")), "category", "left_anti")
+        repeated = category.groupBy(F.col("slug").alias("category")).agg(F.count("*").alias("n")).where("n > 1")
+        out = out.unionByName(strange.withColumn("fault", F.lit("no such category"))).unionByName(repeated.select("category", F.lit("slug comes twice").alias("fault")))
+    if category is not None and groups is not None:
+        lost = category.join(groups, "group_slug", "left_anti").select(F.col("slug").alias("category"), F.lit("no such group").alias("fault"))
+        out = out.unionByName(lost)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendlake.functions.scoring import licence_class
 from trendlake.functions.text import escape_like, tokens, trimmed
+from trendlake.operators import aggregates
 
 #: Weights of a token in an entity's name, description and topics.
 WEIGHTS = {"name": 1.0, "description": 0.4, "topics": 0.2}
@@ -185,6 +186,23 @@ def home(entities: DataFrame, rows: int = 8) -> DataFrame:
     return out.select("list", (F.col("place") + 1).alias("place"), "id")
 
 
+def home_page(entities: DataFrame, people: DataFrame, category: DataFrame, assignment: DataFrame, groups: DataFrame, since: Column, rows: int = 8) -> DataFrame:
+    """section, name, place and value of everything on the first page.
+
+    ``total``: a row for each figure of the global statistics; ``list``: ids by place in each list of :func:`home`; ``group``:
+    entities of each group of categories in the taxonomy's order.
+    """
+    totals = aggregates.global_stats(entities, people, category, since)
+    totals = totals.select([F.col(c).cast("long").alias(c) for c in totals.columns]).unpivot([], totals.columns, "name", "value")
+    by_group = aggregates.ordered_groups(aggregates.category_stats(entities, assignment, category), groups)
+    parts = {"total": (totals, "name", F.lit(0), "value"), "list": (home(entities, rows), "list", F.col("place"), "id"), "group": (by_group, "group_slug", F.col("place"), "n")}
+    out = None
+    for section, (df, name, place, value) in parts.items():
+        part = df.select(F.lit(section).alias("section"), F.col(name).alias("name"), place.cast("int").alias("place"), F.col(value).cast("long").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def chips(assignment: DataFrame, category: DataFrame, ids: DataFrame) -> DataFrame:
     """Per entity its category slugs: primary first, then by falling confidence."""
     mine = assignment.join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").join(category, "slug")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendlake.functions import text
+
 
 def keep_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -68,8 +70,8 @@ def release_names(old: DataFrame, incoming: DataFrame, stable: str = "github_id"
 def discovered(entity: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of ``entity`` that discovery changes or adds, names that moved released first.
 
-    Found rows without a stable id are passed over, and of several rows of one id the greatest counts. Ids and status
-    stay; a new description, language or list of topics resets the watermark ``classified_on``.
+    Found rows without a stable id are passed over, and of several rows of one id the greatest counts. Ids, status,
+    how and when an entity was first found stay; a new description, language or list of topics resets the watermark ``classified_on``.
     """
     seen = found.where("github_id is not null and github_id <> 0")
     before = release_names(entity, seen) if "full_name" in found.columns else entity
@@ -85,7 +87,7 @@ def discovered(entity: DataFrame, found: DataFrame) -> DataFrame:
         seen = seen.join(last).withColumn("id", F.col("__last") + F.col("github_id") + 1).drop("__last")  # one row
     if "status" not in seen.columns:
         seen = seen.withColumn("status", F.lit("active"))
-    out = upsert(before, seen, ["github_id"], {"id": "keep", "status": "keep"}, extra)
+    out = upsert(before, seen, ["github_id"], {c: "keep" for c in ("id", "status", "discovery_source", "first_seen_on")}, extra)
     if "full_name" in found.columns:
         taken = entity.select(F.col("github_id").alias("__g"), F.col("full_name").alias("__was"))
         out = out.join(taken, out["github_id"] == taken["__g"], "left")
@@ -99,6 +101,25 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame,
     return fresh, new.join(old.select(key), key, "left_semi")
 
 
+def submissions(old: DataFrame, raw: DataFrame, column: str = "url", note: str = "note") -> DataFrame:
+    """What becomes of submitted references: raw, note, url, full_name, outcome, error and n, the number of such rows.
+
+    ``old(url)`` holds what was submitted before. A reference is read by :func:`text.reference`; of the rows of one address the
+    one with the least raw text and note is ``new`` (to append), all others are ``repeated``, as are all rows of an address
+    in ``old``. What is no reference is ``faulty``, with the reason.
+    """
+    # equal rows are counted first, so that what everyone submits is one row when addresses meet
+    spelled = raw.groupBy(F.col(column).alias("raw"), F.col(note).alias("note")).agg(F.count("*").alias("n"))
+    read = spelled.withColumn("r", text.reference(F.col("raw"))).select("raw", "note", "n", "r.ok", "r.url", "r.full_name", "r.error")
+    this = F.struct("raw", "note")
+    first = read.where("ok").groupBy("url").agg(F.min(this).alias("first")).join(old.select("url").distinct(), "url", "left_anti")
+    placed = read.join(first, "url", "left").withColumn("is_new", this.eqNullSafe(F.col("first")))
+    parts = F.when(~F.col("ok"), F.array(F.struct(F.lit("faulty").alias("outcome"), F.col("n"))))
+    parts = parts.when(F.col("is_new"), F.array(F.struct(F.lit("new").alias("outcome"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("repeated").alias("outcome"), (F.col("n") - 1).alias("n"))))
+    parts = parts.otherwise(F.array(F.struct(F.lit("repeated").alias("outcome"), F.col("n"))))
+    return placed.withColumn("p", F.explode(parts)).where("p.n > 0").select("raw", "note", "url", "full_name", "p.outcome", "error", "p.n")
+
+
 def replace_automatic(old: DataFrame, new: DataFrame, touched: DataFrame, entity: str = "entity_id", pair: tuple[str, ...] = ("entity_id", "slug")) -> DataFrame:
     """Assignments with the automatic rows of touched entities replaced; manual rows always stay."""
     kept = old.where("source = 'manual'").unionByName(old.where("source <> 'manual'").join(touched.select(entity), entity, "left_anti"))

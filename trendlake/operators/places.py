@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trendlake.functions.text import flag_code, plain_location
 
 ALIAS_LIMIT = 100_000
+# Fixed value: what stands between the places that someone moved through.
+HOPS = r"\s*(?:->|→|=>|\||/)\s*"
 
 
 def resolve(people: DataFrame, aliases: DataFrame, non_places: DataFrame, key: str = "id", raw: str = "location") -> DataFrame:
@@ -18,7 +20,7 @@ def resolve(people: DataFrame, aliases: DataFrame, non_places: DataFrame, key: s
     """
     hint = F.broadcast if aliases.limit(ALIAS_LIMIT + 1).count() <= ALIAS_LIMIT else lambda d: d
     text = plain_location(F.coalesce(F.col(raw), F.lit("")))
-    hops = F.filter(F.split(text, r"\s*(?:->|→|=>|\||/)\s*"), lambda h: h != "")
+    hops = F.filter(F.split(text, HOPS), lambda h: h != "")
     current = F.when(F.size(hops) > 1, F.element_at(hops, -1)).otherwise(text)
     parts = F.filter(F.transform(F.split(current, ","), lambda s: F.trim(s)), lambda s: s != "")
     base = people.select(key, flag_code(F.coalesce(F.col(raw), F.lit(""))).alias("flag"), F.lower(text).alias("whole"), parts.alias("parts"))

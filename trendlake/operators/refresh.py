@@ -110,6 +110,22 @@ def named_intake(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFr
     return good, read.where("not r.ok").select("raw", F.col("r.error").alias("error"))
 
 
+def intake(raw: DataFrame, fetched: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """Rows to discover for the references in ``raw``, and the references that bring none, with the reason.
+
+    A reference takes the fetched row of its name in any letters (the greatest of several); it is marked ``manual:add``, and has no
+    ``synced_on`` or ``classified_on``, so that new entities lead the queues.
+    """
+    good, bad = named_intake(raw, column)
+    own = [c for c in fetched.columns if c not in ("synced_on", "classified_on", "discovery_source")]
+    row = fetched.groupBy(F.lower("full_name").alias("__name")).agg(F.max(F.struct("full_name", *[c for c in own if c != "full_name"])).alias("__row"))
+    met = good.join(row, F.lower("full_name") == F.col("__name"), "left")
+    rows = met.where("__row is not null").select("__row.*", "discovery_source")
+    return rows, bad.unionByName(met.where("__row is null").select(F.col("full_name").alias("raw"), F.lit("not found").alias("error")))
+
+
+#: What a named intake does, in this order.
+INTAKE = ("discover", "classify", "score")
 STAGES = ("discover", "sync", "snapshot", "countries", "contributors", "profiles", "classify", "score")
 
 

@@ -149,6 +149,35 @@ def category_groups(spark, sf_dir):
     return aggregates.group_stats(aggregates.category_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category")))
 
 
+_GROUPS = "(VALUES ('group-S', 0), ('group-none', 1), ('group-E', 2)) t(group_slug, place)"
+
+
+def _groups(spark):
+    """Three groups of the taxonomy, one without categories; all others are unknown to it."""
+    return spark.createDataFrame([("group-S", 0), ("group-none", 1), ("group-E", 2)], "group_slug string, place int")
+
+
+@query(ALL_SQL + f"SELECT group_slug, row_number() OVER (ORDER BY t.place NULLS LAST, sort_order, group_slug) AS place, COALESCE(categories, 0) AS categories, COALESCE(n, 0) AS n FROM (SELECT c.group_slug, MIN(c.sort_order) AS sort_order, COUNT(DISTINCT c.slug) AS categories, COUNT(x.id) AS n FROM category c LEFT JOIN (SELECT a.slug, s.id FROM assignment a JOIN scored s ON s.id = a.entity_id WHERE a.is_primary AND s.status = 'active') x ON x.slug = c.slug GROUP BY c.group_slug) g FULL JOIN {_GROUPS} USING (group_slug)")
+def ordered_groups(spark, sf_dir):
+    stats = aggregates.category_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category"))
+    return aggregates.ordered_groups(stats, _groups(spark)).select("group_slug", "place", "categories", "n")
+
+
+_FIRST = [("trending-day", "stars_day", ""), ("trending-week", "stars_week", ""), ("newest", "created_on", ""), ("quality", "quality_score", "AND quality_score >= 60")]
+
+
+@query(
+    ALL_SQL.rstrip() + ", totals AS (SELECT COUNT(*) AS entities, SUM(stars)::BIGINT AS stars, SUM(stars_week)::BIGINT AS stars_week, COUNT(*) FILTER (first_seen_on >= now - 1000) AS new_entities, COUNT(DISTINCT language) AS languages, COUNT(DISTINCT owner_country) AS countries, (SELECT COUNT(*) FROM person) AS people, (SELECT COUNT(*) FROM category) AS categories FROM scored WHERE status = 'active'), "
+    "per AS (SELECT c.group_slug, MIN(c.sort_order) AS sort_order, COUNT(x.id) AS n FROM category c LEFT JOIN (SELECT a.slug, s.id FROM assignment a JOIN scored s ON s.id = a.entity_id WHERE a.is_primary AND s.status = 'active') x ON x.slug = c.slug GROUP BY c.group_slug) "
+    "SELECT 'total' AS section, name, 0 AS place, value::BIGINT AS value FROM (UNPIVOT totals ON COLUMNS(*) INTO NAME name VALUE value) "
+    + "".join(f"UNION ALL SELECT 'list', '{n}', row_number() OVER (ORDER BY {c} DESC NULLS LAST, id DESC) AS nth, id FROM scored WHERE status = 'active' AND NOT is_archived {more} QUALIFY nth <= 8 " for n, c, more in _FIRST)
+    + f"UNION ALL SELECT 'group', group_slug, row_number() OVER (ORDER BY t.place NULLS LAST, sort_order, group_slug), COALESCE(n, 0) FROM per FULL JOIN {_GROUPS} USING (group_slug)"
+)
+def home_page(spark, sf_dir):
+    people_, category, assignment = _views(spark, sf_dir, "person", "category", "assignment")
+    return listing.home_page(stored_scores(spark, sf_dir), people_, category, assignment, _groups(spark), F.date_sub(now_of(spark, sf_dir), 1000))
+
+
 @query(ALL_SQL + "SELECT c.slug, CASE WHEN m IS NULL THEN NULL WHEN m >= 80 THEN 'A' WHEN m >= 65 THEN 'B' WHEN m >= 50 THEN 'C' WHEN m >= 35 THEN 'D' ELSE 'F' END AS median_grade FROM category c LEFT JOIN (SELECT a.slug, quantile_cont(quality_score, 0.5) AS m FROM assignment a JOIN scored s ON s.id = a.entity_id WHERE a.is_primary AND s.status = 'active' GROUP BY a.slug) x USING (slug)")
 def category_grades(spark, sf_dir):
     return aggregates.category_stats(stored_scores(spark, sf_dir), *_views(spark, sf_dir, "assignment", "category")).select("slug", "median_grade")
@@ -285,6 +314,19 @@ def absent_submissions(spark, sf_dir):
     return merge.insert_absent(pages.where("page_id % 2 = 0"), new, "url")[0]
 
 
+@query(
+    "SELECT url, error, outcome, COUNT(*) AS n FROM (SELECT CASE WHEN page_id % 5 < 3 THEN 'https://github.com/own/n' || page_id % 100 END AS url, CASE page_id % 5 WHEN 3 THEN 'host not supported' WHEN 4 THEN 'page inside a repository' END AS error, "
+    "CASE WHEN page_id % 5 >= 3 THEN 'faulty' WHEN page_id % 100 < 50 AND page_id = MIN(page_id) OVER (PARTITION BY page_id % 100) THEN 'new' ELSE 'repeated' END AS outcome FROM pages) t GROUP BY ALL"
+)
+def submitted_references(spark, sf_dir):
+    """Many pages name one repository in three forms; half of the repositories were submitted before."""
+    slug = F.concat(F.lit("own/n"), (F.col("page_id") % 100).cast("string"))
+    shape = [F.concat(F.lit(" https://www.GitHub.com/"), slug, F.lit(".git/?tab=x#y")), F.concat(F.lit("git@github.com:"), slug, F.lit(".git")), slug, F.lit("https://other.example/x"), F.concat(F.lit("github.com/own/name/tree/"), slug)]
+    raw = table(spark, sf_dir, "pages").select(F.element_at(F.array(*shape), (F.col("page_id") % 5 + 1).cast("int")).alias("url"), F.col("page_id").cast("string").alias("note"))
+    before = spark.range(50, 100).select(F.concat(F.lit("https://github.com/own/n"), F.col("id").cast("string")).alias("url"))
+    return merge.submissions(before, raw).groupBy("url", "error", "outcome").agg(F.sum("n").alias("n"))
+
+
 @query(with_views("entity", "category", "today") + "SELECT CONCAT('https://catalogue.example/repos/', owner_login, '/', REPLACE(name, ' ', '%20')) AS url, CAST(COALESCE(synced_on, pushed_on, now) AS VARCHAR) AS lastmod FROM (SELECT * FROM entity WHERE status = 'active' ORDER BY stars DESC, id DESC LIMIT 45000) e, today UNION ALL SELECT CONCAT('https://catalogue.example/categories/', REPLACE(slug, ' ', '%20')), CAST(now AS VARCHAR) FROM category, today UNION ALL SELECT CONCAT('https://catalogue.example', p), CAST(now AS VARCHAR) FROM (VALUES ('/'), ('/about')) v(p), today")
 def address_export(spark, sf_dir):
     e, c = _views(spark, sf_dir, "entity", "category")

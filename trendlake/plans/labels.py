@@ -161,6 +161,18 @@ def rule_faults(spark, sf_dir):
     return classify.rule_faults(rules(spark).unionByName(own).unionByName(bad))
 
 
+@query(with_views("category").rstrip() + ", x AS (SELECT slug, CASE WHEN slug < 'M' THEN group_slug ELSE 'lost' END AS group_slug FROM category UNION ALL SELECT slug, 'group-S' FROM category WHERE slug = 'unused') "
+    "SELECT DISTINCT p_name AS category, 'no such category' AS fault FROM part UNION ALL SELECT slug, 'no such group' FROM x WHERE group_slug = 'lost' UNION ALL SELECT 'unused', 'slug comes twice'")
+def category_faults(spark, sf_dir):
+    """Rules of categories that there are, and some of no category; categories whose group is gone; a slug that comes twice."""
+    c = spark_view(spark, sf_dir, "category")
+    moved = c.select("slug", F.when(F.col("slug") < "M", F.col("group_slug")).otherwise("lost").alias("group_slug"))
+    moved = moved.unionByName(c.where("slug = 'unused'").select("slug", F.lit("group-S").alias("group_slug")))
+    own = c.select(F.col("slug").alias("category"), F.col("sort_order").alias("ordinal"), F.lit("topic").alias("kind"), F.col("slug").alias("term"))
+    strange = table(spark, sf_dir, "part").select(F.col("p_name").alias("category"), F.lit(1).alias("ordinal"), F.lit("topic").alias("kind"), F.lit("t").alias("term"))
+    return classify.rule_faults(own.unionByName(strange), moved, c.select("group_slug").distinct())
+
+
 @query("SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN n_name WHEN 1 THEN n_name WHEN 2 THEN n_name WHEN 3 THEN NULL WHEN 4 THEN n_name ELSE NULL END AS country, CASE s_suppkey % 6 WHEN 0 THEN 'Old Town' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 'Harbour' ELSE 'Nowhere Land' END AS city FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def locations(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trendlake.operators import listing, people, places, refresh, shards
+from trendlake.operators import listing, people, places, refresh, scores, shards
 from trendlake.plans import growth
 from trendlake.plans.catalogue import ALL_SQL, stored_scores
 from trendlake.plans.growth import now_of
@@ -229,14 +229,14 @@ _DAY = (
 )
 
 
-def _day(spark, sf_dir) -> tuple[Tables, refresh.Day]:
+def _day(spark, sf_dir, more: dict | None = None) -> tuple[Tables, refresh.Day]:
     """Versioned tables before a day, and the day: names that move, repeated rows, rows without an id, people, profiles, a new place for every third."""
     now = now_of(spark, sf_dir)
     null = lambda kind: F.lit(None).cast(kind)
     e = spark_view(spark, sf_dir, "entity").withColumns({
         "owner_location": F.when(F.col("id") % 3 == 0, "Nation 5"), "topics": F.array().cast("array<string>"), "readme": null("string"), "stars_day": null("long"), "stars_week": null("long"), "stars_month": null("long"),
         "trend_score": null("double"), "trend_velocity": null("double"), "quality_score": null("int"), "quality_grade": null("string"), "quality_flags": null("array<string>"),
-    }).withColumn("contributors_count", F.col("contributors_count").cast("long"))
+    }).withColumn("contributors_count", F.col("contributors_count").cast("long")).withColumns(more or {})
     p, found = _people(spark, sf_dir)
     p = p.withColumns({"country": null("string"), "city": null("string"), "followers": null("long"), "synced_on": null("date")})
     alias, nowhere = _aliases(spark, sf_dir)
@@ -277,6 +277,40 @@ def daily_run(spark, sf_dir):
     return out.select("id", "full_name", "status", "stars", "stars_day", "stars_week", "contributors_count", "owner_country", "classified_on", "trend_score", "trend_velocity", "quality_score", "quality_grade", "flags", "category")
 
 
+_ADDED = (
+    with_views("metrics", "today", "entity").rstrip().replace(" entity AS (", " entity0 AS (")
+    + ", entity AS (SELECT e.* REPLACE (CASE WHEN id % 2 = 0 THEN stars + 5 ELSE stars END AS stars, CASE WHEN id % 6 = 0 THEN 'added' ELSE description END AS description, "
+    "CASE WHEN id % 6 = 0 AND description IS DISTINCT FROM 'added' THEN NULL ELSE classified_on END AS classified_on) FROM entity0 e "
+    "UNION ALL SELECT e.* REPLACE (top + 5000000 + id + 1 AS id, 5000000 + id AS github_id, 'new/' || id AS full_name, 'active' AS status, NULL AS synced_on, NULL AS classified_on) FROM entity0 e, (SELECT MAX(id) AS top FROM entity0) WHERE id % 50 = 1), "
+    + growth._ASOF + growth._GROWTH + growth._TREND + growth._QUALITY
+    + ", day AS (SELECT s.*, status = 'active' AND NOT (id % 7 = 0 AND id < 5000000) AND (classified_on IS NULL OR synced_on IS NULL OR classified_on <= synced_on) AS due FROM scored s) "
+)
+
+
+@query(
+    _ADDED + "SELECT id, full_name, status, stars, synced_on::VARCHAR AS synced_on, CASE WHEN status = 'active' THEN trend_score END AS trend_score, CASE WHEN status = 'active' THEN quality_score END AS quality_score, "
+    "CASE WHEN id < 5000000 AND id % 7 = 0 THEN 'by hand' WHEN NOT due THEN NULL WHEN name LIKE '%ring%' THEN 'rings' WHEN name LIKE '%widget%' THEN 'widgets' WHEN name = 'red bolt' THEN 'bolts' END AS category, "
+    "CASE WHEN id > 5000000 THEN 'manual:add' WHEN id % 4 = 0 THEN 'topic:x' END AS discovery_source FROM day"
+)
+def added_entities(spark, sf_dir):
+    """Half of the entities named in other letters and forms, some that are new, some that are not found and some faulty; then classified and scored."""
+    tables, day = _day(spark, sf_dir, {"discovery_source": F.when(F.col("id") % 4 == 0, "topic:x")})
+    e, k = tables.read("entity"), F.col("id").cast("string")
+    new = e.where("id % 50 = 1").withColumns({"github_id": F.col("id") + 5_000_000, "full_name": F.concat(F.lit("new/"), k), "status": F.lit("active")})
+    old = e.where("id % 2 = 0").withColumns({"stars": F.col("stars") + 5, "description": F.when(F.col("id") % 6 == 0, "added").otherwise(F.col("description"))})
+    raw = e.where("id % 2 = 0").select(F.concat(F.lit("https://github.com/"), F.upper("full_name")).alias("raw"))
+    for form in (F.concat(F.lit("git@github.com:new/"), k), F.concat(F.lit("none/"), k), F.lit("no such")):
+        raw = raw.unionByName(e.where("id % 50 = 1").select(form.alias("raw")))
+    found, left = refresh.intake(raw, new.unionByName(old).drop("id", "stars_day", "stars_week", "stars_month", *scores.SCORES))
+    if left.groupBy("error").count().count() < 2:  # one reason for names that none has, one for what is no reference
+        raise ValueError("references that bring nothing are not told apart")
+    day.found = {"discovered": found}
+    day.run(refresh.INTAKE)
+    primary = tables.read("assignment").where("is_primary").select(F.col("entity_id").alias("id"), F.col("slug").alias("category"))
+    out = tables.read("entity").join(primary, "id", "left").withColumn("synced_on", F.col("synced_on").cast("string"))
+    return out.select("id", "full_name", "status", "stars", "synced_on", "trend_score", "quality_score", "category", "discovery_source")
+
+
 @query(
     with_views("person", "link").rstrip() + ", f AS (SELECT DISTINCT person_id + 1050 AS github_id, 's' || person_id AS login, CASE WHEN person_id % 2 = 0 THEN 'new.png' END AS avatar_url FROM link WHERE entity_id % 10 = 0), top AS (SELECT MAX(id) AS top FROM person), "
     "a AS (SELECT p.id, COALESCE(f.login, p.login) AS login, COALESCE(f.avatar_url, 'old.png') AS avatar_url, p.login AS was FROM person p LEFT JOIN f ON f.github_id = p.id + 1000 UNION ALL SELECT top + github_id + 1, login, avatar_url, NULL FROM f, top WHERE github_id NOT IN (SELECT id + 1000 FROM person)) "
