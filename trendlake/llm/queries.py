@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from trendlake.llm import decontaminate, language, negatives, packing, pii, pivots, repair, secrets, sharding, simhash, substrings, token_counts, toxicity, vocab
+from trendlake.llm import decontaminate, language, negatives, oracles, packing, pii, pivots, repair, secrets, sharding, simhash, substrings, token_counts, toxicity, vocab
 from trendlake.llm.common import unpack
 from trendlake.storage import scratch_path
 
@@ -109,13 +109,6 @@ QUERIES = {
     )
 }
 
-_NEGATIVES = """
-WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score FROM q a JOIN q r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id),
-p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
-SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
-WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY rank <= 10"""
-
-ORACLES: dict[str, str] = {"op11_hard_negatives": _NEGATIVES}
+ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": oracles.EMBEDDINGS, "op3_decontamination": oracles.DECONTAMINATION, "op11_hard_negatives": oracles.NEGATIVES, "op13_conversation_repair": oracles.REPAIR,
+}
