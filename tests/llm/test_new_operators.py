@@ -264,3 +264,19 @@ def test_one_text_of_an_id_is_an_example(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda positive, at, rates, n, prior: seen.append(positive) or (np.zeros(n), 0.0))
     toxicity.train(docs, labels, "doc.id", "my text")
     assert seen[0].sum() == 1 and len(seen[0]) <= len(held) + 1
+
+
+def test_hot_rows_meet_their_class(spark, monkeypatch):
+    """A text, an empty text, a vector and an unusable vector that hold a third of all rows each, hot and not."""
+    from trendlake.llm import common, pivots, simhash
+
+    docs = spark.createDataFrame([(k if k % 11 else None, ["same text of many rows here", "", None][k % 3] if k % 4 else f"text {k % 9} of its own kind {k}") for k in range(400)], "doc_id long, text string")
+    one, zero = [0.5, 0.25, 1.0], [0.0, 0.0, 0.0]
+    vectors = spark.createDataFrame([(k, [one, zero, None, [1.0, float(k % 7), 0.1]][k % 4], ["a", "b", None][k % 3]) for k in range(400)], "vec_id long, embedding array<double>, label string")
+    read = lambda: (by_text(map(tuple, simhash.near_duplicates(docs).collect())), by_text(map(tuple, pivots.near_duplicates(vectors).collect())), simhash.keep_one(docs).count())
+    cold = read()
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    assert read() == cold and len(cold[0]) == len(cold[1]) == 400
+    alone = [r for r in cold[1] if r[0] % 4 in (1, 2) or r[0] % 3 == 2]
+    assert all(r[1] == 0 and r[2] == r[0] and r[3] for r in alone)
+    assert {r[1] for r in cold[1] if r[0] % 4 == 0 and r[0] % 3 == 0} == {sum(k % 4 == 0 and k % 3 == 0 for k in range(400)) - 1}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegralType, NullType
 
-from trendlake.llm.common import column, connected_components, frugal
+from trendlake.llm.common import column, connected_components, frugal, lookup
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
@@ -182,17 +182,19 @@ def near_duplicates(
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = connected_components(found.select(F.col("node").alias("u"), F.col("peer").alias("v")))
     classes = nodes.join(linked, "node", "left").select("node", "label", "embedding", "low", "copies", F.coalesce("component", "node").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
-    classes = classes.join(lowest, "root").join(counts, "node", "left")
-    classes = classes.select("label", "embedding", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-
-    # rows that cannot link have a null join key and are matched with nothing
-    probe = rows.select("vec", F.when(usable, F.col("label")).alias("label"), "embedding")
-    out = probe.join(classes, ["label", "embedding"], "left")
-    component = F.coalesce("component", "vec")
-    return out.select(
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("size"))
+    classes = lookup(classes, lowest, ["root"], F.xxhash64("node"), n, "size").join(counts, "node", "left")
+    classes = classes.select("label", "embedding", "copies", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    classes = materialize(classes, "classes")
+
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    probe = rows.where(usable).select("vec", "label", "embedding")
+    placed = lookup(probe, classes, ["label", "embedding"], F.xxhash64("vec"), total, "copies").select("vec", "links", F.coalesce("component", "vec").alias("component"))
+    # rows that cannot link need no partner, so they are not shuffled
+    alone = rows.where(~usable).select("vec", F.lit(0).cast("long").alias("links"), F.col("vec").alias("component"))
+    return placed.unionByName(alone).select(
         F.col("vec").alias(key),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec") == component, F.lit(False)).alias("kept"),
+        F.col("links").cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("vec") == F.col("component"), F.lit(False)).alias("kept"),
     )

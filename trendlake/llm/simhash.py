@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, frugal, portions, unpack, with_row_key
+from trendlake.llm.common import KEY, ROW, byte_values, column, connected_components, frugal, lookup, portions, unpack, with_row_key
 from trendlake.llm.groups import block_pairs, forest, gather, starts, whole_groups
 from trendlake.storage import materialize
 
@@ -196,17 +196,22 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """For ``prints(key, fp)`` each fingerprint's class: columns fp, component (smallest key).
+    """For ``prints(key, fp)`` each fingerprint's class: columns fp, component (smallest key) and n, its rows.
 
     Equal fingerprints are one node, however many rows have them. Null keys are passed over; a
     class of null keys only has a null component.
     """
-    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("low")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "nodes")
     linked = connected_components(links(nodes.select("fp"), budget))
     linked = materialize(linked.withColumnRenamed("node", "fp").withColumnRenamed("component", "root"), "linked")
-    classes = nodes.join(linked, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
-    return classes.join(lowest, "root").select("fp", "component")
+    classes = nodes.join(linked, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("__size"))
+    return lookup(classes, lowest, ["root"], F.xxhash64("fp"), nodes.count(), "__size").select("fp", "component", "n")
+
+
+def classed(prints: DataFrame) -> DataFrame:
+    """``prints(key, fp)`` with the component of each row, where one fingerprint may hold most rows."""
+    return lookup(prints, materialize(components(prints), "classes"), ["fp"], F.xxhash64("key"), prints.count())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,7 +221,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole; repeated rows get the same class; other columns are not read; a null id has the class of its text; an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, column(key), column(text)), "prints")
-    found = prints.join(components(prints), "fp")
+    found = classed(prints)
     return found.select(F.col("key").alias(key), hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -228,7 +233,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     rows = with_row_key(docs)
     prints = materialize(fingerprints(rows, F.col(KEY), F.col(ROW)[text]), "prints")
-    classes = prints.join(components(prints), "fp").select(F.col("key").alias(KEY), "component")
+    classes = classed(prints).select(F.col("key").alias(KEY), "component")
     ids = rows.select(KEY, F.col(ROW)[key].alias("__id"))
     order = F.struct(F.col("__id").isNull(), "__id", KEY)
     kept = classes.join(ids, KEY).groupBy("component").agg(F.min(order)[KEY].alias(KEY))
