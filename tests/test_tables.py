@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from trendlake.functions import text
 from trendlake.operators import classify, merge, refresh, search
 from trendlake.plans import operations
 from trendlake.streaming import observations
@@ -164,3 +165,22 @@ def test_intake_names_and_reasons(spark):
     found, left = refresh.intake(raw, fetched)
     assert rows(found.select("github_id", "full_name", "stars", "discovery_source")) == [(7, "o/A", 5, "manual:add")] and "synced_on" not in found.columns
     assert sorted(r.error for r in left.collect()) == ["empty reference", "empty reference", "not found"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_references_are_read_once(spark):
+    raw = spark.createDataFrame([("a/b",)] * 3 + [("no such",)] * 25 + [(None,)] * 2 + [("A/B",)], "raw string")
+    good, bad = refresh.named_intake(raw)
+    assert rows(good) == [("A/B", "A", "manual:add")]
+    assert [(r.raw, r.error, r["count"]) for r in bad.groupBy("raw", "error").count().orderBy("count").collect()] == [(None, "empty reference", 2), ("no such", "owner or name missing", 25)]
+    assert "regexp" not in plan(bad).rsplit("Aggregate", 1)[1]  # nothing is read below the counting
+    assert plan(raw.select(text.reference(F.col("raw")))).count("regexp_") < 40
+
+
+def test_a_faulty_reference_comes_as_often_as_it_came(spark, monkeypatch):
+    monkeypatch.setattr(refresh, "COPIES", 10)
+    raw = spark.createDataFrame([("x",)] * 41 + [("y",)] * 10 + [("z",)], "raw string")
+    assert {r.raw: r["count"] for r in refresh.named_intake(raw)[1].groupBy("raw").count().collect()} == {"x": 41, "y": 10, "z": 1}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,38 +60,56 @@ def escape_like(text: str) -> str:
     return re.sub(r"([\\%_])", r"\\\1", text)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reference(raw: Column) -> Column:
     """Struct ok, owner, name, full_name, url, error for whatever may name a repository."""
-    text = trimmed(F.coalesce(raw, F.lit("")))
-    ssh = F.regexp_extract(text, SSH, 1)
-    scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    hosted = text.rlike(rf"(?i)^(?:www\.)?{re.escape(HOST)}/")
-    address = F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(address, r"^(?:[^/@]*@)?([^/:?#]*)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_replace(address, r"^[^/?#]*", ""), r"[?#].*$", "")
-    is_url = (scheme != "") | hosted
-    where = F.when(ssh != "", ssh).when(is_url, path).otherwise(text)
-    parts = F.filter(F.split(where, "/"), lambda p: p != "")
+    return bound(trimmed(F.coalesce(raw, F.lit(""))), lambda text: bound(_shape(text), lambda s: bound(_parts(text, s), lambda p: _reference(text, s, p))))
+
+
+def _shape(text: Column) -> Column:
+    return F.struct(
+        F.regexp_extract(text, SSH, 1).alias("ssh"), F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"),
+        text.rlike(rf"(?i)^(?:www\.)?{re.escape(HOST)}/").alias("hosted"), F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*://", "").alias("address"),
+    )
+
+
+def _parts(text: Column, s: Column) -> Column:
+    host = F.regexp_replace(F.lower(F.regexp_extract(s["address"], r"^(?:[^/@]*@)?([^/:?#]*)", 1)), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_replace(s["address"], r"^[^/?#]*", ""), r"[?#].*$", "")
+    is_url = (s["scheme"] != "") | s["hosted"]
+    where = F.when(s["ssh"] != "", s["ssh"]).when(is_url, path).otherwise(text)
+    return F.struct(host.alias("host"), is_url.alias("is_url"), F.filter(F.split(where, "/"), lambda p: p != "").alias("parts"))
+
+
+def _reference(text: Column, s: Column, p: Column) -> Column:
+    parts, is_url = p["parts"], p["is_url"]
     owner = F.get(parts, F.lit(0))
     name = F.regexp_replace(F.get(parts, F.lit(1)), r"(?i)\.git$", "")
     error = (
         F.when(text == "", "empty reference")
         .when(F.length(text) > LONGEST, "reference too long")
-        .when((ssh == "") & (scheme != "") & ~scheme.isin("http", "https", "git"), "scheme not supported")
-        .when((ssh == "") & is_url & (host != HOST), "host not supported")
-        .when((ssh == "") & ~is_url & text.rlike(r"[:\\]|^//"), "not a reference")
+        .when((s["ssh"] == "") & (s["scheme"] != "") & ~s["scheme"].isin("http", "https", "git"), "scheme not supported")
+        .when((s["ssh"] == "") & is_url & (p["host"] != HOST), "host not supported")
+        .when((s["ssh"] == "") & ~is_url & text.rlike(r"[:\\]|^//"), "not a reference")
         .when(F.size(parts) > 2, "page inside a repository")
         .when(F.size(parts) < 2, "owner or name missing")
         .when(~owner.rlike(OWNER), "bad owner")
         .when(~name.rlike(NAME), "bad name")
     )
-    ok = error.isNull()
-    full = F.concat(owner, F.lit("/"), name)
-    given = lambda c: F.when(ok, c)
-    return F.struct(
-        ok.alias("ok"), given(owner).alias("owner"), given(name).alias("name"), given(full).alias("full_name"),
-        given(F.concat(F.lit(f"https://{HOST}/"), full)).alias("url"), error.alias("error"),
-    )
+
+    def given(e: Column) -> Column:
+        ok, own, named = e["error"].isNull(), e["owner"], e["name"]
+        full = F.concat(own, F.lit("/"), named)
+        return F.struct(
+            ok.alias("ok"), F.when(ok, own).alias("owner"), F.when(ok, named).alias("name"), F.when(ok, full).alias("full_name"),
+            F.when(ok, F.concat(F.lit(f"https://{HOST}/"), full)).alias("url"), e["error"].alias("error"),
+        )
+
+    return bound(F.struct(owner.alias("owner"), name.alias("name"), error.alias("error")), given)
 
 
 def flag_code(text: Column) -> Column:

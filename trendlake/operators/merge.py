@@ -101,6 +101,13 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame,
     return fresh, new.join(old.select(key), key, "left_semi")
 
 
+def read_once(raw: DataFrame, column: str) -> DataFrame:
+    """The different rows of ``raw``, n, the number of each, and r, the reference in ``column``."""
+    spelled = raw.groupBy(*raw.columns).agg(F.count("*").alias("n"))
+    # what is read hangs on the count, or a filter on it would move below the grouping and read every row
+    return spelled.withColumn("r", text.reference(F.when(F.col("n") > 0, F.col(column))))
+
+
 def submissions(old: DataFrame, raw: DataFrame, column: str = "url", note: str = "note") -> DataFrame:
     """What becomes of submitted references: raw, note, url, full_name, outcome, error and n, the number of such rows.
 
@@ -109,8 +116,7 @@ def submissions(old: DataFrame, raw: DataFrame, column: str = "url", note: str =
     in ``old``. What is no reference is ``faulty``, with the reason.
     """
     # equal rows are counted first, so that what everyone submits is one row when addresses meet
-    spelled = raw.groupBy(F.col(column).alias("raw"), F.col(note).alias("note")).agg(F.count("*").alias("n"))
-    read = spelled.withColumn("r", text.reference(F.col("raw"))).select("raw", "note", "n", "r.ok", "r.url", "r.full_name", "r.error")
+    read = read_once(raw.select(F.col(column).alias("raw"), F.col(note).alias("note")), "raw").select("raw", "note", "n", "r.ok", "r.url", "r.full_name", "r.error")
     this = F.struct("raw", "note")
     first = read.where("ok").groupBy("url").agg(F.min(this).alias("first")).join(old.select("url").distinct(), "url", "left_anti")
     placed = read.join(first, "url", "left").withColumn("is_new", this.eqNullSafe(F.col("first")))

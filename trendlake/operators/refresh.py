@@ -102,12 +102,23 @@ def seed_categories(category: DataFrame, groups: DataFrame, taxonomy: DataFrame)
     return merge.upsert(category, new, ["slug"]).select(*category.columns)
 
 
+#: Rows of one list when counted rows are written out again.
+COPIES = 10_000
+
+
 def named_intake(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Rows to upsert for the references in ``raw``, one for each name in any letters, and the faulty ones."""
-    read = raw.select(F.col(column).alias("raw"), text.reference(F.col(column)).alias("r"))
+    """Rows to upsert for the references in ``raw``, one for each name in any letters, and the faulty ones, as often as they come.
+
+    Equal references are counted first and read once.
+    """
+    read = merge.read_once(raw.select(F.col(column).alias("raw")), "raw")
     good = read.where("r.ok").groupBy(F.lower("r.full_name").alias("__name")).agg(F.min("r.full_name").alias("full_name"))
     good = good.select("full_name", F.substring_index("full_name", "/", 1).alias("owner_login"), F.lit("manual:add").alias("discovery_source"))
-    return good, read.where("not r.ok").select("raw", F.col("r.error").alias("error"))
+    bad = read.where("not r.ok").select("raw", F.col("r.error").alias("error"), "n")
+    # as many rows as there were, by two short lists
+    bad = bad.withColumn("__k", F.explode(F.expr(f"sequence(0, (n - 1) div {COPIES})")))
+    bad = bad.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.least(F.col("n") - F.col("__k") * COPIES, F.lit(COPIES)).cast("int"))))
+    return good, bad.select("raw", "error")
 
 
 def intake(raw: DataFrame, fetched: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
