@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trendlake.llm import decontaminate, language, packing, pii, pivots, secrets, sharding, simhash, token_counts, toxicity, vocab
+from trendlake.llm import decontaminate, groups, language, packing, pii, pivots, secrets, sharding, simhash, token_counts, toxicity, vocab
 from trendlake.llm.fm_index import FMIndex
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -326,3 +326,16 @@ def test_pipeline_on_the_smallest_tables(spark):
         assert docs.columns == columns, name
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_rows_are_not_shuffled_for_known_sizes(spark):
+    rows = spark.range(100).select((F.col("id") % 5).alias("key"), "id")
+    sizes = spark.createDataFrame([(0, 20), (1, 3)], "key long, __rows long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = groups.block_pairs(rows, ["key"], F.col("id"), 10, sizes)
+        assert "hashpartitioning" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == 120
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -18,13 +18,14 @@ def block_pairs(rows: DataFrame, keys: list[str], salt: Column, limit: int, size
     A key of at most ``limit`` rows is one block (0, 0). A larger one is dealt by ``salt`` into
     n blocks, and every pair of blocks i <= j becomes a group of its own of about two limits at
     most: all pairs of the key meet in some group, and no task holds the whole key. ``sizes`` gives the rows of
-    keys in ``__rows`` where they are known or not what counts.
+    keys in ``__rows`` where they are known or not what counts; these few keys are broadcast, so that ``rows`` are not shuffled for them.
     """
+    few = F.broadcast if sizes is not None else lambda d: d
     if sizes is None:
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
     hot = sizes.where(F.col("__rows") > limit).select(*keys, F.ceil(F.col("__rows") / F.lit(limit)).cast("int").alias("__n"))
     n = F.coalesce("__n", F.lit(1))
-    dealt = rows.join(hot, keys, "left").withColumn("__k", F.pmod(salt, n).cast("int"))
+    dealt = rows.join(few(hot), keys, "left").withColumn("__k", F.pmod(salt, n).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.select(
         *[c for c in rows.columns],
