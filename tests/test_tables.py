@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,18 @@ def test_ranking_counts_an_entity_once_without_a_map_of_pairs(spark):
     got = people.ranking(folk, links, entities)
     assert rows(got.select("id", "entities", "contributions", "stars_reached")) == [(1, 2, 13, 40), (2, 1, 1, 10)]
     assert "count(distinct" not in plan(got) and "Aggregate [person_id" in plan(got) and "Aggregate [entity_id" not in plan(got) and "entity_id], [" not in plan(got)
+
+
+def test_changes_of_a_key_are_found_on_plain_arrays(monkeypatch):
+    class State:
+        exists, get, last = True, (2.0,), None
+
+        def update(self, value):
+            self.last = value
+
+    at = lambda *seconds: pd.to_datetime(pd.Series(seconds), unit="s")
+    chunks = [pd.DataFrame({"key": 5, "ts": at(3, 1, 2), "value": [4.0, 2.0, float("nan")]}), pd.DataFrame({"key": 5, "ts": at(3, 4), "value": [3.0, 4.0]})]
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *_, **__: pytest.fail("a frame is sorted for each key"))
+    state = State()
+    got = pd.concat(observations._changed((5,), iter(chunks), state))
+    assert got["ts"].tolist() == at(2, 3, 3).tolist() and got["value"].tolist()[1:] == [3.0, 4.0] and state.last == (4.0,)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,16 @@ def daily_gain(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    frame = pd.concat(list(frames)).sort_values(["ts", "value"], kind="stable")  # all chunks of the key in this batch
-    if len(frame):
-        before = frame["value"].shift()
-        before.iloc[0:1] = last
-        kept = frame[before.isna() | (frame["value"] != before)]
-        state.update((float(frame["value"].iloc[-1]),))
-        yield kept[["key", "ts", "value"]]
+    # a call a key: plain arrays, as frames cost more than the few rows in them
+    chunks = [[f[c].to_numpy() for c in ("key", "ts", "value")] for f in frames]  # all chunks of the key in this batch
+    keys, ts, values = (np.concatenate(c) for c in zip(*chunks, strict=True)) if chunks else ([], [], [])
+    if len(keys):
+        order = np.lexsort((values, ts))
+        now = values[order]
+        before = np.append(state.get[0] if state.exists else np.nan, now[:-1])
+        kept = order[np.isnan(before) | (now != before)]
+        state.update((float(now[-1]),))
+        yield pd.DataFrame({"key": keys[kept], "ts": ts[kept], "value": values[kept]}, copy=False)
 
 
 def changes(stream: DataFrame) -> DataFrame:
