@@ -209,3 +209,19 @@ def test_changes_of_a_key_are_found_on_plain_arrays(monkeypatch):
     state = State()
     got = pd.concat(observations._changed((5,), iter(chunks), state))
     assert got["ts"].tolist() == at(2, 3, 3).tolist() and got["value"].tolist()[1:] == [3.0, 4.0] and state.last == (4.0,)
+
+
+def test_a_day_works_out_what_was_fetched_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def login(n):
+        worked.add(1)
+        return f"s{n}"
+
+    tables, day = operations._day(spark, SF)
+    links = spark.createDataFrame([(k % 5, k) for k in range(40)], "entity_id long, n long").repartition(2)
+    day.found = {"people": links.select("entity_id", (F.col("n") + 9000).alias("github_id"), login.asNondeterministic()("n").alias("login"), F.lit("a.png").alias("avatar_url"), F.col("n").alias("contributions"))}
+    day.run(("contributors",))
+    assert worked.value == 40
+    assert tables.read("person").where("avatar_url = 'a.png'").count() == 40

@@ -70,7 +70,7 @@ def persist_people(person: DataFrame, link: DataFrame, entities: DataFrame, foun
     fresh = fresh.select("github_id", (F.col("__last") + F.col("github_id") + 1).alias("id"))
     known = person.select("github_id", "id").unionByName(fresh)
     people_ = merge.upsert(person, folk.join(known, "github_id"), ["github_id"], {"avatar_url": "fill", "id": "keep"}).select(*person.columns)
-    best = found.join(known, "github_id").groupBy("entity_id", F.col("id").alias("person_id")).agg(F.max("contributions").alias("contributions"))
+    best = materialize(found.join(known, "github_id").groupBy("entity_id", F.col("id").alias("person_id")).agg(F.max("contributions").alias("contributions")), "best")
     stored = people.ranked(best).where(F.col("rank") <= people.STORED)
     links = merge.upsert(link, stored, ["entity_id", "person_id"]).select(*link.columns)
     shares = people.concentration(best).withColumnRenamed("entity_id", "id")
@@ -166,8 +166,12 @@ class Day:
                     self.figures = self._figures.get()
         return self.figures
 
+    def _once(self, name: str) -> DataFrame:
+        """What was fetched, worked out once: a stage reads it more often."""
+        return materialize(self.found[name], name)
+
     def discover(self) -> dict[str, DataFrame]:
-        return {"entity": merge.discovered(self.tables.read("entity"), self.found["discovered"])} if "discovered" in self.found else {}
+        return {"entity": merge.discovered(self.tables.read("entity"), self._once("discovered"))} if "discovered" in self.found else {}
 
     def sync(self) -> dict[str, DataFrame]:
         if "refreshed" not in self.found:
@@ -194,7 +198,7 @@ class Day:
         if "people" not in self.found:
             return {}
         old = [self.tables.read(n) for n in ("person", "link", "entity")]
-        new = persist_people(*old, self.found["people"])
+        new = persist_people(*old, self._once("people"))
         return {n: _unlike(before, after, keys) for n, before, after, keys in zip(("person", "link", "entity"), old, new, (["id"], ["entity_id", "person_id"], ["id"]), strict=True)}
 
     def profiles(self) -> dict[str, DataFrame]:

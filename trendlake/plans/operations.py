@@ -11,7 +11,7 @@ from trendlake.plans.growth import now_of
 from trendlake.plans.registry import query
 from trendlake.plans.views import spark_view, table, with_views
 from trendlake.sources import payloads
-from trendlake.storage import scratch_path
+from trendlake.storage import materialize, scratch_path
 from trendlake.versions import Tables
 
 
@@ -237,6 +237,7 @@ def _day(spark, sf_dir, more: dict | None = None) -> tuple[Tables, refresh.Day]:
         "owner_location": F.when(F.col("id") % 3 == 0, "Nation 5"), "topics": F.array().cast("array<string>"), "readme": null("string"), "stars_day": null("long"), "stars_week": null("long"), "stars_month": null("long"),
         "trend_score": null("double"), "trend_velocity": null("double"), "quality_score": null("int"), "quality_grade": null("string"), "quality_flags": null("array<string>"),
     }).withColumn("contributors_count", F.col("contributors_count").cast("long")).withColumns(more or {})
+    e = materialize(e, "entities")  # the day's tables and all that was fetched are read from it
     p, found = _people(spark, sf_dir)
     p = p.withColumns({"country": null("string"), "city": null("string"), "followers": null("long"), "synced_on": null("date")})
     alias, nowhere = _aliases(spark, sf_dir)
